@@ -149,11 +149,11 @@ def pair_cyclic(left: DataFrame, right: DataFrame, by: str, left_id: str, right_
     return l.join(r.drop("__h"), [by, "__j"]).drop("__j")
 
 
-def device_map(df: DataFrame, asset: str, prefix: str = "DEV-") -> DataFrame:
-    """Assets to generated device ids by sorted rank; only the distinct assets are ranked."""
-    distinct = df.select(asset).distinct()
-    w = Window.orderBy(asset)
-    ranked = distinct.withColumn("device", F.concat(F.lit(prefix), F.lpad(F.dense_rank().over(w).cast("string"), 3, "0")))
+def device_map(df: DataFrame, asset: str, split: Column, prefix: str = "DEV-") -> DataFrame:
+    """Assets to generated device ids by sorted rank; only the distinct assets are ranked, bucket by bucket."""
+    from ..plans.scan import numbered
+    ranked = numbered(df.select(asset).distinct(), [], [asset], split, "__n")
+    ranked = ranked.withColumn("device", F.concat(F.lit(prefix), F.lpad(F.col("__n").cast("string"), 3, "0"))).drop("__n")
     return df.join(ranked, asset)
 
 

@@ -256,7 +256,7 @@ def a15(spark, sf):
 
 
 @query("a15_quantiles", "\nunion all\n".join(
-    (f"with {_EVAL_SQL}, nrm as (select * from ev) " if i == 0 else "") + f"select {q} as q, condition, round(score, 6) as threshold from {_QH('condition', q)}" for i, q in enumerate((0.95, 0.975, 0.99))))
+    (f"with {_EVAL_SQL}, nrm as (select * from ev) " if i == 0 else "") + f"select {q}::double as q, condition, round(score, 6) as threshold from {_QH('condition', q)}" for i, q in enumerate((0.95, 0.975, 0.99))))
 def a15q(spark, sf):
     e = evaluation(spark, sf)
     parts = [ag.quantile_higher(e, ["condition"], "score", q, 1e-3).select(F.lit(q).alias("q"), "condition", F.round("threshold", 6).alias("threshold")) for q in (0.95, 0.975, 0.99)]
@@ -274,7 +274,7 @@ def a17(spark, sf):
     return ag.run_weights(evaluation(spark, sf), "label", "run", 2.0).select("seq", F.round("weight", 6).alias("weight"))
 
 
-_POL_SQL = f"""{_EVAL_SQL}, pol as (select unnest([0.25, 0.3, 0.35, 0.4, 0.5]) as thr), h as (select 'p' || thr as policy, condition, label, score > thr as hit from ev, pol), f as (
+_POL_SQL = f"""{_EVAL_SQL}, pol as (select unnest([0.25, 0.3, 0.35, 0.4, 0.5]::double[]) as thr), h as (select 'p' || thr as policy, condition, label, score > thr as hit from ev, pol), f as (
   select policy, condition, count(*) filter (label and hit) / nullif(count(*) filter (label), 0)::double as recall, count(*) filter (not label and hit) / nullif(count(*) filter (not label), 0)::double as fpr from h group by policy, condition), s as (
   select policy, round(avg(recall), 6) as mean_recall, round(avg(fpr), 6) as mean_fpr, round(min(recall), 6) as worst_recall, round(max(fpr), 6) as worst_fpr, round(avg((recall + 1 - fpr) / 2), 6) as mean_balanced from f group by policy)"""
 
