@@ -110,7 +110,7 @@ def g05(spark, sf):
 
 
 @query("g06_lifecycle_params", """select s_suppkey as rule_id, cast(50 + s_suppkey % 45 as double) as score_enter,
-  greatest(0.0, 50 + s_suppkey % 45 - s_nationkey) as score_exit, cast(s_suppkey % 60 as double) as sec_enter,
+  cast(greatest(0.0, 50 + s_suppkey % 45 - s_nationkey) as double) as score_exit, cast(s_suppkey % 60 as double) as sec_enter,
   cast(s_nationkey as double) as sec_exit from supplier""")
 def g06(spark, sf):
     s = table(spark, sf, "supplier").select(

@@ -10,14 +10,18 @@ from . import sql
 from .q_events import _NOW, first_windows
 
 KEYS = ["device", "boot"]
-BY_IDX = bucket("idx", 10_000)
-BY_ORD = bucket("ordinal", 100_000)
+def by_idx():
+    return bucket("idx", 10_000)
+
+
+def by_ord():
+    return bucket("ordinal", 100_000)
 
 
 @query("d01_gap", f"""with {sql.FIRST_WINDOWS} select device, boot, idx,
   coalesce(idx - lag(idx) over (partition by device, boot order by idx) - 1, idx) as gap from fw""")
 def d01(spark, sf):
-    return sq.with_gap(first_windows(spark, sf).select("device", "boot", "idx"), KEYS, "idx", BY_IDX)
+    return sq.with_gap(first_windows(spark, sf).select("device", "boot", "idx"), KEYS, "idx", by_idx())
 
 
 @query("d02_sequence_conflicts", f"""with {sql.WINDOWS}, r as (select *, max(idx) over w as mi, max(uptime_us) over w as mu,
@@ -25,7 +29,7 @@ def d01(spark, sf):
   window w as (partition by device, boot order by ordinal rows between unbounded preceding and 1 preceding))
   select ordinal, case when mi is null then null when s0 <> site then 'CONTEXT_CHANGED' when idx <= mi or uptime_us <= mu then 'OUT_OF_ORDER' end as conflict from r""")
 def d02(spark, sf):
-    return sq.sequence_conflicts(windows(spark, sf), KEYS, "ordinal", "idx", "uptime_us", ["site"], BY_ORD).select("ordinal", "conflict")
+    return sq.sequence_conflicts(windows(spark, sf), KEYS, "ordinal", "idx", "uptime_us", ["site"], by_ord()).select("ordinal", "conflict")
 
 
 _LATE_SQL = f"""{sql.FIRST_WINDOWS}, q as (select *, case when k % 6 = 0 then ordinal + 40 * (k + 1) else ordinal end as arrival, ordinal as o2 from fw), a as (
@@ -44,14 +48,14 @@ def _late(spark, sf):
     ((bu is null or (bu < uptime_us and bc < captured_us)) and (au is null or (au > uptime_us and ac > captured_us))) as accepted from n""")
 def d03(spark, sf):
     return sq.accept_backfill(_late(spark, sf), KEYS, "arrival", "idx", "uptime_us", "captured_us",
-                              bucket("arrival", 10_000_000 * 100_000), BY_IDX).select("device", "boot", "idx", "late", "accepted")
+                              bucket("arrival", 10_000_000 * 100_000), by_idx()).select("device", "boot", "idx", "late", "accepted")
 
 
 @query("d04_clock_drift", f"""with {sql.FIRST_WINDOWS}, a as (select *, first_value(uptime_us) over w as u0, first_value(captured_us) over w as c0
   from fw window w as (partition by device, boot order by ordinal))
   select device, boot, idx, abs((captured_us - c0) - (uptime_us - u0)) as drift_us, abs((captured_us - c0) - (uptime_us - u0)) <= 1000000 as clock_ok from a""")
 def d04(spark, sf):
-    return sq.clock_drift(first_windows(spark, sf), KEYS, "ordinal", "uptime_us", "captured_us", BY_ORD).select(
+    return sq.clock_drift(first_windows(spark, sf), KEYS, "ordinal", "uptime_us", "captured_us", by_ord()).select(
         "device", "boot", "idx", "drift_us", "clock_ok")
 
 
@@ -60,7 +64,7 @@ def d04(spark, sf):
   select device, boot, idx, step as interval_us, coalesce(step between 630000 and 670000, false) as continuous from s""")
 def d05(spark, sf):
     w = first_windows(spark, sf).select("device", "boot", "idx", (F.col("idx") * 650_000 + (F.col("k") % 60) * 1000 - 30_000).alias("up"))
-    return sq.is_continuous(w, KEYS, "idx", "up", BY_IDX).drop("up")
+    return sq.is_continuous(w, KEYS, "idx", "up", by_idx()).drop("up")
 
 
 @query("d06_flag_late", f"""with {_LATE_SQL}, l as (select *, max(captured_us) over (partition by device, boot order by arrival, o2 rows between unbounded preceding and 1 preceding) as m from a)
@@ -74,7 +78,7 @@ def d06(spark, sf):
   select device, boot, min(idx) as start_idx, count(*) as n, round(sum(value), 6) + 0.0 as total, arg_max(k, idx) as last_k
   from c group by device, boot, isl, ch having count(*) = 3""")
 def d07(spark, sf):
-    s = sq.make_sequences(first_windows(spark, sf), KEYS, "idx", 3, F.struct("value", "k"), BY_IDX)
+    s = sq.make_sequences(first_windows(spark, sf), KEYS, "idx", 3, F.struct("value", "k"), by_idx())
     total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x["value"])
     return s.select("device", "boot", "start_idx", F.size("sequence").cast("long").alias("n"), r6(total).alias("total"),
                     F.element_at("sequence", -1)["k"].alias("last_k"))
@@ -185,7 +189,7 @@ def d11(spark, sf):
         F.lit(300.0).alias("min_valid_sec"), F.lit(150).alias("max_invalid"), F.lit(2000).alias("max_missing"),
         F.when(F.col("n_nationkey") % 4 != 0, F.lit(5_000_000) * F.col("n_nationkey")).alias("max_timing_us"),
         (F.col("n_regionkey") % 2 == 0).alias("reviewed"))
-    return sq.audit_sessions(d, s, BY_IDX).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
+    return sq.audit_sessions(d, s, by_idx()).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
 
 
 @query("d13_lanes", f"""with {sql.WINDOWS} select ordinal, case when event_type = 'click' and ({_NOW} - captured_us) / 1e6 / 86400 between -5 and 30 then 'live' else 'history' end as lane,
