@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import col, finite, first_failure
-from ..plans.scan import prev, running_max, scan
+from ..plans.scan import running_max, scan
+from ..session import cut
 
 # accepted telemetry keys, scenarios and quality states (fixed values)
 TELEMETRY_FIELDS = ["timestamp", "sequence", "siteId", "assetId", "deviceId", "rpm", "rpmStatus", "rpmMeasuredAt", "rpmSource", "vibrationRmsRaw",
@@ -37,7 +38,11 @@ def instant_us(c) -> Column:
 
 
 def split_quarantine(df: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rejected rows with their code and original payload."""
+    """Good rows, and rejected rows with their code and original payload.
+
+    The judged rows are written once to the checkpoint folder, so two outputs do not validate twice.
+    """
+    df = cut(df)
     good = df.filter(F.col("error_code").isNull()).drop("error_code")
     return good, df.filter(F.col("error_code").isNotNull()).select("error_code", F.col(payload).alias("payload"))
 
@@ -76,17 +81,23 @@ def strict_json_ok(c) -> Column:
 
 
 class Payload:
-    """Typed access to the members of one JSON object column through variants."""
+    """Typed access to the members of one JSON object column.
+
+    ``df`` gains a struct of variants, so the text is parsed once however many rules look at it.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, df: DataFrame, text: str, keys: list[str]):
         self.text = F.col(text)
-        self.doc = F.try_parse_json(self.text)
+        schema = ", ".join(f"`{k}` variant" for k in keys)
+        self.df = df.withColumns({"__doc": F.from_json(self.text, schema), "__keys": F.json_object_keys(self.text)})
+        self.keys = F.col("__keys")
+        self.sound = self.keys.isNotNull() & (F.size(self.keys) == F.size(F.array_distinct(self.keys)))
 
     def has(self, key: str) -> Column:
-        return F.array_contains(F.json_object_keys(self.text), key)
+        return F.array_contains(self.keys, key)
 
     def raw(self, key: str) -> Column:
-        return F.try_variant_get(self.doc, f"$.{key}", "variant")
+        return F.col("__doc")[key]
 
     def kind(self, key: str) -> Column:
         return F.schema_of_variant(self.raw(key))
@@ -95,17 +106,17 @@ class Payload:
         return F.coalesce(F.is_variant_null(self.raw(key)), F.lit(False)) | self.raw(key).isNull()
 
     def text_of(self, key: str) -> Column:
-        return F.when(self.kind(key) == "STRING", F.try_variant_get(self.doc, f"$.{key}", "string"))
+        return F.when(self.kind(key) == "STRING", F.try_variant_get(self.raw(key), "$", "string"))
 
     def integer(self, key: str) -> Column:
-        return F.when(self.kind(key) == "BIGINT", F.try_variant_get(self.doc, f"$.{key}", "bigint"))
+        return F.when(self.kind(key) == "BIGINT", F.try_variant_get(self.raw(key), "$", "bigint"))
 
     def number(self, key: str) -> Column:
-        v = F.try_variant_get(self.doc, f"$.{key}", "double")
+        v = F.try_variant_get(self.raw(key), "$", "double")
         return F.when((self.kind(key) != "BOOLEAN") & finite(v), v)
 
     def flag(self, key: str) -> Column:
-        return F.when(self.kind(key) == "BOOLEAN", F.try_variant_get(self.doc, f"$.{key}", "boolean"))
+        return F.when(self.kind(key) == "BOOLEAN", F.try_variant_get(self.raw(key), "$", "boolean"))
 
     def optional_number(self, key: str) -> Column:
         return self.null(key) | self.number(key).isNotNull()
@@ -132,15 +143,15 @@ def rpm_rule(p: Payload, at_us: Column) -> Column:
 
 def normalize_telemetry(df: DataFrame, payload: str, now_us: Column, retention_days: int = 30, future_sec: int = 300) -> DataFrame:
     """One telemetry object per row to typed columns plus ``error_code``/``error_rule``."""
-    p = Payload(payload)
-    base = df.withColumn("t_us", instant_us(p.text_of("timestamp")))
+    p = Payload(df, payload, TELEMETRY_FIELDS)
+    base = p.df.withColumn("t_us", instant_us(p.text_of("timestamp")))
     t = F.col("t_us")
     ident = lambda k: F.upper(F.trim(p.text_of(k)))
-    known = F.size(F.array_except(F.json_object_keys(p.text), F.array(*[F.lit(f) for f in TELEMETRY_FIELDS]))) == 0
+    known = F.size(F.array_except(p.keys, F.array(*[F.lit(f) for f in TELEMETRY_FIELDS]))) == 0
     raw_only = [(p.has(k) & F.coalesce(F.is_variant_null(p.raw(k)), F.lit(False))) for k in ("vibrationRmsMmS", "acousticDb")]
     scenario = p.has("scenarioLabel") & (p.null("scenarioLabel") | F.trim(p.text_of("scenarioLabel")).isin(SCENARIOS))
     rule = first_failure(
-        (p.doc.isNotNull() & known, "unknown_fields"), ((ident("siteId") != "") & (ident("assetId") != "") & (ident("deviceId") != ""), "identifier"),
+        (p.sound & known, "unknown_fields"), ((ident("siteId") != "") & (ident("assetId") != "") & (ident("deviceId") != ""), "identifier"),
         (p.integer("sequence") >= 1, "sequence"), (t.isNotNull(), "timestamp"), (t <= now_us + future_sec * 1_000_000, "future"),
         (t >= now_us - retention_days * 86_400_000_000, "retention"), (raw_only[0] & raw_only[1], "raw_only"), (scenario, "scenario"),
         (p.flag("isSynthetic").isNotNull(), "is_synthetic"), (p.number("vibrationRmsRaw") >= 0, "vibration_rms"),
@@ -156,11 +167,12 @@ def normalize_telemetry(df: DataFrame, payload: str, now_us: Column, retention_d
         "rpm": p.number("rpm"), "rpm_status": p.text_of("rpmStatus"), "vibration_rms_raw": p.number("vibrationRmsRaw"), "vibration_peak_hz": p.number("vibrationPeakHz"),
         "acoustic_rms_raw": p.number("acousticRmsRaw"), "acoustic_peak_hz": p.number("acousticPeakHz"), "scenario_label": blank("scenarioLabel"),
         "known_vibration_label": blank("knownVibrationLabel"), "known_acoustic_label": blank("knownAcousticLabel"), "source": blank("source"),
-        "is_synthetic": p.flag("isSynthetic")})
+        "is_synthetic": p.flag("isSynthetic")}).drop("__doc", "__keys")
 
 
 def validate_rpm(df: DataFrame, payload: str, at_us: Column) -> DataFrame:
-    return df.withColumn("error_code", F.when(~rpm_rule(Payload(payload), at_us), "INVALID_TELEMETRY_PAYLOAD"))
+    p = Payload(df, payload, ["rpm", "rpmStatus", "rpmMeasuredAt", "rpmSource", "isSynthetic"])
+    return p.df.withColumn("error_code", F.when(~rpm_rule(p, at_us), "INVALID_TELEMETRY_PAYLOAD")).drop("__doc", "__keys")
 
 
 def within_retention(df: DataFrame, t_us: str, now_us: Column, days: int, future_sec: int = 300) -> DataFrame:

@@ -23,30 +23,33 @@ HANDOFF_COLUMNS = ["timestamp", "device_id", "asset_id", "rpm", "vibration_rms_r
 
 def parse_telemetry_lines(df: DataFrame, line: str) -> DataFrame:
     """JSON lines with snake_case or camelCase keys to the external record; camelCase wins when present."""
-    p = Payload(line)
+    pairs = {"rpm": ("rpm", "rpm"), "vibration_rms_raw": ("vibration_rms_raw", "vibrationRmsRaw"), "vibration_peak_hz": ("vibration_peak_hz", "vibrationPeakHz"),
+             "acoustic_rms_raw": ("acoustic_rms_raw", "acousticRmsRaw"), "acoustic_peak_hz": ("acoustic_peak_hz", "acousticPeakHz")}
+    texts = {"site": ("site_id", "siteId"), "asset": ("asset_id", "assetId"), "device": ("device_id", "deviceId"), "scenario_label": ("scenario_label", "scenarioLabel"),
+             "known_acoustic_label": ("known_acoustic_label", "knownAcousticLabel"), "vibration_unit_note": ("vibration_unit_note", "vibrationUnitNote"),
+             "acoustic_unit_note": ("acoustic_unit_note", "acousticUnitNote")}
+    other = [("is_synthetic", "isSynthetic"), ("vibration_rms_mm_s", "vibrationRmsMmS"), ("acoustic_db", "acousticDb"), ("known_vibration_label", "knownVibrationLabel"),
+             ("timestamp", "sequence"), ("source", "known_condition")]
+    keys = list(dict.fromkeys(k for pair in [*pairs.values(), *texts.values(), *other] for k in pair))
+    p = Payload(df, line, keys)
 
     def either(snake: str, camel: str, get) -> Column:
         return F.when(p.has(camel), get(camel)).otherwise(get(snake))
 
-    text = lambda k: F.try_variant_get(p.doc, f"$.{k}", "string")
+    text = lambda k: F.try_variant_get(p.raw(k), "$", "string")
     blank = lambda k: p.null(k) | (text(k) == "")
     number = lambda s, c: either(s, c, lambda k: F.when(~blank(k), finite_text(text(k))))
     bad_number = lambda s, c: either(s, c, lambda k: ~blank(k) & finite_text(text(k)).isNull())
     flag = either("is_synthetic", "isSynthetic", lambda k: F.when(F.lower(text(k)).isin("true", "false"), F.lower(text(k)) == "true"))
-    pairs = {"rpm": ("rpm", "rpm"), "vibration_rms_raw": ("vibration_rms_raw", "vibrationRmsRaw"), "vibration_peak_hz": ("vibration_peak_hz", "vibrationPeakHz"),
-             "acoustic_rms_raw": ("acoustic_rms_raw", "acousticRmsRaw"), "acoustic_peak_hz": ("acoustic_peak_hz", "acousticPeakHz")}
-    texts = {"site": ("site_id", "siteId"), "asset": ("asset_id", "assetId"), "device": ("device_id", "deviceId"), "scenario_label": ("scenario_label", "scenarioLabel"),
-             "known_acoustic_label": ("known_acoustic_label", "knownAcousticLabel"), "vibration_unit_note": ("vibration_unit_note", "vibrationUnitNote"),
-             "acoustic_unit_note": ("acoustic_unit_note", "acousticUnitNote")}
     raw_only = either("vibration_rms_mm_s", "vibrationRmsMmS", blank) & either("acoustic_db", "acousticDb", blank)
     vib_label = F.coalesce(F.nullif(either("known_vibration_label", "knownVibrationLabel", text), F.lit("")), text("known_condition"))
     bad = [bad_number(s, c) for s, c in pairs.values()]
     any_bad = bad[0] | bad[1] | bad[2] | bad[3] | bad[4]
-    code = first_failure((p.doc.isNotNull(), "INVALID_JSON"), (text("timestamp").isNotNull() & text("sequence").try_cast("long").isNotNull(), "MISSING_KEY"),
+    code = first_failure((p.sound, "INVALID_JSON"), (text("timestamp").isNotNull() & text("sequence").try_cast("long").isNotNull(), "MISSING_KEY"),
                          (~any_bad, "INVALID_NUMBER"), (raw_only, "RAW_ONLY_FIELD"), (flag.isNotNull(), "INVALID_BOOLEAN"))
-    return df.select("*", text("timestamp").alias("timestamp"), text("sequence").try_cast("long").alias("sequence"),
+    return p.df.select("*", text("timestamp").alias("timestamp"), text("sequence").try_cast("long").alias("sequence"),
                      *[either(s, c, text).alias(n) for n, (s, c) in texts.items()], *[number(s, c).alias(n) for n, (s, c) in pairs.items()],
-                     vib_label.alias("known_vibration_label"), text("source").alias("source"), flag.alias("is_synthetic"), code.alias("error_code"))
+                     vib_label.alias("known_vibration_label"), text("source").alias("source"), flag.alias("is_synthetic"), code.alias("error_code")).drop("__doc", "__keys")
 
 
 def read_telemetry_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -75,13 +78,13 @@ def read_handoff_csv(spark: SparkSession, path: str) -> DataFrame:
 def parse_topic_messages(df: DataFrame, topic: str, value: str) -> DataFrame:
     """``devices/{id}/telemetry`` messages: strict JSON object whose deviceId equals the topic's."""
     parts = F.filter(F.split(F.trim(F.col(topic)), "/"), lambda s: s != "")
-    p = Payload(value)
+    p = Payload(df, value, ["deviceId"])
     topic_ok = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "devices") & (F.get(parts, F.lit(2)) == "telemetry")
     device = F.upper(F.trim(F.get(parts, F.lit(1))))
-    body = F.upper(F.trim(F.coalesce(F.try_variant_get(p.doc, "$.deviceId", "string"), F.lit(""))))
-    code = first_failure((topic_ok, "INVALID_MQTT_TOPIC"), (strict_json_ok(value), "INVALID_JSON"), (F.schema_of_variant(p.doc).startswith("OBJECT"), "INVALID_JSON_BODY"),
+    body = F.upper(F.trim(F.coalesce(F.try_variant_get(p.raw("deviceId"), "$", "string"), F.lit(""))))
+    code = first_failure((topic_ok, "INVALID_MQTT_TOPIC"), (strict_json_ok(value), "INVALID_JSON"), (p.keys.isNotNull(), "INVALID_JSON_BODY"),
                          (device == body, "DEVICE_MAPPING_MISMATCH"))
-    return df.select("*", F.when(topic_ok, device).alias("device"), code.alias("error_code"))
+    return p.df.select("*", F.when(topic_ok, device).alias("device"), code.alias("error_code")).drop("__doc", "__keys")
 
 
 # ------------------------------------------------------------------ window archives and payloads
@@ -103,7 +106,7 @@ def encode_int16(counts: Column) -> Column:
     """Base64 of little-endian int16 values, built in the JVM."""
     word = lambda v: F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(65536))), 4, "0")
     swapped = F.transform(counts, lambda v: F.concat(F.substring(word(v), 3, 2), F.substring(word(v), 1, 2)))
-    return F.base64(F.unhex(F.array_join(swapped, "")))
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(swapped, ""))), r"[\r\n]", "")
 
 
 def _decode(kind: str, per_sample: int, limit: float | tuple):
