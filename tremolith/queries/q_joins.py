@@ -223,6 +223,19 @@ def l10(spark, sf):
     return f.groupBy(F.col("fold").cast("long").alias("fold"), "role").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+@query("l11_freeze_dataset", f"""with {_GT_SQL} select count(*) as rows, count(distinct asset) as assets, count(*) filter (label_status = 'verified') as verified, true as leak_free, true as repeat_refused from rows where t_us between 1704500000000000 and 1706000000000000""")
+def l11(spark, sf):
+    d = dataset(spark, sf).withColumn("site", F.col("asset") % 3)
+    scoped = ds.apply_source_filters(d, [], [], (1704400000000000, 1706000000000000), (1704500000000000, None), "t_us").withColumn("rpm", F.col("value") * 10)
+    rows, manifest = ds.freeze_dataset(scoped, "asset", "rpm", RATIOS, ["seq", "k"], "target_label", "DS")
+    again = ds.freeze_dataset(scoped, "asset", "rpm", RATIOS, ["seq", "k"], "target_label", "DS", manifest)[1]
+    per = rows.groupBy("asset").agg(F.count_distinct("dataset_split").alias("splits"))
+    leak = per.agg((F.max("splits") == 1).alias("leak_free"), F.count(F.lit(1)).alias("assets")).withColumn("one", F.lit(1))
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("training_eligible").alias("verified")).withColumn("one", F.lit(1))
+    refused = again.select(F.col("duplicate_of").isNotNull().alias("repeat_refused")).withColumn("one", F.lit(1))
+    return total.join(leak, "one").join(refused, "one").select("rows", "assets", "verified", "leak_free", "repeat_refused")
+
+
 @query("l12_verify_dataset", f"""with {sql.POINTS} select asset, case when asset % 9 = 0 then 'only_first' when bool_or(k = 50) then 'changed' else 'same' end as verdict from points group by asset""")
 def l12(spark, sf):
     a = points(spark, sf).select("asset", "seq", "score", "k")
