@@ -67,9 +67,9 @@ def _points(spark, seeds):
 
 def test_lifecycle_equals_the_walk(spark):
     df = _points(spark, range(12)).cache()
-    for cfg in CONFIGS:
+    for cfg, width in [(c, w) for c in CONFIGS for w in (300 * SEC, None)]:
         got = {}
-        for e in ev.event_lifecycle(df, ["asset"], ["t_us", "seq"], "t_us", cfg, 300 * SEC).collect():
+        for e in ev.event_lifecycle(df, ["asset"], ["t_us", "seq"], "t_us", cfg, width).collect():
             got.setdefault(e["asset"], []).append((e["start_us"], e["end_us"], e["end_reason"], e["max_score"], e["samples"], e["merge_count"]))
         for s in range(12):
             want = machine([(t, sc, f) for t, _, sc, f in random_points(s)], cfg)

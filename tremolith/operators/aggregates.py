@@ -140,7 +140,7 @@ def ingest_metrics(df: DataFrame, by: list[str], status: str) -> DataFrame:
     return g.withColumns({"error_rate_pct": F.round(rate, 2), "healthy": rate < 10})
 
 
-def dependency_health(df: DataFrame, key: str, order: list[str], t_us: str, status: str, split: Column) -> DataFrame:
+def dependency_health(df: DataFrame, key: str, order: list[str], t_us: str, status: str, split: Column | None) -> DataFrame:
     """Report counts, failure rate, last failure and the last degraded-to-healthy transition."""
     s = scan(df, [key], order, split, __p=prev(status))
     up = (F.col(status) != "degraded") & (F.col("__p") == "degraded")

@@ -71,16 +71,16 @@ def disposition(df: DataFrame, end_us: str, now_us: Column, retention_us: int) -
                          .otherwise(F.col("disposition")))
 
 
-def overlap_groups(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column) -> DataFrame:
+def overlap_groups(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column | None) -> DataFrame:
     """Cluster intervals whose spans touch; intervals of different clusters can never overlap."""
     at = [start, order]
     marked = scan(df, keys, at, split, __top=running_max(F.col(end), inclusive=False))
     fresh = marked.withColumn("__new", F.col("__top").isNull() | (F.col(start) >= F.col("__top"))).drop("__top")
     from ..plans.scan import running_sum
-    return scan(cut(fresh), keys, at, split, cluster=running_sum(F.col("__new").cast("long"))).drop("__new")
+    return scan(fresh if split is None else cut(fresh), keys, at, split, cluster=running_sum(F.col("__new").cast("long"))).drop("__new")
 
 
-def reject_overlaps(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column) -> DataFrame:
+def reject_overlaps(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column | None) -> DataFrame:
     """Accept in arrival order unless the span overlaps an already accepted one (``start < e and end > s``).
 
     Only intervals of one overlap cluster influence each other, so clusters of one are accepted by
@@ -92,7 +92,8 @@ def reject_overlaps(df: DataFrame, keys: list[str], start: str, end: str, order:
 
     grouped = overlap_groups(df, keys, start, end, order, split)
     sizes = grouped.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("__n"))
-    tagged = cut(grouped.join(sizes, [*keys, "cluster"]))
+    tagged = grouped.join(sizes, [*keys, "cluster"])
+    tagged = tagged if split is None else cut(tagged)
     alone = tagged.filter("__n = 1").withColumn("accepted", F.lit(True))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema.fields]
 

@@ -6,12 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import bucket, first_failure
-from ..plans.scan import following, history, last_set, numbered, prev, running_max, running_sum, runs, scan
+from ..functions.numeric import first_failure
+from ..plans.scan import following, history, last_set, prev, running_max, running_sum, runs, scan, split_or
 from ..session import cut
 
-DAY_US = 86_400_000_000
-
 
 @dataclass(frozen=True)
 class Lifecycle:
@@ -42,7 +40,7 @@ def lifecycle_params(rules: DataFrame) -> DataFrame:
 
 
 def order_points(df: DataFrame, keys: list[str], t_us: str, device: str, seq: str, received: str,
-                 arrival: str, split: Column) -> tuple[DataFrame, DataFrame]:
+                 arrival: str, split: Column | None) -> tuple[DataFrame, DataFrame]:
     """Split points into accepted (in total order on arrival) and out-of-order ones.
 
     A point is late when its (time, device, sequence, received) key is not above every key that
@@ -61,7 +59,7 @@ def classify(score: Column, fault: Column, cfg: Lifecycle) -> Column:
             .when(score >= cfg.enter, "O").when(score < cfg.exit, "U").otherwise("M"))
 
 
-def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column, cls: Column, t_us: str,
+def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column | None, cls: Column, t_us: str,
                n_enter: int, n_exit: int, sec_enter: float = 0.0, sec_exit: float = 0.0,
                unbroken: Column | None = None, value: str | None = None) -> DataFrame:
     """Row-level open/close state for an O/U/M/N/F stream.
@@ -82,7 +80,9 @@ def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column,
     trigger = (F.when((F.col("cls") == "O") & (F.col("run_n") >= n_enter) & (lasting >= sec_enter * 1e6), "open")
                .when((F.col("cls") == "U") & (F.col("run_n") >= n_exit) & (lasting >= sec_exit * 1e6), "recovered")
                .when(F.col("cls") == "F", "sensor_fault"))
-    two = cut(two.withColumn("trigger", trigger))
+    two = two.withColumn("trigger", trigger)
+    if split is not None:
+        two = cut(two)
     extra = {"run_peak": running_max(F.struct("run_id", F.col(value).alias("v")))} if value else {}
     three = scan(two, keys, order, split, held=last_set(F.col("trigger"), inclusive=False), **extra)
     was_open = F.coalesce(F.col("held") == "open", F.lit(False))
@@ -95,7 +95,7 @@ def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column,
     return out.drop("held")
 
 
-def segments(rows: DataFrame, keys: list[str], order: list[str], split: Column, t_us: str, value: str) -> DataFrame:
+def segments(rows: DataFrame, keys: list[str], order: list[str], split: Column | None, t_us: str, value: str) -> DataFrame:
     """One row per open-to-close stretch; partial aggregation keeps hot streams spread."""
     at = F.struct(*order)
     tagged = scan(rows, keys, order, split, seg=last_set(F.when(F.col("opened"), F.col("pos"))))
@@ -116,14 +116,18 @@ def segments(rows: DataFrame, keys: list[str], order: list[str], split: Column,
 
 
 def event_lifecycle(df: DataFrame, keys: list[str], order: list[str], t_us: str, cfg: Lifecycle = Lifecycle(),
-                    bucket_us: int = DAY_US) -> DataFrame:
+                    bucket_us: int | None = None) -> DataFrame:
     """Score points to merged events: start, end, reason, peak, samples and merge count."""
-    split = bucket(t_us, bucket_us)
+    split = split_or(df, keys, t_us, bucket_us)
     clean = df.withColumn("score", F.when(~F.col("fault"), F.col("score")))
     rows = state_rows(clean, keys, order, split, classify(F.col("score"), F.col("fault"), cfg), t_us,
                       cfg.n_enter, cfg.n_exit, cfg.sec_enter, cfg.sec_exit, value="score")
-    segs = cut(segments(rows, keys, order, split, t_us, "score"))
-    seg_split = bucket("start_us", bucket_us)
+    segs = segments(rows, keys, order, split, t_us, "score")
+    # segments start in stream order, so the same time buckets split them
+    seg_split = None
+    if split is not None:
+        segs = cut(segs.withColumn(t_us, F.col("start_us")).withColumn("__split", split).drop(t_us))
+        seg_split = F.col("__split")
     chained = scan(segs, keys, ["seg"], seg_split, p=prev(F.struct("end_us", "end_reason", "faults_end")))
     gap = F.col("start_us") - F.col("p.end_us")
     merged = ((F.col("p.end_reason") == "recovered") & gap.between(0, cfg.merge_gap_sec * 1_000_000)
@@ -151,7 +155,7 @@ def event_records(events: DataFrame, keys: list[str], rule_version: str, model:
 
 
 def apply_fault_boundary(points: DataFrame, faults: DataFrame, keys: list[str], t_us: str, seq: str,
-                         bucket_us: int = DAY_US) -> DataFrame:
+                         bucket_rows: int | None = None) -> DataFrame:
     """Put health boundaries into the ordered stream and drop points at or before a boundary.
 
     A boundary that was received after later measurements moves up to the newest measurement that
@@ -161,7 +165,7 @@ def apply_fault_boundary(points: DataFrame, faults: DataFrame, keys: list[str],
             .unionByName(faults.select(*keys, t_us, F.lit(None).cast("long").alias(seq),
                                        F.lit(None).cast("double").alias("score"), F.lit(True).alias("fault"),
                                        "arrival", F.lit(True).alias("boundary"))))
-    split = bucket("arrival", 100_000)
+    split = split_or(both, keys, "arrival", bucket_rows)
     moved = scan(both, keys, ["arrival"], split, __top=running_max(F.col(t_us)))
     moved = moved.withColumn(t_us, F.when(F.col("boundary"), F.col("__top")).otherwise(F.col(t_us)))
     limited = scan(moved, keys, ["arrival"], split,
@@ -171,7 +175,7 @@ def apply_fault_boundary(points: DataFrame, faults: DataFrame, keys: list[str],
 
 
 def hysteresis(df: DataFrame, keys: list[str], idx: str, sigma: str, valid: Column, enter: float, exit: float,
-               n_enter: int, n_exit: int, split: Column) -> tuple[DataFrame, DataFrame]:
+               n_enter: int, n_exit: int, split: Column | None) -> tuple[DataFrame, DataFrame]:
     """Deviation stream to per-window states and events; an invalid window only breaks runs."""
     cls = (F.when(~F.coalesce(valid, F.lit(False)), "N").when(F.col(sigma) >= enter, "O")
            .when(F.col(sigma) < exit, "U").otherwise("M"))
@@ -204,10 +208,10 @@ POLICIES = {"single": (1, 1), "two_of_three": (3, 2), "three_of_five": (5, 3),
 
 
 def persistence(df: DataFrame, keys: list[str], idx: str, hit: str, valid: str,
-                policies: dict[str, tuple[int, int]] = POLICIES, index_bucket: int = 100_000) -> DataFrame:
+                policies: dict[str, tuple[int, int]] = POLICIES, index_bucket: int | None = None) -> DataFrame:
     """Causal N-of-M decisions: -1 pending or invalid, 0 normal, 1 anomaly, one column per policy."""
     widest = max(w for w, _ in policies.values())
-    split = bucket(idx, index_bucket)
+    split = split_or(df, keys, idx, index_bucket)
     past = history(df, keys, [idx], split, F.struct(F.col(idx).alias("i"), F.col(hit).alias("h"), F.col(valid).alias("ok")),
                    widest - 1, "__past") if widest > 1 else df.withColumn("__past", F.array().cast("array<struct<i:bigint,h:boolean,ok:boolean>>"))
     recent = F.reverse("__past")
@@ -224,7 +228,7 @@ def persistence(df: DataFrame, keys: list[str], idx: str, hit: str, valid: str,
     return past.select("*", *[decide(w, n).alias(p) for p, (w, n) in policies.items()]).drop("__past")
 
 
-def confirm3(df: DataFrame, keys: list[str], order: list[str], split: Column, idx: str, uptime: str,
+def confirm3(df: DataFrame, keys: list[str], order: list[str], split: Column | None, idx: str, uptime: str,
              verdict: str, available: Column, stream: list[str], model: list[str]) -> DataFrame:
     """Three consecutive verdicts with the reason why a chain was reset.
 
@@ -252,7 +256,7 @@ def confirm3(df: DataFrame, keys: list[str], order: list[str], split: Column, id
         "__h", "__ok", "run_id", "run_n", "run_at", "pos")
 
 
-def incidents_3x3(df: DataFrame, keys: list[str], order: list[str], t_us: str, split: Column, verdict: str,
+def incidents_3x3(df: DataFrame, keys: list[str], order: list[str], t_us: str, split: Column | None, verdict: str,
                   usable: Column, unbroken: Column) -> DataFrame:
     """Open on three hits, close on three clears, for streams keyed down to one target and model."""
     cls = F.when(~F.coalesce(usable, F.lit(False)), "N").when(F.col(verdict), "O").otherwise("U")
@@ -274,7 +278,7 @@ def snapshot_reason(now_us: Column, captured: str, late: str, is_latest: str, qu
         (F.col(score).isNotNull() & ~F.isnan(score) & (F.col(verdict) == (F.col(score) > threshold)), "MODEL_RESULT_INVALID"))
 
 
-def snapshot_incidents(df: DataFrame, keys: list[str], order: list[str], t_us: str, split: Column,
+def snapshot_incidents(df: DataFrame, keys: list[str], order: list[str], t_us: str, split: Column | None,
                        eligible: Column, verdict: str) -> DataFrame:
     """One anomalous eligible observation opens, one normal eligible observation closes."""
     cls = F.when(~F.coalesce(eligible, F.lit(False)), "N").when(F.col(verdict), "O").otherwise("U")
@@ -298,9 +302,9 @@ def age_observations(incidents: DataFrame, latest: DataFrame, keys: list[str], n
 
 
 def offline_intervals(df: DataFrame, keys: list[str], order: list[str], t_us: str, offline_sec: int,
-                      now_us: Column, bucket_us: int = DAY_US) -> DataFrame:
+                      now_us: Column, bucket_us: int | None = None) -> DataFrame:
     """Telemetry gaps beyond the limit: offline since last + limit, recovered at the next row or still open."""
-    nxt = scan(df.select(*dict.fromkeys([*keys, *order, t_us])), keys, order, bucket(t_us, bucket_us), nxt=following(t_us))
+    nxt = scan(df.select(*dict.fromkeys([*keys, *order, t_us])), keys, order, split_or(df, keys, t_us, bucket_us), nxt=following(t_us))
     until = F.coalesce(F.col("nxt"), now_us)
     return nxt.filter(until - F.col(t_us) > offline_sec * 1_000_000).select(
         *keys, (F.col(t_us) + offline_sec * 1_000_000).alias("offline_us"), F.col("nxt").alias("recovered_us"))
@@ -333,11 +337,12 @@ def sensor_faults(devices: DataFrame, telemetry: DataFrame, key: str, order: lis
 
 
 def fault_episodes(reports: DataFrame, keys: list[str], order: list[str], t_us: str, status: str,
-                   bucket_us: int = DAY_US) -> DataFrame:
+                   bucket_us: int | None = None) -> DataFrame:
     """Active/recovered reports per (device, code) to episodes with whole-second duration."""
-    split = bucket(t_us, bucket_us)
+    split = split_or(reports, keys, t_us, bucket_us)
     marked = scan(reports.select(*dict.fromkeys([*keys, *order, t_us, status])), keys, order, split, was=prev(status))
-    edges = cut(marked.filter(F.col("was").isNull() | (F.col("was") != F.col(status))))
+    edges = marked.filter(F.col("was").isNull() | (F.col("was") != F.col(status)))
+    edges = edges if split is None else cut(edges)
     paired = scan(edges, keys, order, split, ended=following(t_us))
     return paired.filter(F.col(status) == "active").select(
         *keys, F.col(t_us).alias("start_us"), F.col("ended").alias("end_us"),
@@ -345,7 +350,7 @@ def fault_episodes(reports: DataFrame, keys: list[str], order: list[str], t_us:
         F.greatest(F.lit(0), F.floor((F.col("ended") - F.col(t_us)) / 1_000_000)).cast("long").alias("duration_sec"))
 
 
-def edge_trigger(df: DataFrame, keys: list[str], order: list[str], split: Column, t_us: str, rms: str, peak: str,
+def edge_trigger(df: DataFrame, keys: list[str], order: list[str], split: Column | None, t_us: str, rms: str, peak: str,
                  usable: Column, linked: Column, cfg: dict) -> DataFrame:
     """Device trigger replay: severe, 2-of-3 low/high votes, quality, and a timed stable recovery.
 

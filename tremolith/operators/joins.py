@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import bucket
-from ..plans.scan import last_set, scan
+from ..plans.scan import last_set, scan, split_or
 
 HOUR_US = 3_600_000_000
 BROADCAST_ROWS = 200_000
@@ -82,15 +82,13 @@ def nearest_point(events: DataFrame, points: DataFrame, keys: list[str], event_i
     return events.join(best, event_id, "left").select(*events.columns, *[F.col("n")[c].alias(f"near_{c}") for c in take])
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, changed: str, values: list[str], width: int = 24 * HOUR_US) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, changed: str, values: list[str], width: int | None = None) -> DataFrame:
     """Latest right state at or before each left row, as one ordered scan instead of a range join."""
-    fields = [f for f in left.columns if f not in (*keys, at)]
     state = F.struct(*[F.col(v) for v in values])
     r = right.select(*keys, F.col(changed).alias("__t"), F.lit(0).alias("__side"), state.alias("__state"))
-    tie = F.monotonically_increasing_id()
     l = left.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
     both = r.unionByName(l, allowMissingColumns=True)
-    s = scan(both, keys, ["__t", "__side"], bucket("__t", width), seen=last_set(F.col("__state")))
+    s = scan(both, keys, ["__t", "__side"], split_or(both, keys, "__t", width), seen=last_set(F.col("__state")))
     return s.filter("__side = 1").select("__row.*", *[F.col("seen")[v].alias(v) for v in values])
 
 

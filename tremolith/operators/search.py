@@ -55,7 +55,7 @@ def canonical_order(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def phase_order(df: DataFrame, scenario: str, order: list[str], split: Column) -> DataFrame:
+def phase_order(df: DataFrame, scenario: str, order: list[str], split: Column | None) -> DataFrame:
     """Readable replay order: normal thirds between the anomaly groups; ties keep the source order."""
     from ..plans.scan import numbered
     pos = numbered(df, [scenario], order, split, "__p")

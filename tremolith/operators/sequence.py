@@ -11,13 +11,13 @@ from ..session import cut
 WINDOW_US = 640_000
 
 
-def with_gap(df: DataFrame, keys: list[str], idx: str, split: Column) -> DataFrame:
+def with_gap(df: DataFrame, keys: list[str], idx: str, split: Column | None) -> DataFrame:
     """Windows missing before each one; the first of a stream misses its own index."""
     s = scan(df, keys, [idx], split, __p=prev(idx))
     return s.withColumn("gap", F.when(F.col("__p").isNull(), F.col(idx)).otherwise(F.col(idx) - F.col("__p") - 1)).drop("__p")
 
 
-def sequence_conflicts(df: DataFrame, keys: list[str], arrival: str, idx: str, uptime: str, context: list[str], split: Column) -> DataFrame:
+def sequence_conflicts(df: DataFrame, keys: list[str], arrival: str, idx: str, uptime: str, context: list[str], split: Column | None) -> DataFrame:
     """In arrival order: index or uptime not increasing, or site/asset/profile changed."""
     s = scan(df, keys, [arrival], split, __i=running_max(F.col(idx), inclusive=False),
              __u=running_max(F.col(uptime), inclusive=False), __c=first_of(F.struct(*context)))
@@ -27,9 +27,10 @@ def sequence_conflicts(df: DataFrame, keys: list[str], arrival: str, idx: str, u
 
 
 def accept_backfill(df: DataFrame, keys: list[str], arrival: str, idx: str, uptime: str, captured: str,
-                    arrival_split: Column, idx_split: Column) -> DataFrame:
+                    arrival_split: Column | None, idx_split: Column | None) -> DataFrame:
     """A late window may fill a hole only if uptime and time lie strictly between both index neighbours."""
-    seen = cut(scan(df, keys, [arrival], arrival_split, __top=running_max(F.col(idx), inclusive=False)))
+    seen = scan(df, keys, [arrival], arrival_split, __top=running_max(F.col(idx), inclusive=False))
+    seen = seen if arrival_split is None else cut(seen)
     pair = F.struct(F.col(uptime).alias("u"), F.col(captured).alias("c"))
     n = scan(seen, keys, [idx, arrival], idx_split, __b=prev(pair), __a=following(pair))
     late = F.col("__top").isNotNull() & (F.col(idx) <= F.col("__top"))
@@ -38,7 +39,7 @@ def accept_backfill(df: DataFrame, keys: list[str], arrival: str, idx: str, upti
     return n.withColumns({"late": late, "accepted": ~late | fits}).drop("__top", "__a", "__b")
 
 
-def clock_drift(df: DataFrame, keys: list[str], arrival: str, uptime: str, captured: str, split: Column,
+def clock_drift(df: DataFrame, keys: list[str], arrival: str, uptime: str, captured: str, split: Column | None,
                 limit_us: int = 1_000_000) -> DataFrame:
     """Cumulative disagreement of UTC and uptime against the stream's first window."""
     s = scan(df, keys, [arrival], split, __a=first_of(F.struct(F.col(uptime).alias("u"), F.col(captured).alias("c"))))
@@ -46,7 +47,7 @@ def clock_drift(df: DataFrame, keys: list[str], arrival: str, uptime: str, captu
     return s.withColumns({"drift_us": drift, "clock_ok": drift <= limit_us}).drop("__a")
 
 
-def is_continuous(df: DataFrame, keys: list[str], idx: str, uptime: str, split: Column,
+def is_continuous(df: DataFrame, keys: list[str], idx: str, uptime: str, split: Column | None,
                   low_us: int = 630_000, high_us: int = 670_000) -> DataFrame:
     """Start-to-start interval and whether it lies in the inclusive continuity range."""
     s = scan(df, keys, [idx], split, __p=prev(uptime))
@@ -54,13 +55,13 @@ def is_continuous(df: DataFrame, keys: list[str], idx: str, uptime: str, split:
     return s.withColumns({"interval_us": step, "continuous": F.coalesce(step.between(low_us, high_us), F.lit(False))}).drop("__p")
 
 
-def flag_late(df: DataFrame, keys: list[str], arrival: str, captured: str, split: Column) -> DataFrame:
+def flag_late(df: DataFrame, keys: list[str], arrival: str, captured: str, split: Column | None) -> DataFrame:
     """Late when not newer than everything that arrived before."""
     s = scan(df, keys, [arrival], split, __m=running_max(F.col(captured), inclusive=False))
     return s.withColumn("late", F.col("__m").isNotNull() & (F.col(captured) <= F.col("__m"))).drop("__m")
 
 
-def make_sequences(df: DataFrame, keys: list[str], idx: str, n: int, value: Column, split: Column) -> DataFrame:
+def make_sequences(df: DataFrame, keys: list[str], idx: str, n: int, value: Column, split: Column | None) -> DataFrame:
     """Non-overlapping sequences of ``n`` contiguous windows; a gap starts over, remainders are dropped."""
     one = scan(df.withColumn("__v", value), keys, [idx], split, __p=prev(idx), pos=running_sum(F.lit(1).cast("long")))
     linked = runs(one, keys, [idx], split, F.col("__p").isNull() | (F.col(idx) != F.col("__p") + 1), F.col(idx))
@@ -93,7 +94,7 @@ def sequence_status(df: DataFrame, keys: list[str], idx: str, n: int, start: str
                     .when(~F.col("steady"), "SEQUENCE_DISCONTINUOUS").alias("reason"))
 
 
-def with_history(df: DataFrame, keys: list[str], order: list[str], split: Column, scheduled: Column, value: Column, n: int) -> DataFrame:
+def with_history(df: DataFrame, keys: list[str], order: list[str], split: Column | None, scheduled: Column, value: Column, n: int) -> DataFrame:
     """The last ``n`` scheduled values strictly before each row, for scheduled and event rows alike."""
     marked = df.withColumns({"__sched": F.coalesce(scheduled, F.lit(False)), "__val": value})
     sched = history(marked.filter("__sched"), keys, order, split, F.col("__val"), n, "history")
@@ -131,7 +132,7 @@ def history_reason(hist: Column, current: Column, n: int) -> Column:
             .when(current["slot"].isNull() & ~F.coalesce(fresh, F.lit(False)), "EVENT_HISTORY_TOO_OLD"))
 
 
-def audit_sessions(df: DataFrame, sessions: DataFrame, split: Column, tolerance_us: int = 1_000_000,
+def audit_sessions(df: DataFrame, sessions: DataFrame, split: Column | None, tolerance_us: int = 1_000_000,
                    window_us: int = WINDOW_US) -> DataFrame:
     """Collection audit per session: counts, gaps, timing and clock error, coverage, blocking reasons.
 

@@ -433,7 +433,7 @@ def feature_issues(df: DataFrame, key: str, features: str, baseline: DataFrame |
 
 # ------------------------------------------------------------------ devices, sessions, exports
 
-def validate_health(df: DataFrame, key: str, order: str, split: Column) -> tuple[DataFrame, DataFrame]:
+def validate_health(df: DataFrame, key: str, order: str, split: Column | None) -> tuple[DataFrame, DataFrame]:
     """Device health ranges and staleness, and the exploded sensor-fault entries with their own code.
 
     ``faults``: array of struct(code, status, severity, detail).  A report older than one that arrived before is stale.

@@ -5,6 +5,9 @@ stream is cut into buckets that are monotone in its order (an hour, a day, ten t
 A local window runs inside each (key, bucket); a partial aggregate shrinks each bucket to one
 summary row; a second window over the summaries yields what each bucket inherits from the buckets
 before (or after) it; the two are joined on (key, bucket).  Results equal the plain window exactly.
+
+A split of ``None`` means the caller knows (see :func:`auto_split`) that every key fits a task; the
+scan is then the plain window with one shuffle and one sort.
 """
 
 from __future__ import annotations
@@ -61,6 +64,34 @@ def first_of(expr) -> Item:
     return Item("first", col(expr))
 
 
+TASK_ROWS = 2_000_000
+
+
+def auto_split(df: DataFrame, keys: list[str], at: str, task_rows: int | None = None, probes: int = 1024) -> Column | None:
+    """Bucket expression over the numeric order column ``at`` sized from the data, or None when every key fits a task.
+
+    One pass counts rows per (key, slot of the span); both counts are partial aggregates.  When the largest
+    key exceeds ``task_rows``, buckets get as many slots as the densest slot allows, or a fraction of one.
+    """
+    task_rows = TASK_ROWS if task_rows is None else task_rows
+    low, high, total = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    if total <= task_rows:
+        return None
+    slot = max(1, (high - low) // probes + 1)
+    per = df.groupBy(*keys, F.floor((F.col(at) - low) / F.lit(slot)).alias("__slot")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy(*keys).agg(F.sum("n").alias("key_rows"), F.max("n").alias("slot_rows")).agg(F.max("key_rows"), F.max("slot_rows")).first()
+    if sizes[0] <= task_rows:
+        return None
+    dense = sizes[1]
+    width = slot * (task_rows // dense) if dense <= task_rows else max(1, slot // -(-dense // task_rows))
+    return F.floor((F.col(at) - low) / F.lit(width)).cast("long")
+
+
+def split_or(df: DataFrame, keys: list[str], at: str, width: int | None) -> Column | None:
+    """A given fixed width, or one sized from the data."""
+    return auto_split(df, keys, at) if width is None else F.floor(F.col(at) / F.lit(width)).cast("long")
+
+
 def _join_back(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     renamed = carry.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__b"])],
                            *[F.col(c) for c in carry.columns if c.startswith("__c_")])
@@ -68,8 +99,24 @@ def _join_back(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
     return local.join(renamed, same, "inner")
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **items: Item) -> DataFrame:
+def _plain(df: DataFrame, keys: list[str], order: list[str], items: dict[str, Item]) -> DataFrame:
+    near = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    start = Window.unboundedPreceding
+    made = {
+        "prev": lambda e, i: F.lag(e).over(near), "next": lambda e, i: F.lead(e).over(near), "first": lambda e, i: F.first(e).over(near.rowsBetween(start, 0)),
+        "sum": lambda e, i: F.coalesce(F.sum(e).over(near.rowsBetween(start, i)), F.lit(0)), "max": lambda e, i: F.max(e).over(near.rowsBetween(start, i)),
+        "min": lambda e, i: F.min(e).over(near.rowsBetween(start, i)), "last": lambda e, i: F.last(e, ignorenulls=True).over(near.rowsBetween(start, i)),
+        "ahead": lambda e, i: F.last(e, ignorenulls=True).over(back.rowsBetween(start, i))}
+    base = df.withColumns({f"__e_{n}": i.expr for n, i in items.items()})
+    keep = [F.col(c) for c in df.columns if c not in items]
+    return base.select(*keep, *[made[i.kind](F.col(f"__e_{n}"), 0 if i.inclusive else -1).alias(n) for n, i in items.items()])
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, **items: Item) -> DataFrame:
     """Add one column per item; ``bucket`` must never decrease along ``order``."""
+    if bucket is None:
+        return _plain(df, keys, order, items)
     names = list(df.columns)
     base = df.withColumns({"__b": bucket, **{
         f"__e_{n}": F.struct(i.expr.alias("v")) if i.kind in ("prev", "next", "first") else i.expr
@@ -129,10 +176,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **ite
     return joined.select(*[F.col(n) for n in names if n not in items], *[v.alias(k) for k, v in result.items()])
 
 
-def history(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, n: int,
+def history(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, value: Column, n: int,
             name: str = "history") -> DataFrame:
     """Add an array of the ``n`` preceding values, oldest first (shorter at stream start)."""
     names = [c for c in df.columns if c != name]
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        plain = df.withColumn("__v", value).withColumn("__l", F.collect_list(F.struct(F.col("__v").alias("v"))).over(w))
+        return plain.select(*names, F.transform("__l", lambda x: x["v"]).alias(name))
     base = df.withColumns({"__b": bucket, "__v": value})
     near = Window.partitionBy(*keys, "__b").orderBy(*order)
     back = Window.partitionBy(*keys, "__b").orderBy(*[F.col(o).desc() for o in order])
@@ -151,12 +202,12 @@ def _last(array: Column, n: int) -> Column:
     return F.when(F.size(array) <= n, array).otherwise(F.slice(array, -n, n))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, name: str = "pos") -> DataFrame:
     """Dense 1-based position of every row in its stream."""
     return scan(df, keys, order, bucket, **{name: running_sum(F.lit(1).cast("long"))})
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column, start: Column, at: Column) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, start: Column, at: Column) -> DataFrame:
     """Run bookkeeping for rows whose boolean ``start`` opens a new run.
 
     Adds ``run_id`` (position of the first row), ``run_n`` (1-based place in the run) and

@@ -4,10 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket, r6
+from ..functions.numeric import r6
 from ..operators import events as ev, features as fe, scoring as sc
 from ..plans.registry import query
-from ..plans.scan import numbered
+from ..plans.scan import auto_split, numbered
 from ..sources.tables import points, snapshots, table, vectors
 from . import sql
 from .q_joins import spans
@@ -191,7 +191,8 @@ _BESSEL = lambda x: f"(select sum(pow(({x}) / 2, 2 * m) / pow(gamma(m + 1.0), 2)
   select stream, unnest(range(32, cast(ceil(n / 16.0) as bigint) - 32)) as j from n)
   select o.stream, o.j - 32 as pos, round(sum(s.x * nt.h), 6) + 0.0 as x from o join s on s.stream = o.stream and s.pos between o.j * 16 - 512 and o.j * 16 + 512 join nt on nt.k = o.j * 16 - s.pos + 512 group by o.stream, o.j""")
 def e15(spark, sf):
-    n = numbered(vectors(spark, sf), ["stream"], ["vec_id"], bucket("vec_id", 100_000), "n")
+    v = vectors(spark, sf)
+    n = numbered(v, ["stream"], ["vec_id"], auto_split(v, ["stream"], "vec_id"), "n")
     s = n.select("stream", F.posexplode("v").alias("i", "x"), "n").select("stream", ((F.col("n") - 1) * 64 + F.col("i")).alias("pos"), "x")
     d = fe.decimate(s, "stream", "pos", "x", block=2048)
     return d.select("stream", "pos", r6("x").alias("x"))
@@ -383,8 +384,9 @@ def x10(spark, sf):
 @query("x10_autoencoder_lstm")
 def x10l(spark, sf):
     from ..operators.sequence import make_sequences
-    n = numbered(snapshots(spark, sf), ["stream"], ["vec_id"], bucket("vec_id", 100_000), "idx")
-    q = make_sequences(n, ["stream"], "idx", 5, F.col("x"), bucket("idx", 10_000))
+    s = snapshots(spark, sf)
+    n = numbered(s, ["stream"], ["vec_id"], auto_split(s, ["stream"], "vec_id"), "idx")
+    q = make_sequences(n, ["stream"], "idx", 5, F.col("x"), auto_split(n, ["stream"], "idx"))
     return sc.score_autoencoder(q, "sequence", LSTM, True).select("stream", "start_idx", F.round("error", 4).alias("error"), "status")
 
 

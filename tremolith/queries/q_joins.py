@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import bucket, r6
 from ..operators import alerts as al, datasets as ds, joins as jn, search as se
 from ..plans.registry import query
+from ..plans.scan import auto_split
 from ..sources.tables import DAY_US, points, table, windows
 from . import sql
 from .q_aggregates import evaluation, _EVAL_SQL
@@ -117,7 +118,7 @@ def j13(spark, sf):
 @query("j14_device_map", """select seq, 'DEV-' || lpad(cast(dense_rank() over (order by asset) as varchar), 3, '0') as device from (select event_id as seq, user_id as asset from events)""")
 def j14(spark, sf):
     p = points(spark, sf).select("seq", "asset")
-    return jn.device_map(p, "asset", bucket("asset", 1000)).select("seq", "device")
+    return jn.device_map(p, "asset", bucket("asset", 100_000)).select("seq", "device")
 
 
 @query("j16_spine", f"""with {sql.POINTS}, s as (select asset, unnest(generate_series(1704067200000000, 1706659200000000 - 1, 86400000000)) as bucket from (select distinct asset from points))
@@ -250,7 +251,7 @@ _ACT = "case when event_type = 'view' then 'register' when event_type = 'click'
   select version, arg_max(case action when 'register' then 'draft' when 'freeze' then 'frozen' when 'approve' then 'approved' when 'activate' then 'active' else 'approved' end, seq) as state, arg_max(digest, seq) as digest, count(*) as actions,
     bool_or(action = 'approve') as ever_approved, count(distinct digest) as digests from l group by version""")
 def l13(spark, sf):
-    return ds.registry_state(_registry_log(spark, sf), "version", ["seq"], bucket("seq", 100_000))
+    return ds.registry_state(_registry_log(spark, sf), "version", ["seq"])
 
 
 def _registry_log(spark, sf):
@@ -284,7 +285,7 @@ def l15(spark, sf):
   select asset, chunk, min(seq) as first, round(sum(value), 6) as total from p group by asset, chunk having count(*) = 5""")
 def l15s(spark, sf):
     p = points(spark, sf).withColumn("v", F.array("value"))
-    s = ds.training_sequences(p, ["asset"], "seq", "v", 5, bucket("seq", 100_000))
+    s = ds.training_sequences(p, ["asset"], "seq", "v", 5, auto_split(p, ["asset"], "seq"))
     return s.select("asset", "chunk", "first", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]), 6).alias("total"))
 
 
@@ -323,7 +324,7 @@ def l17l(spark, sf):
 @query("l18_history_view", f"with {sql.POINTS} select asset, seq, t_us as valid_from, lead(t_us) over (partition by asset order by t_us, seq) as valid_to from points where event_type = 'view'")
 def l18(spark, sf):
     p = points(spark, sf).filter("event_type = 'view'").select("asset", "seq", "t_us")
-    v = ds.history_view(p.withColumn("at_us", F.col("t_us")), ["asset"], "at_us", ["t_us", "seq"], bucket("t_us", DAY_US))
+    v = ds.history_view(p.withColumn("at_us", F.col("t_us")), ["asset"], "at_us", ["t_us", "seq"], auto_split(p, ["asset"], "t_us"))
     return v.drop("t_us")
 
 
@@ -387,7 +388,8 @@ _SCN = "case when event_type = 'error' then 'vibration_anomaly' when event_type
 @query("o07_phase_order", f"""with {sql.POINTS}, s as (select seq, {_SCN} as scenario from points), n as (select *, row_number() over (partition by scenario order by seq) as p, count(*) filter (scenario = 'normal') over () as n from s)
   select seq, scenario, case when scenario = 'vibration_anomaly' then 1 when scenario = 'acoustic_anomaly' then 3 when scenario = 'combined_anomaly' then 5 when p <= n // 3 then 0 when p <= 2 * (n // 3) then 2 else 4 end as phase, p as phase_pos from n""")
 def o07(spark, sf):
-    return se.phase_order(points(spark, sf).select("seq", F.expr(_SCN).alias("scenario")), "scenario", ["seq"], bucket("seq", 100_000))
+    p = points(spark, sf).select("seq", F.expr(_SCN).alias("scenario"))
+    return se.phase_order(p, "scenario", ["seq"], auto_split(p, ["scenario"], "seq"))
 
 
 @query("o08_due_deliveries", f"""with {sql.POINTS} select event_type as channel, seq as id from points where k % 2 = 0 and t_us <= 1705500000000000 qualify row_number() over (partition by event_type order by t_us, seq) <= 100""")

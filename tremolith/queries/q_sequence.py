@@ -2,26 +2,23 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket, r6
+from ..functions.numeric import r6
 from ..operators import dedupe as dd, sequence as sq
 from ..plans.registry import query
-from ..sources.tables import DAY_US, points, snapshots, table, windows
+from ..plans.scan import auto_split
+from ..sources.tables import DAY_US, points, snapshots, table, vectors, windows
 from . import sql
 from .q_events import _NOW, first_windows
 
 KEYS = ["device", "boot"]
-def by_idx():
-    return bucket("idx", 10_000)
-
-
-def by_ord():
-    return bucket("ordinal", 100_000)
+def sized(spark, sf, at="idx"):
+    return auto_split(windows(spark, sf), KEYS, at)
 
 
 @query("d01_gap", f"""with {sql.FIRST_WINDOWS} select device, boot, idx,
   coalesce(idx - lag(idx) over (partition by device, boot order by idx) - 1, idx) as gap from fw""")
 def d01(spark, sf):
-    return sq.with_gap(first_windows(spark, sf).select("device", "boot", "idx"), KEYS, "idx", by_idx())
+    return sq.with_gap(first_windows(spark, sf).select("device", "boot", "idx"), KEYS, "idx", sized(spark, sf))
 
 
 @query("d02_sequence_conflicts", f"""with {sql.WINDOWS}, r as (select *, max(idx) over w as mi, max(uptime_us) over w as mu,
@@ -29,7 +26,7 @@ def d01(spark, sf):
   window w as (partition by device, boot order by ordinal rows between unbounded preceding and 1 preceding))
   select ordinal, case when mi is null then null when s0 <> site then 'CONTEXT_CHANGED' when idx <= mi or uptime_us <= mu then 'OUT_OF_ORDER' end as conflict from r""")
 def d02(spark, sf):
-    return sq.sequence_conflicts(windows(spark, sf), KEYS, "ordinal", "idx", "uptime_us", ["site"], by_ord()).select("ordinal", "conflict")
+    return sq.sequence_conflicts(windows(spark, sf), KEYS, "ordinal", "idx", "uptime_us", ["site"], sized(spark, sf, "ordinal")).select("ordinal", "conflict")
 
 
 _LATE_SQL = f"""{sql.FIRST_WINDOWS}, q as (select *, case when k % 6 = 0 then ordinal + 40 * (k + 1) else ordinal end as arrival, ordinal as o2 from fw), a as (
@@ -47,15 +44,15 @@ def _late(spark, sf):
   select device, boot, idx, top is not null and idx <= top as late, (top is null or idx > top) or
     ((bu is null or (bu < uptime_us and bc < captured_us)) and (au is null or (au > uptime_us and ac > captured_us))) as accepted from n""")
 def d03(spark, sf):
-    return sq.accept_backfill(_late(spark, sf), KEYS, "arrival", "idx", "uptime_us", "captured_us",
-                              bucket("arrival", 10_000_000 * 100_000), by_idx()).select("device", "boot", "idx", "late", "accepted")
+    late = _late(spark, sf)
+    return sq.accept_backfill(late, KEYS, "arrival", "idx", "uptime_us", "captured_us", auto_split(late, KEYS, "arrival"), sized(spark, sf)).select("device", "boot", "idx", "late", "accepted")
 
 
 @query("d04_clock_drift", f"""with {sql.FIRST_WINDOWS}, a as (select *, first_value(uptime_us) over w as u0, first_value(captured_us) over w as c0
   from fw window w as (partition by device, boot order by ordinal))
   select device, boot, idx, abs((captured_us - c0) - (uptime_us - u0)) as drift_us, abs((captured_us - c0) - (uptime_us - u0)) <= 1000000 as clock_ok from a""")
 def d04(spark, sf):
-    return sq.clock_drift(first_windows(spark, sf), KEYS, "ordinal", "uptime_us", "captured_us", by_ord()).select(
+    return sq.clock_drift(first_windows(spark, sf), KEYS, "ordinal", "uptime_us", "captured_us", sized(spark, sf, "ordinal")).select(
         "device", "boot", "idx", "drift_us", "clock_ok")
 
 
@@ -64,13 +61,14 @@ def d04(spark, sf):
   select device, boot, idx, step as interval_us, coalesce(step between 630000 and 670000, false) as continuous from s""")
 def d05(spark, sf):
     w = first_windows(spark, sf).select("device", "boot", "idx", (F.col("idx") * 650_000 + (F.col("k") % 60) * 1000 - 30_000).alias("up"))
-    return sq.is_continuous(w, KEYS, "idx", "up", by_idx()).drop("up")
+    return sq.is_continuous(w, KEYS, "idx", "up", sized(spark, sf)).drop("up")
 
 
 @query("d06_flag_late", f"""with {_LATE_SQL}, l as (select *, max(captured_us) over (partition by device, boot order by arrival, o2 rows between unbounded preceding and 1 preceding) as m from a)
   select device, boot, idx, m is not null and captured_us <= m as late from l""")
 def d06(spark, sf):
-    return sq.flag_late(_late(spark, sf), KEYS, "arrival", "captured_us", bucket("arrival", 10_000_000 * 100_000)).select("device", "boot", "idx", "late")
+    late = _late(spark, sf)
+    return sq.flag_late(late, KEYS, "arrival", "captured_us", auto_split(late, KEYS, "arrival")).select("device", "boot", "idx", "late")
 
 
 @query("d07_make_sequences", f"""with {sql.FIRST_WINDOWS}, i as (select *, idx - row_number() over (partition by device, boot order by idx) as isl from fw), c as (
@@ -78,7 +76,7 @@ def d06(spark, sf):
   select device, boot, min(idx) as start_idx, count(*) as n, round(sum(value), 6) + 0.0 as total, arg_max(k, idx) as last_k
   from c group by device, boot, isl, ch having count(*) = 3""")
 def d07(spark, sf):
-    s = sq.make_sequences(first_windows(spark, sf), KEYS, "idx", 3, F.struct("value", "k"), by_idx())
+    s = sq.make_sequences(first_windows(spark, sf), KEYS, "idx", 3, F.struct("value", "k"), sized(spark, sf))
     total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x["value"])
     return s.select("device", "boot", "start_idx", F.size("sequence").cast("long").alias("n"), r6(total).alias("total"),
                     F.element_at("sequence", -1)["k"].alias("last_k"))
@@ -111,7 +109,7 @@ def snapshot_stream(spark, sf):
     """Snapshots as a 25-second schedule with event rows in between, a few shifted clocks and bad windows."""
     from ..plans.scan import last_set, running_sum, scan
     s = snapshots(spark, sf).withColumn("event", F.col("vec_id") % 9 == 4)
-    split = bucket("vec_id", 100_000)
+    split = auto_split(s, ["stream"], "vec_id")
     s = scan(s, ["stream"], ["vec_id"], split, n=running_sum(F.when(~F.col("event"), 1).otherwise(0).cast("long")))
     slot = (F.col("n") - 1) * 25
     at = F.when(~F.col("event"), slot).when(F.col("n") > 0, slot + 10).otherwise(0) * 1_000_000
@@ -125,7 +123,7 @@ ENTRY = ["captured_us", "uptime_us", "seq", "slot", "valid", "x"]
 
 def with_24(spark, sf, n=24):
     s = snapshot_stream(spark, sf)
-    return sq.with_history(s, ["stream"], ["vec_id"], bucket("vec_id", 100_000), ~F.col("event"), F.struct(*ENTRY), n)
+    return sq.with_history(s, ["stream"], ["vec_id"], auto_split(vectors(spark, sf), ["stream"], "vec_id"), ~F.col("event"), F.struct(*ENTRY), n)
 
 
 @query("d09_history_assembly", f"""with {_SNAP_SQL}, s as (select * from cur where not event), j as (
@@ -134,7 +132,7 @@ def with_24(spark, sf, n=24):
   select stream, vec_id, count(hv) as records, min(hv) as oldest, max(hv) as newest, round(coalesce(sum(hx[1]), 0), 6) + 0.0 as sum_x1 from j where rn <= 24 group by stream, vec_id""")
 def d09(spark, sf):
     s = snapshot_stream(spark, sf)
-    h = sq.with_history(s, ["stream"], ["vec_id"], bucket("vec_id", 100_000), ~F.col("event"), F.struct("vec_id", "x"), 24)
+    h = sq.with_history(s, ["stream"], ["vec_id"], auto_split(vectors(spark, sf), ["stream"], "vec_id"), ~F.col("event"), F.struct("vec_id", "x"), 24)
     ids = F.transform("history", lambda e: e["vec_id"])
     return h.select("stream", "vec_id", F.size("history").cast("long").alias("records"), F.array_min(ids).alias("oldest"),
                     F.array_max(ids).alias("newest"), r6(F.aggregate("history", F.lit(0.0), lambda a, e: a + e["x"][0])).alias("sum_x1"))
@@ -189,7 +187,7 @@ def d11(spark, sf):
         F.lit(300.0).alias("min_valid_sec"), F.lit(150).alias("max_invalid"), F.lit(2000).alias("max_missing"),
         F.when(F.col("n_nationkey") % 4 != 0, F.lit(5_000_000) * F.col("n_nationkey")).alias("max_timing_us"),
         (F.col("n_regionkey") % 2 == 0).alias("reviewed"))
-    return sq.audit_sessions(d, s, by_idx()).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
+    return sq.audit_sessions(d, s, auto_split(d, ["session", "boot"], "idx")).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
 
 
 @query("d13_lanes", f"""with {sql.WINDOWS} select ordinal, case when event_type = 'click' and ({_NOW} - captured_us) / 1e6 / 86400 between -5 and 30 then 'live' else 'history' end as lane,
@@ -254,7 +252,7 @@ def c02(spark, sf):
   select asset, seq, accepted from walk""")
 def c03(spark, sf):
     p = points(spark, sf).select("asset", "seq", F.col("t_us").alias("s"), (F.col("t_us") + (F.col("value") * 600_000_000).cast("long")).alias("e"))
-    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", bucket("s", DAY_US)).select("asset", "seq", "accepted")
+    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", auto_split(p, ["asset"], "s")).select("asset", "seq", "accepted")
 
 
 @query("c04_disposition", f"""with {_COPIES_SQL}, x as (select arrival, seq, case when arrival = min(arrival) over (partition by asset, seq) then 'accepted'
