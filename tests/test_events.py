@@ -156,3 +156,14 @@ def test_cooldown_and_overlaps_against_brute_force(spark):
             ok = all(not (s < b and e > a) for a, b in taken)
             taken += [(s, e)] if ok else []
             assert o[i] == ok
+
+
+def test_open_incident_ignores_other_targets(spark, tmp_path):
+    st.use_rocksdb(spark)
+    steps = [("a", True)] * 3 + [("b", True)] * 4 + [("a", False)] * 2 + [("b", False)] + [("a", False)] * 3 + [("b", True)] * 3
+    rows = [(1, i * 650_000, i, i * 650_000, target, True, hit) for i, (target, hit) in enumerate(steps)]
+    df = spark.createDataFrame(rows, "device long, t_us long, idx long, uptime_us long, target string, ok boolean, hit boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = st.drain(st.stream_incidents(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "run"))
+    got = [(r["at_us"] // 650_000, r["target"], r["kind"]) for r in out.orderBy("at_us").collect()]
+    assert got == [(2, "a", "opened"), (3, "a", "unknown"), (7, "a", "observing"), (9, "a", "unknown"), (10, "a", "observing"), (12, "a", "closed"), (15, "b", "opened")]

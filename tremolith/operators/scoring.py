@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import spectra as sp
+from ..functions import models as md, spectra as sp
 from ..functions.numeric import finite, half_even
 from .sequence import history_reason
 
@@ -91,58 +91,47 @@ def feature_deviations(df: DataFrame, key: str, features: str, baseline: DataFra
 
 # ------------------------------------------------------------------ history models
 
-def _num(xs) -> Column:
-    return F.array(*[F.lit(float(x)) for x in xs])
-
-
-def _block_stats(rows: Column, n: int, width: int = 9) -> tuple[Column, Column]:
-    """Mean and population deviation per position over an array of vectors."""
-    at = F.sequence(F.lit(0), F.lit(width - 1))
-    mean = F.transform(at, lambda j: F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.get(r, j)) / n)
-    std = F.transform(at, lambda j: F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.pow(F.get(r, j) - F.get(F.col("__mean"), j), F.lit(2.0))) / n))
-    return mean, std
-
-
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def _vectors(v: pd.Series, rows: int, width: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and the (N, rows, width) batch of flat arrays of the expected length; other rows are left out."""
+    at = np.array([i for i, a in enumerate(v) if a is not None and len(a) == rows * width], dtype=int)
+    x = np.stack([np.asarray(v.iloc[i], float) for i in at]).reshape(len(at), rows, width) if len(at) else np.zeros((0, rows, width))
+    sound = np.isfinite(x).all((1, 2))
+    return at[sound], x[sound]
 
 
 def novelty_score(df: DataFrame, current: str, rows: str, model: dict) -> DataFrame:
     """Robust deviation and clipped PCA residual of (current, mean, std, change, offset) against a reference.
 
-    ``model``: center, scale, active, pca_mean, pca_axes, thresholds.  Needs 24 history vectors per row.
+    ``model``: center, scale, active, pca_mean, pca_axes, thresholds.  Needs 24 history vectors per row; the
+    history and the current vector travel as one flat array to a batched kernel.
     """
-    active = [int(i) for i in model["active"]]
-    mean, std = _block_stats(F.col(rows), 24)
-    d = df.withColumn("__mean", mean).withColumn("__std", std)
-    vec = F.concat(F.col(current), "__mean", "__std", _minus(F.col(current), F.element_at(rows, -1)), _minus(F.col(current), F.col("__mean")))
-    d = d.withColumn("__vec", vec)
-    picked = F.transform(F.array(*[F.lit(i) for i in active]), lambda i: F.get(F.col("__vec"), i))
-    z = F.zip_with(_minus(picked, _num(model["center"][i] for i in active)), _num(model["scale"][i] for i in active), lambda x, s: x / s)
-    d = d.withColumn("__z", z)
-    d = d.withColumn("__c", _minus(F.transform("__z", lambda v: F.least(F.lit(20.0), F.greatest(F.lit(-20.0), v))), _num(model["pca_mean"])))
-    residual = F.col("__c")
-    for axis in model["pca_axes"]:
-        ax = _num(axis)
-        residual = F.zip_with(residual, F.zip_with(F.array_repeat(_dot(F.col("__c"), ax), len(axis)), ax, lambda w, a: w * a), lambda r, p: r - p)
-    d = d.withColumn("__res", residual)
-    d = d.withColumns({"robust": F.array_max(F.transform("__z", lambda v: F.abs(v))), "pca": _dot(F.col("__res"), F.col("__res")) / len(active)})
-    return d.withColumn("score", F.greatest(F.col("robust") / model["thresholds"][0], F.col("pca") / model["thresholds"][1])).drop("__mean", "__std", "__vec", "__z", "__c", "__res")
+    @F.pandas_udf("robust double, pca double, score double")
+    def run(v: pd.Series) -> pd.DataFrame:
+        out = np.full((len(v), 3), np.nan)
+        at, x = _vectors(v, 25)
+        if len(at):
+            out[at] = md.novelty(x[:, -1], x[:, :-1], model)
+        return pd.DataFrame(out, columns=["robust", "pca", "score"])
+
+    flat = F.flatten(F.concat(F.col(rows), F.array(F.col(current))))
+    d = df.withColumn("__n", run(flat))
+    value = lambda c: F.when(~F.isnan(F.col("__n")[c]), F.col("__n")[c])
+    return d.select(*df.columns, value("robust").alias("robust"), value("pca").alias("pca"), value("score").alias("score"))
 
 
 def forecast(df: DataFrame, rows: str, model: dict) -> DataFrame:
     """Ridge forecast of nine features from 13 vectors (last, mean, std, change), never clipped."""
-    mean, std = _block_stats(F.col(rows), 13)
-    d = df.withColumn("__mean", mean).withColumn("__std", std)
-    d = d.withColumn("__v36", F.concat(F.element_at(rows, -1), "__mean", "__std", _minus(F.element_at(rows, -1), F.element_at(rows, 1))))
-    scaled = F.zip_with(_minus(F.col("__v36"), _num(model["input_mean"])), _num(model["input_std"]), lambda x, s: x / s)
-    d = d.withColumn("__scaled", scaled)
-    out = [_dot(F.col("__scaled"), _num(w[j] for w in model["weights"])) * float(model["target_std"][j]) + float(model["target_mean"][j]) for j in range(9)]
-    return d.withColumn("forecast", F.array(*out)).withColumnRenamed("__v36", "forecast_input").drop("__mean", "__std", "__scaled")
+    @F.pandas_udf("forecast_input array<double>, forecast array<double>")
+    def run(v: pd.Series) -> pd.DataFrame:
+        vec, out = [None] * len(v), [None] * len(v)
+        at, x = _vectors(v, 13)
+        if len(at):
+            for i, a, b in zip(at, *md.ridge(x, model)):
+                vec[i], out[i] = a, b
+        return pd.DataFrame({"forecast_input": vec, "forecast": out})
+
+    d = df.withColumn("__f", run(F.flatten(F.col(rows))))
+    return d.select(*df.columns, F.col("__f.forecast_input").alias("forecast_input"), F.col("__f.forecast").alias("forecast"))
 
 
 # positions of the forecast that are physically at least one (fixed values)

@@ -83,40 +83,45 @@ def strict_json_ok(c) -> Column:
 class Payload:
     """Typed access to the members of one JSON object column.
 
-    ``df`` gains a struct of variants, so the text is parsed once however many rules look at it.
+    ``df`` gains the type and the text of every named member, so the document is parsed once and each
+    member is read once, however many rules look at it.
     """
 
     def __init__(self, df: DataFrame, text: str, keys: list[str]):
-        self.text = F.col(text)
         schema = ", ".join(f"`{k}` variant" for k in keys)
-        self.df = df.withColumns({"__doc": F.from_json(self.text, schema), "__keys": F.json_object_keys(self.text)})
+        parsed = df.withColumns({"__doc": F.from_json(F.col(text), schema), "__keys": F.json_object_keys(F.col(text))})
+        self.df = parsed.withColumns({**{f"__k_{k}": F.schema_of_variant(F.col("__doc")[k]) for k in keys},
+                                      **{f"__s_{k}": F.try_variant_get(F.col("__doc")[k], "$", "string") for k in keys}}).drop("__doc")
+        self.added = ["__keys", *[f"__{p}_{k}" for p in "ks" for k in keys]]
         self.keys = F.col("__keys")
         self.sound = self.keys.isNotNull() & (F.size(self.keys) == F.size(F.array_distinct(self.keys)))
 
     def has(self, key: str) -> Column:
-        return F.array_contains(self.keys, key)
-
-    def raw(self, key: str) -> Column:
-        return F.col("__doc")[key]
+        """Present, with a value or with null."""
+        return F.col(f"__k_{key}").isNotNull()
 
     def kind(self, key: str) -> Column:
-        return F.schema_of_variant(self.raw(key))
+        return F.col(f"__k_{key}")
+
+    def text(self, key: str) -> Column:
+        """Any scalar as text."""
+        return F.col(f"__s_{key}")
 
     def null(self, key: str) -> Column:
-        return F.coalesce(F.is_variant_null(self.raw(key)), F.lit(False)) | self.raw(key).isNull()
+        return F.coalesce(self.kind(key) == "VOID", F.lit(True))
 
     def text_of(self, key: str) -> Column:
-        return F.when(self.kind(key) == "STRING", F.try_variant_get(self.raw(key), "$", "string"))
+        return F.when(self.kind(key) == "STRING", self.text(key))
 
     def integer(self, key: str) -> Column:
-        return F.when(self.kind(key) == "BIGINT", F.try_variant_get(self.raw(key), "$", "bigint"))
+        return F.when(self.kind(key) == "BIGINT", self.text(key).try_cast("bigint"))
 
     def number(self, key: str) -> Column:
-        v = F.try_variant_get(self.raw(key), "$", "double")
+        v = self.text(key).try_cast("double")
         return F.when((self.kind(key) != "BOOLEAN") & finite(v), v)
 
     def flag(self, key: str) -> Column:
-        return F.when(self.kind(key) == "BOOLEAN", F.try_variant_get(self.raw(key), "$", "boolean"))
+        return F.when(self.kind(key) == "BOOLEAN", self.text(key) == "true")
 
     def optional_number(self, key: str) -> Column:
         return self.null(key) | self.number(key).isNotNull()
@@ -148,7 +153,7 @@ def normalize_telemetry(df: DataFrame, payload: str, now_us: Column, retention_d
     t = F.col("t_us")
     ident = lambda k: F.upper(F.trim(p.text_of(k)))
     known = F.size(F.array_except(p.keys, F.array(*[F.lit(f) for f in TELEMETRY_FIELDS]))) == 0
-    raw_only = [(p.has(k) & F.coalesce(F.is_variant_null(p.raw(k)), F.lit(False))) for k in ("vibrationRmsMmS", "acousticDb")]
+    raw_only = [F.coalesce(p.kind(k) == "VOID", F.lit(False)) for k in ("vibrationRmsMmS", "acousticDb")]
     scenario = p.has("scenarioLabel") & (p.null("scenarioLabel") | F.trim(p.text_of("scenarioLabel")).isin(SCENARIOS))
     rule = first_failure(
         (p.sound & known, "unknown_fields"), ((ident("siteId") != "") & (ident("assetId") != "") & (ident("deviceId") != ""), "identifier"),
@@ -167,12 +172,12 @@ def normalize_telemetry(df: DataFrame, payload: str, now_us: Column, retention_d
         "rpm": p.number("rpm"), "rpm_status": p.text_of("rpmStatus"), "vibration_rms_raw": p.number("vibrationRmsRaw"), "vibration_peak_hz": p.number("vibrationPeakHz"),
         "acoustic_rms_raw": p.number("acousticRmsRaw"), "acoustic_peak_hz": p.number("acousticPeakHz"), "scenario_label": blank("scenarioLabel"),
         "known_vibration_label": blank("knownVibrationLabel"), "known_acoustic_label": blank("knownAcousticLabel"), "source": blank("source"),
-        "is_synthetic": p.flag("isSynthetic")}).drop("__doc", "__keys")
+        "is_synthetic": p.flag("isSynthetic")}).drop(*p.added)
 
 
 def validate_rpm(df: DataFrame, payload: str, at_us: Column) -> DataFrame:
     p = Payload(df, payload, ["rpm", "rpmStatus", "rpmMeasuredAt", "rpmSource", "isSynthetic"])
-    return p.df.withColumn("error_code", F.when(~rpm_rule(p, at_us), "INVALID_TELEMETRY_PAYLOAD")).drop("__doc", "__keys")
+    return p.df.withColumn("error_code", F.when(~rpm_rule(p, at_us), "INVALID_TELEMETRY_PAYLOAD")).drop(*p.added)
 
 
 def within_retention(df: DataFrame, t_us: str, now_us: Column, days: int, future_sec: int = 300) -> DataFrame:

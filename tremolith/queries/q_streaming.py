@@ -79,3 +79,17 @@ def t12(spark, sf):
     st.drain_batches(s, root, write, "append")
     read = lambda n: spark.read.parquet(f"{root}/tables/{n}").select(F.lit(n).alias("sink"), "seq")
     return read("good").unionByName(read("quarantine")).groupBy("sink").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"))
+
+
+@query("g10_incidents_keyed_state")
+def g10_keyed(spark, sf):
+    """Whole window stream per device with changing targets; the walk has no SQL form."""
+    from .q_events import first_windows
+    st.use_rocksdb(spark)
+    root = st.scratch(spark, "incidents")
+    w = first_windows(spark, sf).select(
+        "device", F.col("captured_us").alias("t_us"), "idx", (F.col("idx") * 650_000).alias("uptime_us"), F.concat_ws("/", "boot", "site").alias("target"),
+        (F.col("quality") == "valid").alias("ok"), (F.col("value") > 15).alias("hit"))
+    w.write.parquet(f"{root}/in")
+    s = spark.readStream.schema(w.schema).parquet(f"{root}/in")
+    return st.drain(st.stream_incidents(s), root + "/run").groupBy("device", "kind").agg(F.count(F.lit(1)).alias("rows"))

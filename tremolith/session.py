@@ -18,6 +18,9 @@ def build_session(master: str = "local[*]", name: str = "tremolith", shuffle: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # methods above 8000 bytes are not compiled by the JVM; wide validators run faster in split form
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

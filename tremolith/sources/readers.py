@@ -36,7 +36,7 @@ def parse_telemetry_lines(df: DataFrame, line: str) -> DataFrame:
     def either(snake: str, camel: str, get) -> Column:
         return F.when(p.has(camel), get(camel)).otherwise(get(snake))
 
-    text = lambda k: F.try_variant_get(p.raw(k), "$", "string")
+    text = p.text
     blank = lambda k: p.null(k) | (text(k) == "")
     number = lambda s, c: either(s, c, lambda k: F.when(~blank(k), finite_text(text(k))))
     bad_number = lambda s, c: either(s, c, lambda k: ~blank(k) & finite_text(text(k)).isNull())
@@ -49,7 +49,7 @@ def parse_telemetry_lines(df: DataFrame, line: str) -> DataFrame:
                          (~any_bad, "INVALID_NUMBER"), (raw_only, "RAW_ONLY_FIELD"), (flag.isNotNull(), "INVALID_BOOLEAN"))
     return p.df.select("*", text("timestamp").alias("timestamp"), text("sequence").try_cast("long").alias("sequence"),
                      *[either(s, c, text).alias(n) for n, (s, c) in texts.items()], *[number(s, c).alias(n) for n, (s, c) in pairs.items()],
-                     vib_label.alias("known_vibration_label"), text("source").alias("source"), flag.alias("is_synthetic"), code.alias("error_code")).drop("__doc", "__keys")
+                     vib_label.alias("known_vibration_label"), text("source").alias("source"), flag.alias("is_synthetic"), code.alias("error_code")).drop(*p.added)
 
 
 def read_telemetry_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -81,10 +81,10 @@ def parse_topic_messages(df: DataFrame, topic: str, value: str) -> DataFrame:
     p = Payload(df, value, ["deviceId"])
     topic_ok = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "devices") & (F.get(parts, F.lit(2)) == "telemetry")
     device = F.upper(F.trim(F.get(parts, F.lit(1))))
-    body = F.upper(F.trim(F.coalesce(F.try_variant_get(p.raw("deviceId"), "$", "string"), F.lit(""))))
+    body = F.upper(F.trim(F.coalesce(p.text("deviceId"), F.lit(""))))
     code = first_failure((topic_ok, "INVALID_MQTT_TOPIC"), (strict_json_ok(value), "INVALID_JSON"), (p.keys.isNotNull(), "INVALID_JSON_BODY"),
                          (device == body, "DEVICE_MAPPING_MISMATCH"))
-    return p.df.select("*", F.when(topic_ok, device).alias("device"), code.alias("error_code")).drop("__doc", "__keys")
+    return p.df.select("*", F.when(topic_ok, device).alias("device"), code.alias("error_code")).drop(*p.added)
 
 
 # ------------------------------------------------------------------ window archives and payloads

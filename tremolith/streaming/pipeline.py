@@ -165,6 +165,53 @@ def stream_lifecycle(points: DataFrame, cfg: Lifecycle = Lifecycle(), rule_versi
     return points.groupBy(*keys).transformWithStateInPandas(EventLifecycle(cfg, rule_version), UPDATES, "Append", "None")
 
 
+class Incidents(StatefulProcessor):
+    """Three-hit incidents of a device whose target or model may change.
+
+    While an incident is open another target's hits neither close it nor open a second one; input that
+    cannot be judged, or belongs to another target, makes the observation unknown.
+    """
+
+    def init(self, handle) -> None:
+        self.memory = handle.getValueState("memory", "body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = json.loads(self.memory.get()[0]) if self.memory.exists() else {"hits": []}
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["t_us", "idx"]).itertuples(index=False):
+            out += [(key[0], *row) for row in self.step(s, int(r.t_us), int(r.idx), int(r.uptime_us), r.target, bool(r.ok), bool(r.hit))]
+        self.memory.update((json.dumps(s),))
+        yield pd.DataFrame(out, columns=["device", "target", "opened_us", "kind", "at_us"])
+
+    @staticmethod
+    def step(s: dict, t: int, idx: int, uptime: int, target: str, ok: bool, hit: bool) -> list[tuple]:
+        linked = s.get("target") == target and s.get("idx") == idx - 1 and 630_000 <= uptime - s.get("uptime", -1) <= 670_000
+        s["hits"] = ((s["hits"] if linked else []) + [hit])[-3:] if ok else []
+        s.update(target=target, idx=idx, uptime=uptime)
+        live, out = s.get("open"), []
+        if live is None:
+            if s["hits"] == [True] * 3:
+                s["open"] = {"target": target, "at": t, "seen": "observing"}
+                out.append((target, t, "opened", t))
+            return out
+        seen = "observing" if ok and live["target"] == target else "unknown"
+        if live["target"] == target and s["hits"] == [False] * 3:
+            s["open"] = None
+            out.append((target, live["at"], "closed", t))
+        elif live["seen"] != seen:
+            live["seen"] = seen
+            out.append((live["target"], live["at"], seen, t))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_incidents(df: DataFrame) -> DataFrame:
+    """``df``: device, t_us, idx, uptime_us, target (asset, model and threshold as text), ok, hit."""
+    return df.groupBy("device").transformWithStateInPandas(Incidents(), "device long, target string, opened_us long, kind string, at_us long", "Append", "None")
+
+
 # ------------------------------------------------------------------ count windows, timers
 
 class Persistence(StatefulProcessor):
