@@ -69,7 +69,7 @@ def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column |
     the row), ``trigger``, run columns and, with ``value``, ``run_peak``.
     """
     typed = df.withColumn("cls", cls)
-    carried = F.struct(*[F.col(c) for c in typed.columns])
+    carried = F.struct("cls") if unbroken is None else F.struct(*[F.col(c) for c in typed.columns])
     one = scan(typed, keys, order, split, before=prev(carried), pos=running_sum(F.lit(1).cast("long")),
                faults=running_sum(F.when(F.col("cls") == "F", 1).otherwise(0).cast("long")))
     fresh = F.col("before").isNull() | (F.col("cls") != F.col("before.cls"))
@@ -119,7 +119,8 @@ def event_lifecycle(df: DataFrame, keys: list[str], order: list[str], t_us: str,
                     bucket_us: int | None = None) -> DataFrame:
     """Score points to merged events: start, end, reason, peak, samples and merge count."""
     split = split_or(df, keys, t_us, bucket_us)
-    clean = df.withColumn("score", F.when(~F.col("fault"), F.col("score")))
+    needed = [c for c in dict.fromkeys([*keys, *order, t_us]) if c not in ("score", "fault")]
+    clean = df.select(*needed, F.when(~F.col("fault"), F.col("score")).alias("score"), "fault")
     rows = state_rows(clean, keys, order, split, classify(F.col("score"), F.col("fault"), cfg), t_us,
                       cfg.n_enter, cfg.n_exit, cfg.sec_enter, cfg.sec_exit, value="score")
     segs = segments(rows, keys, order, split, t_us, "score")

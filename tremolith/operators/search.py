@@ -74,13 +74,17 @@ def due_deliveries(df: DataFrame, channel: str, due: str, ident: str, now_us: Co
 
 
 def telemetry_for(df: DataFrame, site=None, asset=None, device=None, low=None, high=None, at: str = "t_us") -> DataFrame:
-    """Inclusive read filters; a reversed range is an error."""
+    """Inclusive read filters; a reversed range is an error.
+
+    ISO text bounds are cast to the type of ``at``, so a stored timestamp column is filtered in the file scan.
+    """
     if low is not None and high is not None and low > high:
         raise ValueError("from must not be later than to")
     for c, v in (("site", site), ("asset", asset), ("device", device)):
         df = df if v is None else df.filter(F.col(c) == v)
-    df = df if low is None else df.filter(F.col(at) >= low)
-    return df if high is None else df.filter(F.col(at) <= high)
+    bound = lambda v: F.lit(v).cast(df.schema[at].dataType) if isinstance(v, str) else v
+    out = df if low is None else df.filter(F.col(at) >= bound(low))
+    return out if high is None else out.filter(F.col(at) <= bound(high))
 
 
 def visible_to(df: DataFrame, site: str, allowed: list) -> DataFrame:

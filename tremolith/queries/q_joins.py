@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket, r6
+from ..functions.numeric import bucket, micros
 from ..operators import alerts as al, datasets as ds, joins as jn, search as se
 from ..plans.registry import query
 from ..plans.scan import auto_split
@@ -398,9 +398,10 @@ def o08(spark, sf):
     return se.due_deliveries(d, "channel", "due_us", "id", F.lit(1705500000000000), 100).select("channel", "id")
 
 
-@query("f29_telemetry_for", f"with {sql.POINTS} select seq, t_us from points where asset = 8 and t_us between 1704200000000000 and 1706000000000000")
+@query("f29_telemetry_for", "select event_id as seq, epoch_us(ts) as t_us from events where user_id = 8 and ts between timestamp '2024-01-02 12:53:20' and timestamp '2024-01-23 08:53:20'")
 def f29(spark, sf):
-    return se.telemetry_for(points(spark, sf), asset=8, low=1704200000000000, high=1706000000000000).select("seq", "t_us")
+    e = table(spark, sf, "events").withColumnsRenamed({"user_id": "asset", "event_id": "seq"})
+    return se.telemetry_for(e, asset=8, low="2024-01-02 12:53:20", high="2024-01-23 08:53:20", at="ts").select("seq", micros("ts").alias("t_us"))
 
 
 @query("f27_visible_to", f"with {_EVT_SQL} select site, count(*) as rows from evt where site in (1, 4, 9) group by site")
