@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tremolith.functions.numeric import bucket
 from tremolith.operators import alerts as al, dedupe as dd, events as ev
-from tremolith.streaming import pipeline as st
+from tremolith.streaming import streams as st
 
 SEC = 1_000_000
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import micros
 from ..plans.registry import query
+from ..plans.scan import auto_split, numbered
 from ..sources.tables import table
-from ..streaming import pipeline as st
+from ..streaming import streams as st
 from . import sql
 
 
@@ -87,9 +88,10 @@ def g10_keyed(spark, sf):
     from .q_events import first_windows
     st.use_rocksdb(spark)
     root = st.scratch(spark, "incidents")
-    w = first_windows(spark, sf).select(
-        "device", F.col("captured_us").alias("t_us"), "idx", (F.col("idx") * 650_000).alias("uptime_us"), F.concat_ws("/", "boot", "site").alias("target"),
-        (F.col("quality") == "valid").alias("ok"), (F.col("value") > 15).alias("hit"))
+    w = first_windows(spark, sf)
+    n = numbered(w, ["device"], ["captured_us", "ordinal"], auto_split(w, ["device"], "captured_us"), "place")
+    w = n.select("device", F.col("captured_us").alias("t_us"), F.col("place").alias("idx"), (F.col("place") * 650_000).alias("uptime_us"),
+                 F.col("site").cast("string").alias("target"), (F.col("quality") == "valid").alias("ok"), (F.col("value") > 15).alias("hit"))
     w.write.parquet(f"{root}/in")
     s = spark.readStream.schema(w.schema).parquet(f"{root}/in")
     return st.drain(st.stream_incidents(s), root + "/run").groupBy("device", "kind").agg(F.count(F.lit(1)).alias("rows"))
