@@ -66,9 +66,8 @@ def oof_scores(df: DataFrame, features: str, label: str, run: str, condition: st
         for held, calibration in folds:
             fit = data.filter(~F.col(condition).isin([held, *calibration]))
             model = _fit(fit, kind, label, run, cost, **size)
-            cal = _score(model, data.filter(F.col(condition).isin(calibration) & ~F.col(label)))
-            policies = cut(normal_threshold(cal, "score", condition, F.col(label), single=calibration[0]))
-            t = {r["policy"]: r["threshold"] for r in policies.collect()}
+            cal = cut(_score(model, data.filter(F.col(condition).isin(calibration) & ~F.col(label))).select(condition, label, "score"))
+            t = {r["policy"]: r["threshold"] for r in normal_threshold(cal, "score", condition, F.col(label), single=calibration[0]).collect()}
             scored = _score(model, data.filter(F.col(condition) == held)).drop("__x", "__y")
             scored = scored.withColumns({"candidate": F.lit(name), "held": F.lit(held), **{f"t_{p}": F.lit(v) for p, v in t.items()}})
             out = scored if out is None else out.unionByName(scored)
