@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, token_output as op9
+from . import decontaminate as op8, langid as op3, mixing as op2, near_dedup as op1, token_output as op9
 from .stage import new_path, stage
 
 try:
@@ -42,3 +42,27 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-output")
     op9.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, BYTE_BPE)
     return op9.read_documents(spark, path)
+
+
+@query("op1_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def remainder(n: int) -> "F.Column":
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = op3.train(docs, remainder(3) != 1)
+    c = F.col("language")
+    return op3.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(3) == 1).alias("held_out"), c["lang"].alias("lang_pred"), c["score"].alias("score"),
+                                                                     c["entropy"].alias("entropy"), c["rejected"].alias("rejected"))
+
+
+@query("op2_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.mix_sources(read(spark, sf_dir, "documents")).taken.drop("row")
