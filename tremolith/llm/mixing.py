@@ -4,8 +4,8 @@ Each source's documents are laid out in lanes (by hash of the id) and cut into b
 target, ``share`` of all words by weight but ``most`` times its own size at most, becomes a number of output slots.  All
 slots are dealt to output shards by one pseudorandom permutation, so a shard's source counts are a multinomial draw given
 the totals.  The k-th slot of a source takes the block that a pseudorandom permutation of the source's block numbers gives
-for k, a new permutation each epoch; slots and blocks are joined by that number.  Permutations are bijections on a
-power of two (odd multiplication, xor-shift) walked until they fall inside; nothing is drawn by a state, so reruns agree.
+for k, a new permutation each epoch; slots and blocks are joined by that number.  Permutations are swap-or-not shuffles of
+hashes; nothing is drawn by a state, so reruns agree.
 
 DataFrame functions only.  The one unpartitioned window runs over one row a source.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .stage import stage
 
-LANE_ROWS, WALK, ROUNDS = 4096, 64, 4
+LANE_ROWS, ROUNDS = 4096, 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,18 +36,16 @@ class Mixture:
 
 
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1 at ``x``, chosen by ``seed``; n is below 2**42."""
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")))).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    half = F.greatest(F.lit(1), F.floor(bits / 2)).cast("int")
+    """A pseudorandom permutation of 0..n-1 at ``x``, chosen by ``seed``, by swap-or-not rounds.
 
-    def turn(v: Column) -> Column:
-        for r in range(ROUNDS):
-            odd = F.pmod(F.xxhash64(*seed, F.lit(r)), F.lit(1 << 19)) * 2 + 1
-            v = (v * odd + F.pmod(F.xxhash64(*seed, F.lit(ROUNDS + r)), F.lit(1 << 30))).bitwiseAND(mask)
-            v = v.bitwiseXOR(F.call_function("shiftright", v, half))
-        return v
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), turn(x), lambda v, _: F.when(v < n, v).otherwise(turn(v)))
+    Each round pairs v with (key - v) mod n and takes the partner if a bit of the larger one says so, which both agree on.
+    """
+    key = F.xxhash64(*seed)
+
+    def swap(v: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - v, n)
+        return F.when(F.pmod(F.xxhash64(key, r, F.greatest(v, other)), F.lit(2)) == 1, other).otherwise(v)
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swap), F.lit(0).cast("long"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -89,9 +87,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     want = stage(want.withColumn("offset", F.coalesce(F.sum("slots").over(Window.orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                  .withColumn("all_slots", F.sum("slots").over(Window.partitionBy())), "mix-sources")
 
+    # a fixed number of tasks: few rows come in, many go out
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # slots 0..slots-1 of each source, made in runs of 2**14 that are spread before they unfold
     high = want.where("slots > 0").select("sk", "blocks", "slots", "whole", "last", "offset", "all_slots", F.explode(F.expr("sequence(0L, shiftright(slots - 1, 28))")).alias("hi"))
-    mid = high.select("*", F.explode(F.expr("sequence(0L, least(16383L, shiftright(slots - 1 - shiftleft(hi, 28), 14)))")).alias("mid")).repartition("sk", "hi", "mid")
+    mid = high.select("*", F.explode(F.expr("sequence(0L, least(16383L, shiftright(slots - 1 - shiftleft(hi, 28), 14)))")).alias("mid")).repartition(tasks, "sk", "hi", "mid")
     low = mid.select("*", F.explode(F.expr("sequence(0L, least(16383L, slots - 1 - shiftleft(hi, 28) - shiftleft(mid, 14)))")).alias("lo"))
     k = F.expr("shiftleft(hi, 28) + shiftleft(mid, 14) + lo")
     slots = low.select("sk", "blocks", "offset", "all_slots", k.alias("k"), F.when(k < F.col("whole"), 1.0).otherwise(F.col("last")).alias("part"))

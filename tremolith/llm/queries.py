@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, langid as op3, mixing as op2, near_dedup as op1, token_output as op9
+from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, near_dedup as op1, token_output as op9
 from .stage import new_path, stage
 
 try:
@@ -66,3 +66,19 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.mix_sources(read(spark, sf_dir, "documents")).taken.drop("row")
+
+
+@query("op5_fingerprint")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = op5.with_next(read(spark, sf_dir, "documents")).withColumn("edited", op5.edited(F.col("text"), F.col("next_text")))
+    made = stage(pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                              op5.fingerprint(F.col("text")).alias("fingerprint"), op5.fingerprint(F.col("edited")).alias("edited_fingerprint")), "fingerprints")
+    both = op5.with_next(made, text="fingerprint", keep=("n_chars", "edited_sha256", "edited_fingerprint"))
+    return both.select("doc_id", "n_chars", "edited_sha256", F.col("text").alias("fingerprint"), "edited_fingerprint", op5.likeness(F.col("text"), F.col("edited_fingerprint")).alias("near_edited"),
+                       op5.likeness(F.col("text"), F.col("next_text")).alias("near_next"))
+
+
+@query("op6_lm_score")
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return op6.score(docs, remainder(7) != 2).select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
