@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, near_dedup as op1, token_output as op9
+from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, near_dedup as op1, token_output as op9
 from .stage import new_path, stage
 
 try:
@@ -82,3 +82,12 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return op6.score(docs, remainder(7) != 2).select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(remainder(5) != 0)
+    model = op4.train(docs, labels)
+    score = F.col("toxicity")
+    return op4.classify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

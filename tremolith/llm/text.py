@@ -74,6 +74,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -93,9 +94,11 @@ class Words:
         if not len(self):
             return np.empty(0, np.uint64)
         up, down = _Powers.upto(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_OF_BYTE[self.data] * up[:-1], out=sums[1:])
+        if self.sums is None:
+            self.sums = np.empty(len(self.data) + 1, np.uint64)
+            self.sums[0] = 0
+            np.cumsum(_OF_BYTE[self.data] * up[:-1], out=self.sums[1:])
+        sums = self.sums
         ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         return mix((sums[ends] - sums[self.starts]) * down[self.starts] + (ends - self.starts).astype(np.uint64))
 
