@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, near_dedup as op1, token_output as op9
+from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, pii as op7, chat as op10, near_dedup as op1, token_output as op9
 from .stage import new_path, stage
 
 try:
@@ -91,3 +91,17 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = op4.train(docs, labels)
     score = F.col("toxicity")
     return op4.classify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7.find_personal_data(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(op7.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(op7.written(F.col("base")), 256).alias("base_sha256"), op7.written(F.concat("base", "added")).alias("spans"))
+
+
+@query("op10_preference_pairs", op10.SQL)
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = op10.conversations(read(spark, sf_dir, "conversations"))
+    return op10.preference_pairs(convs, op10.neighbours(convs))
