@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremolith.llm import decontaminate as op8, token_output as op9
+from tremolith.llm import decontaminate as op8, langid as op3, mixing as op2, near_dedup as op1, token_output as op9
 from tremolith.llm.queries import BYTE_BPE, read
 from tremolith.llm.stage import new_path, stage
 
@@ -12,12 +12,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # learned language models decide the first stage
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects go: no text, no letter, or far from every language learnt."""
+    found = op3.identify(docs, op3.train(docs, F.lit(True)))
+    return found.where(~F.col("language.rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, similarity 0.8), the one with the least id."""
+    kept = op1.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule marks go."""
     found = op8.decontaminate(docs, read(spark, sf_dir, "benchmark"))
     return found.where(~op8.contaminated()).select(*COLUMNS)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes their words: the whole part of taken / size, the rest by a draw on the id."""
+    taken = op2.mix_sources(docs).taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    ratio = F.col("taken") / F.greatest("size", F.lit(1))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    times = taken.select(F.col("doc_id").alias("id"), (F.floor(ratio) + F.when(draw < ratio - F.floor(ratio), 1).otherwise(0)).cast("int").alias("times")).where("times > 0")
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all that is left; one row a document, read back from them."""
     path = new_path(spark, "pipeline-tokens")
@@ -25,7 +47,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return op9.read_documents(spark, path)
 
 
-STAGES = [("benchmark decontamination", drop_contaminated), ("token output", write_tokens)]
+STAGES = [("language identification", keep_languages), ("near-duplicate removal", drop_near_duplicates), ("benchmark decontamination", drop_contaminated),
+          ("source mixing", mix), ("token output", write_tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
