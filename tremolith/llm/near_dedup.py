@@ -7,8 +7,11 @@ errors some chunk has one at most, so each chunk is indexed once for each of its
 meet under some key.  Links are confirmed on full sets, recomputed from the texts.
 
 No pair of a bucket is listed as long as a cheaper one may do: equal sets are one class from the start; rounds link the
-classes of a bucket with one pivot each and merge components; only what is then still apart in a shared bucket is
-compared one by one, outliers against the rest.  Links, components and signatures stay distributed and are written to the shared
+classes of a bucket with one pivot each and merge components.  What is then still apart is bounded exactly: shingles that
+no other candidate has can't be in an intersection, so a class whose shared shingles are too few for any partner in its
+bucket leaves it.  Last, the classes that buckets still tie together form clusters, and those outside a cluster's main
+component are compared with all of it, block against block, by one matrix product a pair of blocks; links come out, pairs
+do not.  Links, components and signatures stay distributed and are written to the shared
 folder between rounds.
 
 Defined cases: A text with fewer than ``k`` words has one shingle, all its words; null, empty or blank texts have none and
@@ -24,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
 from .stage import stage
@@ -132,6 +135,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shingle_lists(k: int):
+    def kernel(texts: T.Texts) -> pa.Array:
+        own = list(shingles(texts, k))
+        return T.lists(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]))
+    return T.column_udf(lambda: kernel, pa.list_(pa.int64()), "array<bigint>")
+
+
+BLOCK = 1 << 16  # shingles
+
+
+def _block_links(percent: int):
+    """Links between the sets of two blocks whose components differ, one for each set and component of the other side."""
+    def counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+        out = np.zeros((len(a), len(b)), np.float32)
+        place = [[np.searchsorted(both, x[np.isin(x, both, assume_unique=True)]) for x in side] for side in (a, b)]
+        for at in range(0, len(both), 2048):
+            dense = []
+            for side in place:
+                m = np.zeros((len(side), min(2048, len(both) - at)), np.float32)
+                for i, x in enumerate(side):
+                    m[i, x[np.searchsorted(x, at):np.searchsorted(x, at + 2048)] - at] = 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+        return out
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                side = []
+                for name in ("left", "right"):
+                    own = batch.column(name)[row].values
+                    lists = own.field("s")
+                    ends = lists.offsets.to_numpy()
+                    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    side.append((own.field("rep").to_numpy(zero_copy_only=False), own.field("comp").to_numpy(zero_copy_only=False), [np.sort(flat[a:b]) for a, b in zip(ends, ends[1:])]))
+                (ra, ca, a), (rb, cb, b) = side
+                n = counts(a, b)
+                union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - n
+                i, j = np.nonzero((100 * n >= percent * union) & (ca[:, None] != cb))
+                _, once = np.unique(np.stack([ra[i], cb[j]], axis=1), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])[once]), pa.array(np.maximum(ra[i], rb[j])[once])], ["u", "v"])
+    return body
+
+
 class _Join:
     """The state of one run: texts and signatures of candidates, their components, buckets that are still mixed."""
 
@@ -159,27 +207,55 @@ class _Join:
         moved = components(across.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
         self.comp = stage(of.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("label", "comp").alias("comp")), "components")
         # buckets with one component have nothing left to find
-        with_comp = self.buckets.select("key", "rep").join(self.comp, "rep")
-        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        self.buckets = stage(with_comp.join(mixed, "key", "left_semi"), "buckets")
+        self.buckets = stage(self.mixed(self.buckets.drop("comp").join(self.comp, "rep")), "buckets")
         return True
 
-    def pivot_round(self, nth: int) -> bool:
-        # the least class first, then another one each round
-        turn = F.col("rep") if nth == 0 else F.xxhash64("rep", F.lit(nth))
+    @staticmethod
+    def mixed(buckets: DataFrame) -> DataFrame:
+        apart = buckets.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return buckets.join(apart, "key", "left_semi")
+
+    def fits(self, n: Column, m: Column, n2: Column, m2: Column) -> Column:
+        """Whether sets of n and n2 shingles, m and m2 of them shared with anyone, may be alike."""
+        most = F.least(m, m2)
+        return 100 * most >= self.percent * (n + n2 - most)
+
+    def prune(self) -> None:
+        """Adds n and m (shingles that another candidate has) to the buckets; who fits no one in a bucket leaves it."""
+        texts = self.cands.join(self.buckets.select("rep").distinct(), "rep", "left_semi")
+        each = texts.select("rep", "n", F.explode(_shingle_lists(self.k)("text")).alias("s"))
+        shared = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+        counts = stage(each.join(shared, "s", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("m")), "shared")
+        own = self.buckets.join(counts, "rep").where(100 * F.col("m") >= self.percent * F.col("n"))
+        small = own.groupBy("key").agg(F.min("n").alias("least"))
+        fit = own.join(small, "key").where(self.fits(F.col("n"), F.col("m"), F.col("least"), F.col("m"))).drop("least")
+        self.buckets = stage(self.mixed(fit), "buckets")
+
+    def pivot_round(self, nth: int) -> int:
+        """Links each class of a bucket with the bucket's pivot; how many links that gave."""
+        # the least class first, then another one for each bucket and round
+        turn = F.col("rep") if nth == 0 else F.xxhash64("rep", "key", F.lit(nth))
         own = self.buckets
         pivots = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), turn).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.comp").alias("pc"))
         pairs = own.join(pivots, "key").where("comp <> pc").select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
-        return self.merge(self.confirmed(pairs))
+        links = self.confirmed(pairs)
+        return links.count() if self.merge(links) else 0
 
     def rest(self) -> None:
-        """All pairs that share a bucket and are in different components: outliers against all others."""
+        """Whatever shares a bucket and may be alike, across components: clusters of such classes, in blocks."""
         own = self.buckets
-        counts = own.groupBy("key", "comp").count()
-        main = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        out = own.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("o"), F.col("comp").alias("oc"), "main")
-        pairs = out.join(own, "key").where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("rep"))))
-        self.merge(self.confirmed(pairs.select(F.least("rep", "o").alias("u"), F.greatest("rep", "o").alias("v")).distinct()))
+        if own.isEmpty():
+            return
+        ties = own.join(own.groupBy("key").agg(F.min("rep").alias("u")), "key").where("rep <> u").select("u", F.col("rep").alias("v"))
+        each = stage(own.select("rep", "comp", "n").distinct().join(components(ties).select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep"), "clusters")
+        counts = each.groupBy("cluster", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        size = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        sets = self.cands.select("rep", _shingle_lists(self.k)("text").alias("s"))
+        whole = each.join(size, "cluster").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        whole = stage(whole.select("cluster", "block", "blocks", F.struct("rep", "comp", "s").alias("x"), (F.col("comp") != F.col("main")).alias("out")), "blocks")
+        left = whole.where("out").groupBy("cluster", "block", "blocks").agg(F.collect_list("x").alias("left")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        right = whole.groupBy("cluster", F.col("block").alias("other")).agg(F.collect_list("x").alias("right"))
+        self.merge(stage(left.join(right, ["cluster", "other"]).select("left", "right").mapInArrow(_block_links(self.percent), "u long, v long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -198,8 +274,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     involved = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sig")
     cands = stage(involved.join(base, involved["rep"] == base["id"]).drop("id").dropDuplicates(["rep"]), "candidates")
     run = _Join(cands, buckets, d, k, percent)
-    nth = 0
-    while run.pivot_round(nth):
+    run.pivot_round(0)
+    run.prune()
+    nth = 1
+    # rounds as long as they merge a good part of what is apart; the rest is compared whatever it is
+    while not run.buckets.isEmpty() and 50 * run.pivot_round(nth) > run.buckets.select("rep").distinct().count():
         nth += 1
     run.rest()
     found = signed.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(run.comp, "rep", "left")
