@@ -104,10 +104,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
               .select("row", "sk", "size", "at", "ahead", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("b"))
               .select("row", "sk", (F.col("ahead") + F.col("b")).alias("block"), F.greatest(F.col("at") - F.col("b") * block, F.lit(0).cast("long")).alias("at"),
                       (F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * block) - F.greatest("at", F.col("b") * block)).alias("n")))
+    # planned sizes don't see what the slots unfold to: without the hint this side would be broadcast
     # a block is full except the last of its lane, of which a part of a slot takes as much as there is
     drawn = slots.groupBy("sk", "block").agg(F.sum(F.floor("part")).cast("long").alias("times"), F.max(F.when(F.col("part") < 1, F.floor(F.col("part") * block))).cast("long").alias("head"))
     used = F.col("n") * F.col("times") + F.coalesce(F.least("n", F.greatest(F.col("head") - F.col("at"), F.lit(0).cast("long"))), F.lit(0).cast("long"))
-    per_row = pieces.join(drawn, ["sk", "block"]).groupBy("row").agg(F.sum(used).alias("taken"))
+    per_row = pieces.join(drawn.hint("merge"), ["sk", "block"]).groupBy("row").agg(F.sum(used).alias("taken"))
     taken = (rows.join(per_row, "row", "left").join(want.select("sk", "source_size", "target"), "sk")
              .select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
     return Mixture(want, slots, pieces, rows, taken)
@@ -115,5 +116,5 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def shards(mixture: Mixture) -> DataFrame:
     """The mix itself: which words of which document fill each place of each output shard."""
-    return (mixture.slots.join(mixture.pieces, ["sk", "block"]).join(mixture.rows.select("row", "doc_id"), "row")
+    return (mixture.slots.join(mixture.pieces.hint("merge"), ["sk", "block"]).join(mixture.rows.select("row", "doc_id"), "row")
             .select("shard", "place", "sk", "block", "at", "n", "part", "doc_id"))
