@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import bucket, micros
 from ..operators import alerts as al, datasets as ds, joins as jn, search as se
 from ..plans.registry import query
-from ..plans.scan import auto_split
+from ..plans.scan import declared_split
 from ..sources.tables import DAY_US, points, table, windows
 from . import sql
 from .q_aggregates import evaluation, _EVAL_SQL
@@ -190,11 +190,16 @@ def l05(spark, sf):
     return ds.stratified_group_split(l, "l_suppkey", "rpm", RATIOS)
 
 
-@query("l06_group_split")
+@query("l06_group_split", """select l_returnflag as label, 3::bigint as splits, true as leak_free, true as near_shares, count(distinct l_suppkey) as groups, count(*) as rows from lineitem group by l_returnflag""")
 def l06(spark, sf):
+    """Per label: splits reached, no group in two splits, and row shares within a tenth of the ratios."""
     l = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("label"))
     s = ds.group_split(l, "l_suppkey", "label", RATIOS)
-    return l.join(s, "l_suppkey").groupBy("dataset_split", "label").agg(F.count_distinct("l_suppkey").alias("groups"), F.count(F.lit(1)).alias("rows"))
+    once = s.groupBy("l_suppkey").agg((F.count(F.lit(1)) == 1).alias("once"))
+    j = l.join(s, "l_suppkey").join(once, "l_suppkey")
+    share = lambda x: F.abs(F.count_if(F.col("dataset_split") == x) / F.count(F.lit(1)) - RATIOS[x]) < 0.1
+    return j.groupBy("label").agg(F.count_distinct("dataset_split").alias("splits"), F.every("once").alias("leak_free"), (share("train") & share("validation") & share("test")).alias("near_shares"),
+                                  F.count_distinct("l_suppkey").alias("groups"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("l07_load_split", "select l_linenumber - 1 as load, case l_linenumber - 1 when 0 then 'test' when 1 then 'validation' when 2 then 'train' when 3 then 'train' end as dataset_split, case when l_linenumber > 4 then 'UNKNOWN_LOAD' end as error_code, count(*) as rows from lineitem group by l_linenumber")
@@ -285,7 +290,7 @@ def l15(spark, sf):
   select asset, chunk, min(seq) as first, round(sum(value), 6) as total from p group by asset, chunk having count(*) = 5""")
 def l15s(spark, sf):
     p = points(spark, sf).withColumn("v", F.array("value"))
-    s = ds.training_sequences(p, ["asset"], "seq", "v", 5, auto_split(p, ["asset"], "seq"))
+    s = ds.training_sequences(p, ["asset"], "seq", "v", 5, declared_split("seq"))
     return s.select("asset", "chunk", "first", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]), 6).alias("total"))
 
 
@@ -324,7 +329,7 @@ def l17l(spark, sf):
 @query("l18_history_view", f"with {sql.POINTS} select asset, seq, t_us as valid_from, lead(t_us) over (partition by asset order by t_us, seq) as valid_to from points where event_type = 'view'")
 def l18(spark, sf):
     p = points(spark, sf).filter("event_type = 'view'").select("asset", "seq", "t_us")
-    v = ds.history_view(p.withColumn("at_us", F.col("t_us")), ["asset"], "at_us", ["t_us", "seq"], auto_split(p, ["asset"], "t_us"))
+    v = ds.history_view(p.withColumn("at_us", F.col("t_us")), ["asset"], "at_us", ["t_us", "seq"], declared_split("t_us"))
     return v.drop("t_us")
 
 
@@ -389,7 +394,7 @@ _SCN = "case when event_type = 'error' then 'vibration_anomaly' when event_type
   select seq, scenario, case when scenario = 'vibration_anomaly' then 1 when scenario = 'acoustic_anomaly' then 3 when scenario = 'combined_anomaly' then 5 when p <= n // 3 then 0 when p <= 2 * (n // 3) then 2 else 4 end as phase, p as phase_pos from n""")
 def o07(spark, sf):
     p = points(spark, sf).select("seq", F.expr(_SCN).alias("scenario"))
-    return se.phase_order(p, "scenario", ["seq"], auto_split(p, ["scenario"], "seq"))
+    return se.phase_order(p, "scenario", ["seq"], declared_split("seq"))
 
 
 @query("o08_due_deliveries", f"""with {sql.POINTS} select event_type as channel, seq as id from points where k % 2 = 0 and t_us <= 1705500000000000 qualify row_number() over (partition by event_type order by t_us, seq) <= 100""")
