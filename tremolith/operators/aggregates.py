@@ -33,7 +33,7 @@ def _comm_rates(df: DataFrame) -> DataFrame:
         "bufferDepthSampleMean": F.round(ratio("bufferDepthSum", "bufferSamples"), 3)})
 
 
-def comm_quality(df: DataFrame, keys: list[str], t0_ms: int, t1_ms: int, width_sec: int) -> tuple[DataFrame, DataFrame]:
+def comm_quality(df: DataFrame, keys: list[str], t0_ms: int, t1_ms: int, width_sec: int, most_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Whole windows attributed to the bucket of their end; empty buckets are emitted; plus one summary row per key.
 
     A window ending exactly on a boundary belongs to the earlier bucket.
@@ -41,8 +41,10 @@ def comm_quality(df: DataFrame, keys: list[str], t0_ms: int, t1_ms: int, width_s
     if width_sec not in (60, 300, 3600, 86400):
         raise ValueError("width must be 60, 300, 3600 or 86400 seconds")
     width, first = width_sec * 1000, t0_ms // (width_sec * 1000) * (width_sec * 1000)
-    if t1_ms <= t0_ms or (t1_ms - 1 - first) // width + 1 > 1000:
-        raise ValueError("need a positive range of at most 1000 buckets")
+    if t1_ms <= t0_ms:
+        raise ValueError("need a positive range")
+    if most_buckets is not None and (t1_ms - 1 - first) // width + 1 > most_buckets:
+        raise ValueError(f"need at most {most_buckets} buckets")
     live = df.filter((F.col("end_ms") > t0_ms) & (F.col("end_ms") <= t1_ms)).withColumn(
         "bucket_ms", F.floor((F.col("end_ms") - 1) / width) * width)
     at = F.struct("end_ms", "boot", "window_id")

@@ -38,15 +38,18 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def dedupe_with_conflicts(df: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
     """Mark every row accepted, duplicate (same content as the first) or conflict (different content).
 
-    The first row per key comes from a partial aggregate; the join back is split by adaptive skew
-    handling when one key holds many copies.
+    Null keys are keys like any other.  Exactly one row of a key is accepted: the least (order, digest), and of
+    identical ones any single one.  The first row per key comes from a partial aggregate; the join back is split
+    by adaptive skew handling when one key holds many copies.
     """
-    first = df.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))).alias("__f"))
+    own = df.withColumn("__i", F.monotonically_increasing_id())
+    place = F.struct(F.col(order).alias("o"), F.col(digest).alias("d"), F.col("__i").alias("i"))
+    first = own.groupBy(*keys).agg(F.min(place).alias("__f"))
     first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__f")
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)])
-    status = (F.when(F.col(order) == F.col("__f.o"), "accepted").when(F.col(digest) == F.col("__f.d"), "duplicate")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    status = (F.when(place.eqNullSafe(F.col("__f")), "accepted").when(F.col(digest).eqNullSafe(F.col("__f.d")), "duplicate")
               .otherwise("conflict"))
-    return df.join(first, same).select(*df.columns, status.alias("disposition"))
+    return own.join(first, same).select(*df.columns, status.alias("disposition"))
 
 
 def dedupe_snapshots(df: DataFrame, order: str, rules: dict[str, list[str]], digest: str) -> DataFrame:
@@ -126,8 +129,10 @@ def bulk_ingest(df: DataFrame, batch: str, keys: list[str], order: list[str], di
     good = d.filter("__ok")
     at = F.struct(*order)
     first = good.groupBy(*keys).agg(F.min(F.struct(at.alias("o"), F.col(digest).alias("d"))).alias("__f"))
+    first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__f")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
     status = (F.when(at == F.col("__f.o"), "accepted").when(F.col(digest) == F.col("__f.d"), "duplicate").otherwise("rejected"))
-    items = (good.join(first, keys).select(*df.columns, status.alias("item_status"))
+    items = (good.join(first, same).select(*df.columns, status.alias("item_status"))
              .unionByName(d.filter(~F.col("__ok")).select(*df.columns, F.lit("rejected").alias("item_status"))))
     totals = items.groupBy(batch).agg(*[F.count_if(F.col("item_status") == s).alias(n) for s, n in
                                         (("accepted", "accepted"), ("duplicate", "duplicates"), ("rejected", "rejected"))])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import first_failure
-from ..plans.scan import following, history, last_set, prev, running_max, running_sum, runs, scan, split_or
+from ..plans.scan import following, history, last_set, prev, running_max, running_sum, runs, scan, declared_split
 from ..session import cut
 
 
@@ -118,7 +118,7 @@ def segments(rows: DataFrame, keys: list[str], order: list[str], split: Column |
 def event_lifecycle(df: DataFrame, keys: list[str], order: list[str], t_us: str, cfg: Lifecycle = Lifecycle(),
                     bucket_us: int | None = None) -> DataFrame:
     """Score points to merged events: start, end, reason, peak, samples and merge count."""
-    split = split_or(df, keys, t_us, bucket_us)
+    split = declared_split(t_us, bucket_us)
     needed = [c for c in dict.fromkeys([*keys, *order, t_us]) if c not in ("score", "fault")]
     clean = df.select(*needed, F.when(~F.col("fault"), F.col("score")).alias("score"), "fault")
     rows = state_rows(clean, keys, order, split, classify(F.col("score"), F.col("fault"), cfg), t_us,
@@ -166,7 +166,7 @@ def apply_fault_boundary(points: DataFrame, faults: DataFrame, keys: list[str],
             .unionByName(faults.select(*keys, t_us, F.lit(None).cast("long").alias(seq),
                                        F.lit(None).cast("double").alias("score"), F.lit(True).alias("fault"),
                                        "arrival", F.lit(True).alias("boundary"))))
-    split = split_or(both, keys, "arrival", bucket_rows)
+    split = declared_split("arrival", bucket_rows)
     moved = scan(both, keys, ["arrival"], split, __top=running_max(F.col(t_us)))
     moved = moved.withColumn(t_us, F.when(F.col("boundary"), F.col("__top")).otherwise(F.col(t_us)))
     limited = scan(moved, keys, ["arrival"], split,
@@ -212,7 +212,7 @@ def persistence(df: DataFrame, keys: list[str], idx: str, hit: str, valid: str,
                 policies: dict[str, tuple[int, int]] = POLICIES, index_bucket: int | None = None) -> DataFrame:
     """Causal N-of-M decisions: -1 pending or invalid, 0 normal, 1 anomaly, one column per policy."""
     widest = max(w for w, _ in policies.values())
-    split = split_or(df, keys, idx, index_bucket)
+    split = declared_split(idx, index_bucket)
     past = history(df, keys, [idx], split, F.struct(F.col(idx).alias("i"), F.col(hit).alias("h"), F.col(valid).alias("ok")),
                    widest - 1, "__past") if widest > 1 else df.withColumn("__past", F.array().cast("array<struct<i:bigint,h:boolean,ok:boolean>>"))
     recent = F.reverse("__past")
@@ -305,7 +305,7 @@ def age_observations(incidents: DataFrame, latest: DataFrame, keys: list[str], n
 def offline_intervals(df: DataFrame, keys: list[str], order: list[str], t_us: str, offline_sec: int,
                       now_us: Column, bucket_us: int | None = None) -> DataFrame:
     """Telemetry gaps beyond the limit: offline since last + limit, recovered at the next row or still open."""
-    nxt = scan(df.select(*dict.fromkeys([*keys, *order, t_us])), keys, order, split_or(df, keys, t_us, bucket_us), nxt=following(t_us))
+    nxt = scan(df.select(*dict.fromkeys([*keys, *order, t_us])), keys, order, declared_split(t_us, bucket_us), nxt=following(t_us))
     until = F.coalesce(F.col("nxt"), now_us)
     return nxt.filter(until - F.col(t_us) > offline_sec * 1_000_000).select(
         *keys, (F.col(t_us) + offline_sec * 1_000_000).alias("offline_us"), F.col("nxt").alias("recovered_us"))
@@ -340,7 +340,7 @@ def sensor_faults(devices: DataFrame, telemetry: DataFrame, key: str, order: lis
 def fault_episodes(reports: DataFrame, keys: list[str], order: list[str], t_us: str, status: str,
                    bucket_us: int | None = None) -> DataFrame:
     """Active/recovered reports per (device, code) to episodes with whole-second duration."""
-    split = split_or(reports, keys, t_us, bucket_us)
+    split = declared_split(t_us, bucket_us)
     marked = scan(reports.select(*dict.fromkeys([*keys, *order, t_us, status])), keys, order, split, was=prev(status))
     edges = marked.filter(F.col("was").isNull() | (F.col("was") != F.col(status)))
     edges = edges if split is None else cut(edges)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import bucket
-from ..plans.scan import last_set, scan, split_or
+from ..plans.scan import last_set, scan, declared_split
 
 HOUR_US = 3_600_000_000
 BROADCAST_ROWS = 200_000
@@ -36,17 +36,18 @@ def with_registry(df: DataFrame, sites: DataFrame, assets: DataFrame, devices: D
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, width: int = HOUR_US,
                   how: str = "inner") -> DataFrame:
-    """Points inside closed spans of the same key.
+    """Points inside closed spans of the same key; a span without an end is its first instant.
 
     Spans are copied to every coarse bucket they touch and points carry theirs, so the join is an
     equi-join on (key, bucket) with the exact range as residual: a hot key is spread over its buckets.
     """
     p = points.withColumn("__pb", bucket(t, width))
-    wide = spans.withColumn("__sb", F.explode(F.sequence(bucket(start, width), bucket(end, width))))
-    wide = wide.select(*[F.col(k).alias(f"__s_{k}") for k in keys], *[c for c in spans.columns if c not in keys], "__sb")
+    until = F.coalesce(F.col(end), F.col(start))
+    wide = spans.withColumns({"__until": until, "__sb": F.explode(F.sequence(bucket(start, width), bucket(until, width)))})
+    wide = wide.select(*[F.col(k).alias(f"__s_{k}") for k in keys], *[c for c in spans.columns if c not in keys], "__until", "__sb")
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__s_{k}") for k in keys],
-                (F.col("__pb") == F.col("__sb")) & F.col(t).between(F.col(start), F.col(end)))
-    return p.join(wide, on, how).drop("__pb", "__sb", *[f"__s_{k}" for k in keys])
+                (F.col("__pb") == F.col("__sb")) & F.col(t).between(F.col(start), F.col("__until")))
+    return p.join(wide, on, how).drop("__pb", "__sb", "__until", *[f"__s_{k}" for k in keys])
 
 
 def label_events(points: DataFrame, events: DataFrame, keys: list[str], t: str, point_id: str, width: int = HOUR_US) -> DataFrame:
@@ -88,7 +89,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, changed:
     r = right.select(*keys, F.col(changed).alias("__t"), F.lit(0).alias("__side"), state.alias("__state"))
     l = left.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
     both = r.unionByName(l, allowMissingColumns=True)
-    s = scan(both, keys, ["__t", "__side"], split_or(both, keys, "__t", width), seen=last_set(F.col("__state")))
+    s = scan(both, keys, ["__t", "__side"], declared_split("__t", width), seen=last_set(F.col("__state")))
     return s.filter("__side = 1").select("__row.*", *[F.col("seen")[v].alias(v) for v in values])
 
 

@@ -32,7 +32,7 @@ def score_rms(df: DataFrame, value: str, mean: str, std: str, sigma: str) -> Dat
 
 def score_signals(df: DataFrame, bindings: DataFrame, point: list[str], asset: str, signals: dict[str, tuple[str, str | None]],
                   rpm_status: str) -> DataFrame:
-    """Range score per bound signal and the maximum of the available ones.
+    """Range score per bound signal and the maximum of the available ones; a point without bound signals is unavailable.
 
     ``signals`` maps a field name to its value column and unit column (null for rpm);
     ``bindings``: asset, field, low, high, scale, unit_note, rule_version.
@@ -41,16 +41,17 @@ def score_signals(df: DataFrame, bindings: DataFrame, point: list[str], asset: s
     e = df.select(*point, F.col(asset).alias("__asset"), F.col(rpm_status).alias("__rpm"),
                   F.explode(F.array(*[entry(f, v, u) for f, (v, u) in signals.items()])).alias("s"))
     b = bindings.select(F.col(asset).alias("__basset"), F.col("field").alias("__field"), "low", "high", "scale", "unit_note")
-    j = e.join(b, (F.col("__asset") == F.col("__basset")) & (F.col("s.field") == F.col("__field")))
+    j = e.join(b, (F.col("__asset") == F.col("__basset")) & (F.col("s.field") == F.col("__field")), "left")
+    bound = F.col("__field").isNotNull()
     v = F.col("s.value")
     why = (F.when(~F.coalesce(finite(v) & (v >= 0), F.lit(False)), "missing_or_invalid")
            .when((F.col("s.field") == "rpm") & ~F.col("__rpm").eqNullSafe("valid"), "rpm_not_measured")
            .when((F.col("s.field") != "rpm") & ~F.col("s.unit").eqNullSafe(F.col("unit_note")), "unit_mismatch"))
     distance = F.greatest(F.col("low") - v, v - F.col("high"), F.lit(0.0))
-    score = F.when(why.isNull(), half_even(F.least(F.lit(100.0), distance / F.col("scale") * 100.0)).cast("int"))
-    g = j.select(*point, F.col("s.field").alias("field"), score.alias("score"), F.coalesce(why, F.lit("evaluated")).alias("status"))
+    score = F.when(bound & why.isNull(), half_even(F.least(F.lit(100.0), distance / F.col("scale") * 100.0)).cast("int"))
+    g = j.select(*point, bound.alias("__bound"), F.col("s.field").alias("field"), score.alias("score"), F.coalesce(why, F.lit("evaluated")).alias("status"))
     # a point meets at most one binding per field, so its evidence list is bounded by the field list
-    g = g.groupBy(*point).agg(F.max("score").alias("anomaly_score"), F.sort_array(F.collect_list(F.struct("field", "status", "score"))).alias("evidence"))
+    g = g.groupBy(*point).agg(F.max("score").alias("anomaly_score"), F.sort_array(F.collect_list(F.when(F.col("__bound"), F.struct("field", "status", "score")))).alias("evidence"))
     return g.withColumn("anomaly_status", status_of(F.col("anomaly_score")))
 
 

@@ -6,8 +6,8 @@ A local window runs inside each (key, bucket); a partial aggregate shrinks each
 summary row; a second window over the summaries yields what each bucket inherits from the buckets
 before (or after) it; the two are joined on (key, bucket).  Results equal the plain window exactly.
 
-A split of ``None`` means the caller knows (see :func:`auto_split`) that every key fits a task; the
-scan is then the plain window with one shuffle and one sort.
+The bucket is declared (see :func:`declared_split`).  A split of ``None`` means the caller knows from its schema that every
+key fits a task; the scan is then the plain window with one shuffle and one sort.
 """
 
 from __future__ import annotations
@@ -64,32 +64,16 @@ def first_of(expr) -> Item:
     return Item("first", col(expr))
 
 
-TASK_ROWS = 2_000_000
+# declared bucket widths: a day of microseconds for times, ten thousand for positions and identifiers
+DAY_US = 86_400_000_000
+POSITIONS = 10_000
 
 
-def auto_split(df: DataFrame, keys: list[str], at: str, task_rows: int | None = None, probes: int = 1024) -> Column | None:
-    """Bucket expression over the numeric order column ``at`` sized from the data, or None when every key fits a task.
-
-    One pass counts rows per (key, slot of the span); both counts are partial aggregates.  When the largest
-    key exceeds ``task_rows``, buckets get as many slots as the densest slot allows, or a fraction of one.
-    """
-    task_rows = TASK_ROWS if task_rows is None else task_rows
-    low, high, total = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
-    if total <= task_rows:
-        return None
-    slot = max(1, (high - low) // probes + 1)
-    per = df.groupBy(*keys, F.floor((F.col(at) - low) / F.lit(slot)).alias("__slot")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = per.groupBy(*keys).agg(F.sum("n").alias("key_rows"), F.max("n").alias("slot_rows")).agg(F.max("key_rows"), F.max("slot_rows")).first()
-    if sizes[0] <= task_rows:
-        return None
-    dense = sizes[1]
-    width = slot * (task_rows // dense) if dense <= task_rows else max(1, slot // -(-dense // task_rows))
-    return F.floor((F.col(at) - low) / F.lit(width)).cast("long")
-
-
-def split_or(df: DataFrame, keys: list[str], at: str, width: int | None) -> Column | None:
-    """A given fixed width, or one sized from the data."""
-    return auto_split(df, keys, at) if width is None else F.floor(F.col(at) / F.lit(width)).cast("long")
+def declared_split(at: str, width: int | None = None) -> Column:
+    """Bucket over the numeric order column ``at``: ``width`` wide, or a day for a name that ends in ``_us`` or ``__t``,
+    or POSITIONS.  It is fixed by the schema, so plans neither count rows nor differ by size."""
+    width = width or (DAY_US if at.endswith("_us") or at.endswith("__t") else POSITIONS)
+    return F.floor(F.col(at) / F.lit(width)).cast("long")
 
 
 def _join_back(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..operators import aggregates as ag
 from ..plans.registry import query
-from ..plans.scan import auto_split, numbered
+from ..plans.scan import declared_split, numbered
 from ..sources.tables import DAY_US, points, snapshots, table, vectors, windows
 from . import sql
 from .q_events import _NOW
@@ -128,7 +128,7 @@ def a05(spark, sf):
   select event, feature, before_n, after_n, {_R('before_mean', 'after_mean', 'before_std', 'after_std', 'delta')}, round(pct_change, 3) + 0.0 as pct_change, before_n <> 4 as before_missing, after_n <> 4 as after_missing from d""")
 def a06(spark, sf):
     s = snapshots(spark, sf)
-    w = numbered(s, ["stream"], ["vec_id"], auto_split(s, ["stream"], "vec_id"), "idx")
+    w = numbered(s, ["stream"], ["vec_id"], declared_split("vec_id"), "idx")
     ev = w.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("event"), "stream", F.col("idx").alias("event_idx"))
     d = ag.event_detail(w, ev, "stream", "idx", "x", 4)
     return d.select("event", "feature", "before_n", "after_n", *[r6(c).alias(c) for c in ("before_mean", "after_mean", "before_std", "after_std", "delta")],
@@ -152,7 +152,7 @@ def a07(spark, sf):
   select *, round(100 * (failures / reports::double), 2) as failure_rate_pct from g""")
 def a08(spark, sf):
     s = points(spark, sf).select((F.col("asset") % 10).alias("dep"), "seq", "t_us", F.when(F.col("fault"), "degraded").otherwise("healthy").alias("st"))
-    return ag.dependency_health(s, "dep", ["seq"], "t_us", "st", auto_split(s, ["dep"], "seq"))
+    return ag.dependency_health(s, "dep", ["seq"], "t_us", "st", declared_split("seq"))
 
 
 @query("a09_inspect_tables", f"""with {sql.WINDOWS}, s as (select *, case when event_type = 'signup' then 'unavailable' when k % 17 = 0 then 'queued' else 'completed' end as st from windows), g as (

@@ -6,7 +6,7 @@ from ..functions.numeric import r6
 from ..operators import events as ev
 from ..operators.dedupe import first_per_key
 from ..plans.registry import query
-from ..plans.scan import auto_split, numbered
+from ..plans.scan import declared_split, numbered
 from ..sources.tables import points, table, windows
 from . import sql
 
@@ -71,9 +71,9 @@ def g01_states(spark, sf):
 
 def _hysteresis(spark, sf):
     p = points(spark, sf)
-    p = numbered(p, ["asset"], ["seq"], auto_split(p, ["asset"], "t_us"), "idx")
+    p = numbered(p, ["asset"], ["seq"], declared_split("t_us"), "idx")
     d = p.select("asset", "idx", (F.col("score") / 20.0).alias("sigma"), F.col("score").isNotNull().alias("ok"))
-    return ev.hysteresis(d, ["asset"], "idx", "sigma", F.col("ok"), 3.0, 2.0, 2, 2, auto_split(d, ["asset"], "idx"))
+    return ev.hysteresis(d, ["asset"], "idx", "sigma", F.col("ok"), 3.0, 2.0, 2, 2, declared_split("idx"))
 
 
 @query("g01_hysteresis_events", f"""with {sql.POINTS}, d as (
@@ -102,7 +102,7 @@ def g01_events(spark, sf):
 def g05(spark, sf):
     p = points(spark, sf).withColumn("at_us", F.when(F.col("k") % 7 == 0, F.col("t_us") - 7_200_000_000).otherwise(F.col("t_us")))
     good, late = ev.order_points(p.withColumn("received", F.col("seq")), ["asset"], "at_us", "event_type", "seq", "received",
-                                 "seq", auto_split(p, ["asset"], "seq"))
+                                 "seq", declared_split("seq"))
     both = good.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     return both.groupBy("asset").agg(F.count(F.lit(1)).alias("stored"), F.count_if("late").alias("out_of_order"),
                                      F.max(F.when(~F.col("late"), F.col("at_us"))).alias("newest_used"))
@@ -172,7 +172,7 @@ def _linked(spark, sf):
          cast(case when ok then h else 0 end as int) as hits,
          case when not ok or n < 3 then -1 when h = 3 then 1 else 0 end as decision from d""")
 def g09(spark, sf):
-    return ev.confirm3(_linked(spark, sf), ["device", "boot"], ["idx"], auto_split(windows(spark, sf), ["device", "boot"], "idx"), "idx", "up", "verdict",
+    return ev.confirm3(_linked(spark, sf), ["device", "boot"], ["idx"], declared_split("idx"), "idx", "up", "verdict",
                        F.col("ok"), ["site"], ["model"]).select(
         "device", "boot", "idx", "reset_reason", "valid_windows", "hits", "decision")
 
@@ -197,7 +197,7 @@ def _incident_sql(source, part, order, t, ok, hit, link, n, peak="hit"):
          case when end_us is not null then 'three_normal_windows' end as end_reason from inc""")
 def g10(spark, sf):
     q = _linked(spark, sf).withColumn("verdict", F.col("value") > 15)
-    return ev.incidents_3x3(q, ["device", "site"], ["captured_us", "idx"], "captured_us", auto_split(q, ["device", "site"], "captured_us"), "verdict",
+    return ev.incidents_3x3(q, ["device", "site"], ["captured_us", "idx"], "captured_us", declared_split("captured_us"), "verdict",
                             F.col("ok"), F.col("idx") >= F.col("before.idx"))
 
 
@@ -206,7 +206,7 @@ def g10(spark, sf):
          case when end_us is not null then 'single_normal_snapshot' end as end_reason from inc""")
 def g11(spark, sf):
     q = _linked(spark, sf)
-    return ev.snapshot_incidents(q, ["device", "model"], ["captured_us", "idx"], "captured_us", auto_split(q, ["device", "model"], "captured_us"),
+    return ev.snapshot_incidents(q, ["device", "model"], ["captured_us", "idx"], "captured_us", declared_split("captured_us"),
                                  F.col("ok"), "verdict")
 
 
@@ -238,7 +238,7 @@ def g11_reasons(spark, sf):
   from inc i left join latest l using (device, model)""")
 def g12(spark, sf):
     q = _linked(spark, sf)
-    inc = ev.snapshot_incidents(q, ["device", "model"], ["captured_us", "idx"], "captured_us", auto_split(q, ["device", "model"], "captured_us"), F.col("ok"), "verdict")
+    inc = ev.snapshot_incidents(q, ["device", "model"], ["captured_us", "idx"], "captured_us", declared_split("captured_us"), F.col("ok"), "verdict")
     latest = q.filter("ok").groupBy("device", "model").agg(F.max("captured_us").alias("captured_us"))
     return ev.age_observations(inc, latest, ["device", "model"], F.lit(_NOW), 86_400).select(
         "device", "model", "occurred_us", "observation", "observation_reason")
@@ -316,7 +316,7 @@ EDGE = {"low": 20.0, "high": 70.0, "severe_low": 0.5, "severe_high": 200.0, "sev
 def g16(spark, sf):
     q = _linked(spark, sf).withColumn("peak", F.col("value") * 1.1)
     link = (F.col("idx") == F.col("b.idx") + 1) & (F.col("up") - F.col("b.up")).between(630_000, 670_000)
-    return ev.edge_trigger(q, ["device", "boot"], ["idx"], auto_split(q, ["device", "boot"], "idx"), "up", "value", "peak", F.col("ok"), link, EDGE).select(
+    return ev.edge_trigger(q, ["device", "boot"], ["idx"], declared_split("idx"), "up", "value", "peak", F.col("ok"), link, EDGE).select(
         "device", "boot", "idx", "active", "reason")
 
 

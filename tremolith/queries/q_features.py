@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..operators import events as ev, features as fe, scoring as sc
 from ..plans.registry import query
-from ..plans.scan import auto_split, numbered
+from ..plans.scan import declared_split, numbered
 from ..sources.tables import points, snapshots, table, vectors
 from . import sql
 from .q_joins import spans
@@ -192,7 +192,7 @@ _BESSEL = lambda x: f"(select sum(pow(({x}) / 2, 2 * m) / pow(gamma(m + 1.0), 2)
   select o.stream, o.j - 32 as pos, round(sum(s.x * nt.h), 6) + 0.0 as x from o join s on s.stream = o.stream and s.pos between o.j * 16 - 512 and o.j * 16 + 512 join nt on nt.k = o.j * 16 - s.pos + 512 group by o.stream, o.j""")
 def e15(spark, sf):
     v = vectors(spark, sf)
-    n = numbered(v, ["stream"], ["vec_id"], auto_split(v, ["stream"], "vec_id"), "n")
+    n = numbered(v, ["stream"], ["vec_id"], declared_split("vec_id"), "n")
     s = n.select("stream", F.posexplode("v").alias("i", "x"), "n").select("stream", ((F.col("n") - 1) * 64 + F.col("i")).alias("pos"), "x")
     d = fe.decimate(s, "stream", "pos", "x", block=2048)
     return d.select("stream", "pos", r6("x").alias("x"))
@@ -256,7 +256,7 @@ def x01(spark, sf):
   select seq, e.f, case when v is null or v < 0 then 'missing_or_invalid' when e.f = 'rpm' and rs <> 'valid' then 'rpm_not_measured' when e.f <> 'rpm' and u <> un then 'unit_mismatch' end as why,
    cast(round_even(least(100.0, greatest(lo - v, v - hi, 0.0) / sc * 100.0), 0) as int) as s from e join b on b.asset = e.asset and b.f = e.f), g as (
   select seq, max(case when why is null then s end) as anomaly_score, string_agg(f || ':' || coalesce(why, 'evaluated'), ',' order by f) as evidence from j group by seq)
-  select *, case when anomaly_score is null then 'unavailable' when anomaly_score >= 75 then 'critical' when anomaly_score >= 50 then 'warning' else 'normal' end as anomaly_status from g""")
+  select seq, anomaly_score, coalesce(evidence, '') as evidence, case when anomaly_score is null then 'unavailable' when anomaly_score >= 75 then 'critical' when anomaly_score >= 50 then 'warning' else 'normal' end as anomaly_status from t left join g using (seq)""")
 def x02(spark, sf):
     k = F.col("k")
     t = points(spark, sf).select("seq", "asset", F.col("value").alias("vib"), F.when(k % 6 > 0, k / 100.0).alias("ac"), (k * 10).cast("double").alias("rpm"),
@@ -385,8 +385,8 @@ def x10(spark, sf):
 def x10l(spark, sf):
     from ..operators.sequence import make_sequences
     s = snapshots(spark, sf)
-    n = numbered(s, ["stream"], ["vec_id"], auto_split(s, ["stream"], "vec_id"), "idx")
-    q = make_sequences(n, ["stream"], "idx", 5, F.col("x"), auto_split(n, ["stream"], "idx"))
+    n = numbered(s, ["stream"], ["vec_id"], declared_split("vec_id"), "idx")
+    q = make_sequences(n, ["stream"], "idx", 5, F.col("x"), declared_split("idx"))
     return sc.score_autoencoder(q, "sequence", LSTM, True).select("stream", "start_idx", F.round("error", 4).alias("error"), "status")
 
 

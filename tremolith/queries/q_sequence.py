@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..operators import dedupe as dd, sequence as sq
 from ..plans.registry import query
-from ..plans.scan import auto_split
+from ..plans.scan import declared_split
 from ..sources.tables import DAY_US, points, snapshots, table, vectors, windows
 from . import sql
 from .q_events import _NOW, first_windows
 
 KEYS = ["device", "boot"]
+
+
 def sized(spark, sf, at="idx"):
-    return auto_split(windows(spark, sf), KEYS, at)
+    return declared_split(at)
 
 
 @query("d01_gap", f"""with {sql.FIRST_WINDOWS} select device, boot, idx,
@@ -45,7 +47,7 @@ def _late(spark, sf):
     ((bu is null or (bu < uptime_us and bc < captured_us)) and (au is null or (au > uptime_us and ac > captured_us))) as accepted from n""")
 def d03(spark, sf):
     late = _late(spark, sf)
-    return sq.accept_backfill(late, KEYS, "arrival", "idx", "uptime_us", "captured_us", auto_split(late, KEYS, "arrival"), sized(spark, sf)).select("device", "boot", "idx", "late", "accepted")
+    return sq.accept_backfill(late, KEYS, "arrival", "idx", "uptime_us", "captured_us", declared_split("arrival"), sized(spark, sf)).select("device", "boot", "idx", "late", "accepted")
 
 
 @query("d04_clock_drift", f"""with {sql.FIRST_WINDOWS}, a as (select *, first_value(uptime_us) over w as u0, first_value(captured_us) over w as c0
@@ -68,7 +70,7 @@ def d05(spark, sf):
   select device, boot, idx, m is not null and captured_us <= m as late from l""")
 def d06(spark, sf):
     late = _late(spark, sf)
-    return sq.flag_late(late, KEYS, "arrival", "captured_us", auto_split(late, KEYS, "arrival")).select("device", "boot", "idx", "late")
+    return sq.flag_late(late, KEYS, "arrival", "captured_us", declared_split("arrival")).select("device", "boot", "idx", "late")
 
 
 @query("d07_make_sequences", f"""with {sql.FIRST_WINDOWS}, i as (select *, idx - row_number() over (partition by device, boot order by idx) as isl from fw), c as (
@@ -109,7 +111,7 @@ def snapshot_stream(spark, sf):
     """Snapshots as a 25-second schedule with event rows in between, a few shifted clocks and bad windows."""
     from ..plans.scan import last_set, running_sum, scan
     s = snapshots(spark, sf).withColumn("event", F.col("vec_id") % 9 == 4)
-    split = auto_split(s, ["stream"], "vec_id")
+    split = declared_split("vec_id")
     s = scan(s, ["stream"], ["vec_id"], split, n=running_sum(F.when(~F.col("event"), 1).otherwise(0).cast("long")))
     slot = (F.col("n") - 1) * 25
     at = F.when(~F.col("event"), slot).when(F.col("n") > 0, slot + 10).otherwise(0) * 1_000_000
@@ -123,7 +125,7 @@ ENTRY = ["captured_us", "uptime_us", "seq", "slot", "valid", "x"]
 
 def with_24(spark, sf, n=24):
     s = snapshot_stream(spark, sf)
-    return sq.with_history(s, ["stream"], ["vec_id"], auto_split(vectors(spark, sf), ["stream"], "vec_id"), ~F.col("event"), F.struct(*ENTRY), n)
+    return sq.with_history(s, ["stream"], ["vec_id"], declared_split("vec_id"), ~F.col("event"), F.struct(*ENTRY), n)
 
 
 @query("d09_history_assembly", f"""with {_SNAP_SQL}, s as (select * from cur where not event), j as (
@@ -132,7 +134,7 @@ def with_24(spark, sf, n=24):
   select stream, vec_id, count(hv) as records, min(hv) as oldest, max(hv) as newest, round(coalesce(sum(hx[1]), 0), 6) + 0.0 as sum_x1 from j where rn <= 24 group by stream, vec_id""")
 def d09(spark, sf):
     s = snapshot_stream(spark, sf)
-    h = sq.with_history(s, ["stream"], ["vec_id"], auto_split(vectors(spark, sf), ["stream"], "vec_id"), ~F.col("event"), F.struct("vec_id", "x"), 24)
+    h = sq.with_history(s, ["stream"], ["vec_id"], declared_split("vec_id"), ~F.col("event"), F.struct("vec_id", "x"), 24)
     ids = F.transform("history", lambda e: e["vec_id"])
     return h.select("stream", "vec_id", F.size("history").cast("long").alias("records"), F.array_min(ids).alias("oldest"),
                     F.array_max(ids).alias("newest"), r6(F.aggregate("history", F.lit(0.0), lambda a, e: a + e["x"][0])).alias("sum_x1"))
@@ -187,7 +189,7 @@ def d11(spark, sf):
         F.lit(300.0).alias("min_valid_sec"), F.lit(150).alias("max_invalid"), F.lit(2000).alias("max_missing"),
         F.when(F.col("n_nationkey") % 4 != 0, F.lit(5_000_000) * F.col("n_nationkey")).alias("max_timing_us"),
         (F.col("n_regionkey") % 2 == 0).alias("reviewed"))
-    return sq.audit_sessions(d, s, auto_split(d, ["session", "boot"], "idx")).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
+    return sq.audit_sessions(d, s, declared_split("idx")).withColumn("blocking_reasons", F.array_join("blocking_reasons", ","))
 
 
 @query("d13_lanes", f"""with {sql.WINDOWS} select ordinal, case when event_type = 'click' and ({_NOW} - captured_us) / 1e6 / 86400 between -5 and 30 then 'live' else 'history' end as lane,
@@ -252,7 +254,7 @@ def c02(spark, sf):
   select asset, seq, accepted from walk""")
 def c03(spark, sf):
     p = points(spark, sf).select("asset", "seq", F.col("t_us").alias("s"), (F.col("t_us") + (F.col("value") * 600_000_000).cast("long")).alias("e"))
-    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", auto_split(p, ["asset"], "s")).select("asset", "seq", "accepted")
+    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", declared_split("s", DAY_US)).select("asset", "seq", "accepted")
 
 
 @query("c04_disposition", f"""with {_COPIES_SQL}, x as (select arrival, seq, case when arrival = min(arrival) over (partition by asset, seq) then 'accepted'

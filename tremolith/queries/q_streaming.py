@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import micros
 from ..plans.registry import query
-from ..plans.scan import auto_split, numbered
+from ..plans.scan import declared_split, numbered
 from ..sources.tables import table
 from ..streaming import streams as st
 from . import sql
@@ -89,7 +89,7 @@ def g10_keyed(spark, sf):
     st.use_rocksdb(spark)
     root = st.scratch(spark, "incidents")
     w = first_windows(spark, sf)
-    n = numbered(w, ["device"], ["captured_us", "ordinal"], auto_split(w, ["device"], "captured_us"), "place")
+    n = numbered(w, ["device"], ["captured_us", "ordinal"], declared_split("captured_us"), "place")
     w = n.select("device", F.col("captured_us").alias("t_us"), F.col("place").alias("idx"), (F.col("place") * 650_000).alias("uptime_us"),
                  F.col("site").cast("string").alias("target"), (F.col("quality") == "valid").alias("ok"), (F.col("value") > 15).alias("hit"))
     w.write.parquet(f"{root}/in")

@@ -7,7 +7,7 @@ from ..functions.numeric import finite_text, r6
 from ..operators import aggregates as ag, dedupe as dd, features as fe, validate as va
 from ..operators.joins import with_registry
 from ..plans.registry import query
-from ..plans.scan import auto_split
+from ..plans.scan import declared_split
 from ..sources import readers as rd, sinks as sk
 from ..sources.tables import DAY_US, points, snapshots, table, vectors, windows
 from . import sql
@@ -283,7 +283,7 @@ def _health(spark, sf):
     fault = F.struct(F.when(k == 21, "Bad Code!").otherwise(F.concat(F.lit(" IMU."), k % 4)).alias("code"), F.when(k == 22, "odd").when(k % 2 == 0, "recovered").alias("status"), F.when(k == 23, "fatal").alias("severity"), F.lit("d").alias("detail"))
     p = points(spark, sf).select("asset", "seq", (F.col("t_us") - F.when(k % 9 == 0, 172_800_000_000).otherwise(0)).alias("reported_us"), F.when(k == 1, 10.0).when(k == 2, None).otherwise(-60.0).alias("rssi_dbm"),
                                  F.when(k == 3, -1).otherwise(2).alias("reboot_count"), F.when(k == 4, 101.0).otherwise(50.0).alias("buffer_pct"), F.when(k == 5, F.array_repeat(fault, 33)).otherwise(F.array(fault)).alias("faults"))
-    return va.validate_health(p, "asset", "seq", auto_split(p, ["asset"], "seq"))
+    return va.validate_health(p, "asset", "seq", declared_split("seq"))
 
 
 @query("f23_validate_health", f"with {_HEALTH_SQL} select seq, case when k = 1 then 'rssi' when k = 3 then 'reboot_count' when k = 4 then 'buffer' when k = 5 then 'too_many_faults' when top is not null and rep < top then 'stale' end as error_rule from s")
@@ -358,14 +358,16 @@ def s03(spark, sf):
     return rd.parse_window_archive(e.select(F.col("event_id").alias("seq"), F.expr(_JSON).alias("line")), "line").select("seq", "error_code")
 
 
-@query("s04_waveform_clock", f"""with {sql.VECTORS}, r as (select stream, count(*) * 64 as samples from vectors group by stream) select stream, samples, case when stream = 3 then 'CLOCK_OFF_GRID' when stream = 4 then 'CLOCK_NOT_MONOTONE' end as error_code from r""")
+@query("s04_waveform_clock", f"""with {sql.VECTORS}, r as (select stream, count(*) * 64 as samples from vectors group by stream) select stream, samples, case when stream = 3 then 'CLOCK_OFF_GRID' when stream in (4, 5) then 'CLOCK_NOT_MONOTONE' end as error_code from r""")
 def s04(spark, sf):
     from ..plans.scan import numbered
     v = vectors(spark, sf)
-    n = numbered(v, ["stream"], ["vec_id"], auto_split(v, ["stream"], "vec_id"), "n")
+    n = numbered(v, ["stream"], ["vec_id"], declared_split("vec_id"), "n")
     s = n.select("stream", F.posexplode("v").alias("i", "x"), "n").select("stream", ((F.col("n") - 1) * 64 + F.col("i")).alias("pos"))
-    t = F.when((F.col("stream") == 4) & (F.col("pos") == 100), 99 / 12800.0).when((F.col("stream") == 3) & (F.col("pos") > 50), (F.col("pos") + 1) / 12800.0).otherwise(F.col("pos") / 12800.0)
-    return rd.check_clock(s.select("stream", t.alias("t")), "stream", "t", F.floor(F.col("t") * 4).cast("long"), minimum=640).select("stream", "samples", "error_code")
+    # stream 5: two samples exchanged
+    swapped = F.when(F.col("pos") == 200, 201).when(F.col("pos") == 201, 200).otherwise(F.col("pos")) / 12800.0
+    t = F.when(F.col("stream") == 5, swapped).when((F.col("stream") == 4) & (F.col("pos") == 100), 99 / 12800.0).when((F.col("stream") == 3) & (F.col("pos") > 50), (F.col("pos") + 1) / 12800.0).otherwise(F.col("pos") / 12800.0)
+    return rd.check_clock(s.select("stream", "pos", t.alias("t")), "stream", "t", ["pos"], F.floor(F.col("pos") / 4096).cast("long"), minimum=640).select("stream", "samples", "error_code")
 
 
 @query("s05_recording_metadata", """select p_partkey, case p_partkey % 5 when 0 then 'bend' when 1 then 'health' end as label, case when p_partkey % 5 < 2 then 'speed' end as mode, case when p_partkey % 5 < 2 then p_size end as load_nm, case when p_partkey % 5 < 2 then 3000 end as speed_rpm,

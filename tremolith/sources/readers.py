@@ -155,9 +155,13 @@ def decode_frames(df: DataFrame, samples: str, count: str, limit: float = 1e9) -
 
 # ------------------------------------------------------------------ recordings
 
-def check_clock(df: DataFrame, run: str, t: str, split: Column, rate: float = 12800.0, tolerance: float = 0.000051, minimum: int = 8192) -> DataFrame:
-    """Per recording: strictly increasing clock on the sample grid, enough samples, finite values."""
-    n = numbered(df, [run], [t], split, "__n")
+def check_clock(df: DataFrame, run: str, t: str, order: list[str], split: Column, rate: float = 12800.0, tolerance: float = 0.000051, minimum: int = 8192) -> DataFrame:
+    """Per recording: strictly increasing clock on the sample grid, enough samples, finite values.
+
+    Samples stand in the stored order ``order``, never in that of the clock, which is what is judged; ``split`` must not
+    decrease along it.
+    """
+    n = numbered(df, [run], order, split, "__n")
     s = scan(n, [run], ["__n"], F.floor(F.col("__n") / 100_000).cast("long"), __p=prev(t), __a=first_of(t))
     off = F.abs((F.col(t) - F.col("__a")) - (F.col("__n") - 1) / F.lit(rate))
     g = s.groupBy(run).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("__p").isNotNull() & (F.col(t) <= F.col("__p"))).alias("not_increasing"),
@@ -172,7 +176,9 @@ WAVEFORM_SCHEMA = "t double, c1 double, c2 double, c3 double, c4 double, c5 doub
 def read_waveform_csv(spark: SparkSession, path: str, minimum: int = 8192) -> tuple[DataFrame, DataFrame]:
     """Nine-column recordings to XYZ rows (columns 4-6) of sound files, and the verdict per file."""
     raw = spark.read.schema(WAVEFORM_SCHEMA).csv(path).withColumn("run", F.col("_metadata.file_path"))
-    verdict = check_clock(raw, "run", "t", F.floor(F.col("t")).cast("long"), minimum=minimum)
+    # place in the file: where the row's split begins, then the row's number in the task that reads the split
+    placed = raw.withColumns({"__block": F.col("_metadata.file_block_start"), "__row": F.monotonically_increasing_id()})
+    verdict = check_clock(placed, "run", "t", ["__block", "__row"], F.col("__block"), minimum=minimum)
     good = raw.join(verdict.filter("error_code is null").select("run"), "run", "left_semi")
     return good.select("run", "t", F.col("c3").alias("x"), F.col("c4").alias("y"), F.col("c5").alias("z")), verdict
 

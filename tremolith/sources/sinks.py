@@ -23,14 +23,14 @@ def export_telemetry_csv(df: DataFrame, path: str) -> None:
     telemetry_export(df).write.option("header", True).mode("errorifexists").csv(path)
 
 
-def export_measurements(df: DataFrame, site: str, asset: str, low_us: int, high_us: int, limit: int = 100_000) -> DataFrame:
-    """Snapshot measurements of one asset in (captured, ordinal) order; over 31 days or over the limit is an error."""
+def export_measurements(df: DataFrame, site: str, asset: str, low_us: int, high_us: int, limit: int | None = None, most_days: int | None = None) -> DataFrame:
+    """Snapshot measurements of one asset in (captured, ordinal) order; over ``most_days`` or ``limit``, if given, is an error."""
     if low_us > high_us:
         raise ValueError("from must not be later than to")
-    if high_us - low_us > 31 * 86_400_000_000:
-        raise ValueError("export at most 31 days at a time")
+    if most_days is not None and high_us - low_us > most_days * 86_400_000_000:
+        raise ValueError(f"export at most {most_days} days at a time")
     hit = df.filter((F.col("site_id") == site) & (F.col("asset_id") == asset) & F.col("captured_us").between(low_us, high_us))
-    if hit.select("ordinal").limit(limit + 1).count() > limit:
+    if limit is not None and hit.select("ordinal").limit(limit + 1).count() > limit:
         raise ValueError(f"export exceeds {limit} measurements; choose a shorter period")
     ok = F.col("quality") == "valid"
     clean = hit.withColumns({c: F.when(ok, F.col(c)) for c in FEATURES9})
