@@ -177,8 +177,9 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
     # the threshold per language comes from ids alone; texts of the sample are read afterwards
-    pick = Window.partitionBy("l").orderBy("h")
-    cut = labelled.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
+    # first within 64 parts of each language, as one language may hold most rows
+    part = labelled.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_lang)
+    cut = part.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
     tops = {r.l: r.top for r in cut.collect()}
     if not tops:
         return None

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: The white space of the contracts: blank and 0x09 to 0x0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: ASCII that is neither a digit nor a lower-case letter (after A-Z is lowered).

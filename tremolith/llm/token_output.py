@@ -30,7 +30,7 @@ _CODE = np.zeros(256, np.uint8)  # 1 ASCII white space, 2 ASCII letter or digit,
 _CODE[:128] = 3
 _CODE[list(T.BLANKS)] = 1
 _CODE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
-_KNOWN, _POOL = 2_000_000, 20_000_000
+_KNOWN, _POOL = 800_000, 6_000_000
 
 
 def pieces(texts: T.Texts) -> T.Words:
