@@ -6,10 +6,10 @@ them if there are fewer).  The n-th occurrence of a k-mer has a hash of its own,
 in a bin only where the same k-mers come in the same order.  Everything happens inside the row, on arrays of longs that
 carry a 32-bit hash and a position, so that sorting is primitive.
 
-A fingerprint is ``bins`` groups of four hex digits; an empty bin is "....".  ``likeness`` is the share of equal bins among
-those that are not empty in both.
+A fingerprint has six hex digits for each bin that is not empty: its number and its hash.  ``likeness`` is the share of
+equal bins among those that are not empty in both.
 
-Defined cases: null counts as empty; texts without tokens have an all-empty fingerprint and are wholly alike.  Texts that
+Defined cases: null counts as empty; texts without tokens have an empty fingerprint and are wholly alike.  Texts that
 differ in white space only have equal fingerprints.  Equal texts have equal fingerprints.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOKEN = 8
-WIDTH = 4
+WIDTH = 6  # hex digits of a bin: two for its number, four for its hash
 BUCKET = 4096
 _LOW = 0x7FFFFFFF
 
@@ -33,40 +33,50 @@ def _packed(hash_: Column, at: Column) -> Column:
     return F.shiftleft(F.shiftright(hash_, 32), 32).bitwiseOR(at.cast("long"))
 
 
-def fingerprint(text: Column, bins: int = 64, k: int = 2, l: int = 2) -> Column:  # noqa: E741
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S{1,%d})" % TOKEN), F.lit(1))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+def _bin(g: Column, bins: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(g, 32) * bins, 32)
 
-    def kmers(h: Column) -> Column:
-        n = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
-        whole = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: _packed(F.xxhash64(*[F.get(h, i - 1 + j) for j in range(k)]), i)))
-        return F.sort_array(F.coalesce(whole, F.array().cast("array<bigint>")))
 
-    def numbered(s: Column) -> Column:
-        # equal hashes lie together, in text order: the n-th of a run is the n-th occurrence
-        same = lambda i: F.shiftright(F.get(s, i), 32) == F.shiftright(F.get(s, i - 1), 32)
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~same(i))
-        runs = lambda st: F.flatten(F.transform(st, lambda a, r: F.transform(F.sequence(a, F.coalesce(F.get(st, r + 1), F.size(s)) - 1), lambda i: _packed(F.xxhash64(F.shiftright(F.get(s, i), 32), i - a), F.get(s, i).bitwiseAND(F.lit(_LOW))))))
-        return F.sort_array(_let(starts, runs))
+def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = 64, k: int = 2, l: int = 2) -> DataFrame:  # noqa: E741
+    """``df`` with the fingerprint ``out`` of column ``text``.
 
-    bin_of = lambda g: F.shiftright(F.shiftrightunsigned(g, 32) * bins, 32)
-    least = lambda u: F.filter(u, lambda g, i: (i < l) | (bin_of(F.get(u, i - l)) != bin_of(g)))
-
-    def sketch(sel: Column) -> Column:
-        own = lambda b: F.sort_array(F.transform(F.filter(sel, lambda g: bin_of(g) == b), lambda g: F.shiftleft(g.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.shiftrightunsigned(g, 32))))
-        tuple_hash = lambda own: F.when(F.size(own) == 0, F.lit("." * WIDTH)).otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.transform(own, lambda g: g.bitwiseAND(F.lit(0xFFFFFFFF)))))), 16, "0"), 1, WIDTH))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: _let(own(b), tuple_hash)), "")
-
-    empty = F.lit("." * (WIDTH * bins))
-    return _let(hashes, lambda h: F.when(F.size(h) == 0, empty).otherwise(_let(_let(_let(kmers(h), numbered), least), sketch)))
-
-
-def likeness(a: Column, b: Column, bins: int = 64) -> Column:
-    both = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.struct(F.lit(0).alias("same"), F.lit(0).alias("n")), lambda acc, i: _let(
-        F.struct(F.substring(a, i * WIDTH + 1, WIDTH).alias("x"), F.substring(b, i * WIDTH + 1, WIDTH).alias("y")),
-        lambda p: F.struct((acc["same"] + F.when((p["x"] == p["y"]) & (p["x"] != "." * WIDTH), 1).otherwise(0)).alias("same"),
-                           (acc["n"] + F.when((p["x"] != "." * WIDTH) | (p["y"] != "." * WIDTH), 1).otherwise(0)).alias("n"))))
-    return _let(both, lambda t: F.when(t["n"] == 0, 1.0).otherwise(t["same"] / t["n"]))
+    The steps are columns of their own, each used more than once by the next: so each is computed once, and the sorts,
+    which stand outside of any lambda, are compiled and primitive.
+    """
+    h, s, first, again, u = (f"__{out}_{x}" for x in "hsfau")
+    top = lambda x: F.shiftright(x, 32)
+    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+    longs = F.array().cast("array<bigint>")
+    col = F.col
+    df = df.withColumn(h, F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,%d}" % TOKEN), F.lit(0)), lambda t: F.xxhash64(t)))
+    n = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
+    df = df.withColumn(s, F.sort_array(F.transform(F.slice(h, F.lit(1), n), lambda x, i: _packed(F.xxhash64(x, *[F.get(col(h), i + j) for j in range(1, k)]), i))))
+    # equal hashes lie together, in text order: the n-th of a run is the n-th occurrence
+    df = df.withColumn(first, F.filter(s, lambda x, i: (i == 0) | (top(F.get(col(s), i - 1)) != top(x))))
+    repeats = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: top(F.get(col(s), i - 1)) == top(F.get(col(s), i)))
+    df = df.withColumn(again, F.when(F.size(first) < F.size(s), repeats).otherwise(F.array().cast("array<int>")))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(again) - 1, F.lit(0))), lambda j: (j == 0) | (F.get(col(again), j - 1) != F.get(col(again), j) - 1))
+    later = lambda j, a: _let(F.get(col(s), F.get(col(again), j)), lambda x: _packed(F.xxhash64(top(x), j - a + 1), low(x)))
+    runs = _let(starts, lambda st: F.flatten(F.transform(st, lambda a, r: F.transform(F.sequence(a, F.coalesce(F.get(st, r + 1), F.size(again)) - 1), lambda j: later(j, a)))))
+    df = df.withColumn(u, F.sort_array(F.concat(F.transform(first, lambda x: _packed(F.xxhash64(top(x), F.lit(0)), low(x))), F.when(F.size(again) > 0, runs).otherwise(longs))))
+    least = F.filter(u, lambda g, i: (i < l) | (_bin(F.get(col(u), i - l), bins) != _bin(g, bins)))
+
+    def code(sel: Column, g: Column, i: Column) -> Column:
+        """Of the first of a bin: the bin, and the hash of the selected k-mers of the bin in text order."""
+        own = F.filter(F.array(g, *[F.get(sel, i + j) for j in range(1, l)]), lambda x: x.isNotNull() & (_bin(x, bins) == _bin(g, bins)))
+        ordered = F.array_sort(F.transform(own, lambda x: F.shiftleft(low(x), 32).bitwiseOR(F.shiftrightunsigned(x, 32))))
+        digest = F.xxhash64(F.transform(ordered, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+        fresh = (i == 0) | (_bin(F.get(sel, i - 1), bins) != _bin(g, bins))
+        return F.when(fresh, F.lower(F.concat(F.lpad(F.hex(_bin(g, bins)), 2, "0"), F.substring(F.lpad(F.hex(digest), 16, "0"), 1, WIDTH - 2))))
+    made = _let(least, lambda sel: F.array_join(F.transform(sel, lambda g, i: code(sel, g, i)), ""))
+    return df.withColumn(out, made).drop(h, s, first, again, u)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal bins among those that are not empty in both; 1 if all are."""
+    parts = lambda x: F.regexp_extract_all(x, F.lit(".{%d}" % WIDTH), F.lit(0))
+    bins = lambda x: F.transform(x, lambda c: F.substring(c, 1, 2))
+    return _let(F.struct(parts(a).alias("a"), parts(b).alias("b")), lambda p: _let(F.size(F.array_union(bins(p["a"]), bins(p["b"]))), lambda n: F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / n)))
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

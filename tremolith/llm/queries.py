@@ -71,8 +71,8 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprint")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = op5.with_next(read(spark, sf_dir, "documents")).withColumn("edited", op5.edited(F.col("text"), F.col("next_text")))
-    made = stage(pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                              op5.fingerprint(F.col("text")).alias("fingerprint"), op5.fingerprint(F.col("edited")).alias("edited_fingerprint")), "fingerprints")
+    made = op5.with_fingerprint(op5.with_fingerprint(pairs, "text", "fingerprint"), "edited", "edited_fingerprint")
+    made = stage(made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "fingerprints")
     both = op5.with_next(made, text="fingerprint", keep=("n_chars", "edited_sha256", "edited_fingerprint"))
     return both.select("doc_id", "n_chars", "edited_sha256", F.col("text").alias("fingerprint"), "edited_fingerprint", op5.likeness(F.col("text"), F.col("edited_fingerprint")).alias("near_edited"),
                        op5.likeness(F.col("text"), F.col("next_text")).alias("near_next"))
