@@ -12,8 +12,6 @@ The benchmark is a stated query set: it is searched in blocks of at most ``block
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -163,5 +161,16 @@ def contaminated(out: str = "contamination") -> Column:
     return (c["n_hit"] > 0) & (20 * c["n_hit"] >= c["n_words"])
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+#: The contract's result as DuckDB SQL over documents and benchmark.
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+p as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+n as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from p) where len(w) >= k),
+o as (select n.doc_id, n.i, n.k, p.item_id from n join p on p.k = n.k and p.s = array_to_string(n.w[n.i:n.i + n.k - 1], ' ')),
+h as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + k)) as place from o) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct doc_id, cast(item_id as varchar) as x from o) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (doc_id) left join t using (doc_id)"""
