@@ -212,6 +212,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                     cols = [pa.array([name] * len(pick)), pa.array(g[keep].view(np.int64)), pa.array(total[keep])]
                     cols += [pa.array(full[k][pick].view(np.int64)) for k in range(1, ORDER)] + [pa.array(before[k][pick].view(np.int64)) for k in range(1, ORDER)]
                     yield pa.RecordBatch.from_arrays(cols, ["l", "g", "n", *names])
+            T.release()
     parts = sample.mapInArrow(count, "l string, g long, n long, " + ", ".join(f"{x} long" for x in names))
     grams = parts.groupBy("l", "g").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in names])
     ranked = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= most_grams).drop("r")

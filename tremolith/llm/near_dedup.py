@@ -117,6 +117,7 @@ def _alike(k: int, percent: int):
             for x, y in zip(sets(a), sets(b)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
+            T.release()
             yield pa.array(out, pa.bool_())
     return F.arrow_udf(body, "boolean")
 

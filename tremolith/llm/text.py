@@ -6,6 +6,7 @@ so its memory follows the slice and not the batch.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -166,11 +167,25 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on for later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
 def column_udf(make: Callable[[], Callable[[Texts], pa.Array]], kind: pa.DataType, ddl: str):
     """A column function that applies the kernel from ``make`` (called once a task) slice by slice."""
     def body(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = make()
         for column in batches:
             parts = [kernel(s).cast(kind) for s in slices(column)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del parts
+            release()
+            yield out
+        del kernel
+        release()
     return F.arrow_udf(body, ddl)

@@ -176,6 +176,7 @@ def _writer(path: str, end_id: int, block: int, bits: bool, schema: pa.Schema):
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out.clear()
+            T.release()
         if held:
             flush(block_of[:held])
             yield pa.RecordBatch.from_pylist(out, schema)
