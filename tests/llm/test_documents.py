@@ -203,6 +203,17 @@ def test_model_sums_to_one(docs):
         assert (10 ** full).sum() + (10 ** ends).sum() <= 1 + 1e-9
 
 
+def test_frequent_words_have_contexts(spark):
+    """Words that are all frequent: their order decides; contexts beyond the broadcast bound change no score."""
+    told = [(i, " ".join(f"red{i % 7} fox runs{i % 5} home{j % 3}" for j in range(12))) for i in range(60)]
+    held = [(100, "fox runs1 home2 red3 fox runs4 home0"), (101, "home0 runs4 fox red3 home2 runs1 fox"), (102, "Zebra fox \u00e9"), (103, None)]
+    table = spark.createDataFrame(told + held, "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in lm_score.score(table, F.col("doc_id") < 100, most=most).collect()} for most in (lm_score.MOST_GRAMS, 300, 0)]
+    assert got[0][100] > got[0][101] + 3
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(abs(other[d] - got[0][d]) < 1e-6 for d in other)
+
+
 def test_score_without_training(docs, empty):
     got = lm_score.score(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and all(r.n_known == 0 and r.base_score == 0 for r in got)
