@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tremolith.llm import decontaminate as op8, langid as op3, mixing as op2, near_dedup as op1, token_output as op9
 from tremolith.llm.queries import BYTE_BPE, read
@@ -32,12 +32,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words: the whole part of taken / size, the rest by a draw on the id."""
-    taken = op2.mix_sources(docs).taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    ratio = F.col("taken") / F.greatest("size", F.lit(1))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    times = taken.select(F.col("doc_id").alias("id"), (F.floor(ratio) + F.when(draw < ratio - F.floor(ratio), 1).otherwise(0)).cast("int").alias("times")).where("times > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    """Whole documents about as often as the mix takes their words; each source's words meet those taken within its largest document.
+
+    Each row is repeated by the whole part of taken / size.  The rest is rounded along a running sum within the source, from
+    large documents to small ones: the running counts are never off by more than half a row, so (sizes falling) the words
+    are never off by more than half the largest document.
+    """
+    numbered = stage(docs.withColumn("row", F.monotonically_increasing_id()), "mix-numbered")
+    made = op2.mix_sources(numbered, row="row")
+    one = 1 << 30
+    times = stage(made.taken.where("taken > 0").join(made.rows.select("row", "sk"), "row").select(
+        "row", "doc_id", "sk", "size", F.floor(F.col("taken") / F.col("size")).cast("long").alias("whole"),
+        F.round(F.pmod("taken", "size") / F.col("size") * one).cast("long").alias("rest")).where("whole > 0 or rest > 0"), "mix-times")
+    # running sums in two levels, so that no source is one task: within (size, part), then over one row each
+    times = times.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 + times.count() // (1 << 20))))
+    ahead = times.groupBy("sk", "size", "part").agg(F.sum("rest").alias("sum"))
+    ahead = ahead.withColumn("ahead", F.sum("sum").over(Window.partitionBy("sk").orderBy(F.desc("size"), "part")) - F.col("sum")).drop("sum")
+    within = F.sum("rest").over(Window.partitionBy("sk", "size", "part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    run = times.withColumn("own", within).join(ahead, ["sk", "size", "part"]).withColumn("run", F.col("ahead") + F.col("own") + one // 2)
+    times = run.select("row", (F.col("whole") + F.shiftright("run", 30) - F.shiftright(F.col("run") - F.col("rest"), 30)).cast("int").alias("times")).where("times > 0")
+    return numbered.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

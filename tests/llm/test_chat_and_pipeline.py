@@ -1,10 +1,12 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import connect, differs
 from tests.llm.conftest import SF
-from tremolith.llm import chat
+from tremolith.llm import chat, mixing
 from tremolith.llm.queries import ORACLES, QUERIES
 
 
@@ -49,3 +51,18 @@ def test_pipeline_stages(spark, docs):
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 100
+
+
+def test_pipeline_mix_meets_targets(spark):
+    """Skewed sizes and null ids: each source's words meet its target within its largest document and a block."""
+    rows = [(None if s == 2 and i % 2 else 1000 * s + i, " ".join(["word"] * (4000 if i == 0 and s == 1 else 10 + (i * 37 + s * 11) % 50)), "en", f"s{s}") for s in range(5) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    size = F.size(F.split("text", " "))
+    made = corpus_pipeline.mix(spark, table, SF)
+    got = {r.source: r.n for r in made.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    for r in mixing.mix_sources(table).sources.collect():
+        assert abs(got[r.source] - r.target) <= (4000 if r.source == "s1" else 60) + 128
+    # rows without an id are rounded one by one
+    per_text = {r.text: r.n for r in made.where("doc_id is null").groupBy("text").agg(F.count("*").alias("n")).collect()}
+    there = Counter(t for d, t, _, _ in rows if d is None)
+    assert any(n % there[t] for t, n in per_text.items())

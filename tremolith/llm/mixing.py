@@ -68,9 +68,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-                block: int = 128, shard_slots: int = 4096) -> Mixture:
+                block: int = 128, shard_slots: int = 4096, row: str | None = None) -> Mixture:
+    """``row`` names a column that numbers the rows; without it they are numbered here."""
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("sk"),
+    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("sk"),
                         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
     rows = stage(sized, "mix-rows")
     lanes = max(1, rows.count() // LANE_ROWS)
