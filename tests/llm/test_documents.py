@@ -112,6 +112,32 @@ def test_language(spark, docs, empty):
     assert nothing is None and langid.identify(docs, nothing).where("language.lang <> 'und'").count() == 0
 
 
+def test_language_rejects_despite_labelled_junk(spark, docs):
+    """Shuffled and foreign texts go, also when shuffled ones carry a known label; shorter good texts stay."""
+    import random
+    draw = random.Random(5)
+    shuffle = lambda w: "".join(draw.sample(w, len(w)))
+    base = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id < 9000 and lang = 'en'").select("doc_id", "text", "lang").collect()]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = lambda n: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(3, 9))) for _ in range(n))
+    junk = [(20_000 + i, noise(80), "en") for i in range(12)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(spark.createDataFrame(base + junk, schema), F.lit(True))
+    bad = [(1, noise(80), ""), (2, "hyvaa huomenta kaikille tanaan satoi lunta koko paivan ja olimme kotona iltaan asti", "")]
+    bad += [(10 + i, " ".join(shuffle(t.replace(" ", ""))[i:i + 6] for i in range(0, 600, 6)), "") for i, (_, t, _) in enumerate([b for b in base if len(b[1]) > 700][:10])]
+    good = [(100 + i, " ".join(t.split()[:n]), "") for n in (12, 30, 100) for i, (_, t, _) in enumerate(base[:20])]
+    judged = lambda rows: [r.language.rejected for r in langid.identify(spark.createDataFrame(rows, schema), model).collect()]
+    assert all(judged(bad)) and not any(judged(good))
+
+
+def test_language_limits_ignore_outliers():
+    """A tenth of junk under a known label moves no limit far; a language without documents kept out has a finite one."""
+    good = 1.4 + 0.2 * (np.arange(100) % 10) / 10
+    entropy, n = np.concatenate([good, np.full(10, 4.0)]), np.full(110, 500)
+    limits = langid.calibrated(["en", "fr"], np.array(["en"] * 110, object), n, entropy)
+    assert (limits >= good.max()).all() and (limits < 2.6).all()
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = langid.train(docs, F.lit(True), per_lang=20)
     known = np.unique(np.frombuffer("".join(r.text for r in docs.select("text").where("text is not null").collect()).encode("utf-32-le"), np.uint32))

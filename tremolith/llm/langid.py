@@ -5,11 +5,15 @@ documented sample of the labelled rows: at most ``per_lang`` documents of each l
 their id.  Lower orders count distinct left extensions.  All languages share sorted arrays of gram hashes per order; each
 entry holds the interpolated log probability in every language, each context its back-off weight, so scoring a character
 is one binary search where the full gram is known.  A text's cross-entropy is the mean over its characters and word ends;
-the least one names the language.  A text whose least cross-entropy lies more than ``slack`` nats a character above the
-calibrated limit of that language (the highest of its training documents of ``firm`` characters or more) is rejected.
+the least one names the language.  Each fifth document of the sample, by its id, is kept out of the fit and calibrates: the
+limit of a language and a length (powers of two) is the median of their cross-entropies plus ``SPREAD`` times the distance
+to the upper quartile, which single odd documents under a known label don't move.  Lengths and languages with fewer than
+``ENOUGH`` such documents take the limit of the language, then the median of all languages' limits, then one of all
+documents kept out.  A text of n characters whose least cross-entropy lies more than ``slack`` + ``NOISE`` / sqrt(n) nats a
+character above its limit is rejected.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0 and are rejected.  Texts with fewer than
-``firm`` characters are too short to reject.  Equal cross-entropies go to the first language in code point order.
+``firm`` characters are too short to reject; without any document kept out no text is far.  Equal cross-entropies go to the first language in code point order.
 Without any labelled text every text is ``und``.  Rows with null language or id are never learnt from.  Repeated rows are
 judged alike; other columns are kept, but one named as the output column is replaced.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import text as T
 
 ORDER = 5
+SPREAD, ENOUGH, LENGTHS, NOISE = 8.0, 8, 24, 6.0
 _SEED = T.seeds(ORDER + 1, 41)
 _KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("n", pa.int64()), ("rejected", pa.bool_())])
 RESULT = "struct<lang:string,score:double,entropy:double,n:bigint,rejected:boolean>"
@@ -72,7 +77,7 @@ class Model:
     ctx: list[np.ndarray]       # per order: sorted context hashes
     backs: list[np.ndarray]     # per order: log back-off weight by language
     floor: float
-    limits: np.ndarray | None = None
+    limits: np.ndarray | None = None  # by language and length
 
     def word_logs(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word by language, and its number of characters with the end."""
@@ -154,6 +159,30 @@ def entropies(model: Model, texts: T.Texts) -> tuple[np.ndarray, np.ndarray]:
     return -total / np.maximum(chars, 1)[:, None], chars
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LENGTHS - 1)
+
+
+def calibrated(langs: list[str], lang: np.ndarray, n: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """Limits by language and length from documents kept out of the fit."""
+    def limit(x: np.ndarray) -> float:
+        middle, upper = np.quantile(x, [0.5, 0.75])
+        return middle + SPREAD * (upper - middle)
+
+    out = np.full((len(langs), LENGTHS), np.nan)
+    for j, name in enumerate(langs):
+        own = lang == name
+        if own.sum() >= ENOUGH:
+            out[j] = limit(entropy[own])
+            for c in np.unique(length_class(n[own])):
+                x = entropy[own & (length_class(n) == c)]
+                if len(x) >= ENOUGH:
+                    out[j, c] = limit(x)
+    known = ~np.isnan(out)
+    out[~known] = np.median(out[known]) if known.any() else limit(entropy) if len(entropy) else np.inf
+    return out
+
+
 def _judge(model: Model | None, slack: float, firm: int):
     def kernel(texts: T.Texts) -> pa.Array:
         if model is None or not model.langs:
@@ -165,7 +194,7 @@ def _judge(model: Model | None, slack: float, firm: int):
         least = h[np.arange(len(h)), best]
         # posterior of the language under equal priors; a long text counts as 200 characters
         score = 1 / np.exp((least[:, None] - h) * np.minimum(n, 200)[:, None]).sum(axis=1)
-        rejected = und if model.limits is None else und | (n >= firm) & (least > model.limits[best] + slack)
+        rejected = und if model.limits is None else und | (n >= firm) & (least > model.limits[best, length_class(n)] + slack + NOISE / np.sqrt(np.maximum(n, 1)))
         names = np.array(model.langs, object)[best]
         names[und] = "und"
         return T.struct(lang=pa.array(names.tolist(), pa.string()), score=np.where(und, 0.0, score), entropy=pa.array(least, mask=und | (n == 0)), n=n, rejected=rejected)
@@ -187,7 +216,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     inside = F.lit(False)
     for name, top in tops.items():
         inside = inside | (F.col(lang) == name) & (h <= top)
-    sample = docs.where(learn & inside & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    sample = docs.where(learn & inside & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), (F.pmod(F.xxhash64(F.lit("limit"), h), F.lit(5)) == 0).alias("out"))
     names = [f"s{k}" for k in range(1, ORDER)] + [f"c{k}" for k in range(1, ORDER)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +242,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                     cols += [pa.array(full[k][pick].view(np.int64)) for k in range(1, ORDER)] + [pa.array(before[k][pick].view(np.int64)) for k in range(1, ORDER)]
                     yield pa.RecordBatch.from_arrays(cols, ["l", "g", "n", *names])
             T.release()
-    parts = sample.mapInArrow(count, "l string, g long, n long, " + ", ".join(f"{x} long" for x in names))
+    parts = sample.where("not out").select("l", "t").mapInArrow(count, "l string, g long, n long, " + ", ".join(f"{x} long" for x in names))
     grams = parts.groupBy("l", "g").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in names])
     ranked = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= most_grams).drop("r")
     table = ranked.toArrow()
@@ -224,15 +253,17 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         u = lambda c: own[c].to_numpy().view(np.uint64)
         zero = np.zeros(own.num_rows, np.uint64)
         counts[name] = (u("g"), own["n"].to_numpy(), [zero, *(u(f"s{k}") for k in range(1, ORDER))], [zero, *(u(f"c{k}") for k in range(1, ORDER))])
+    if not counts:
+        return None
     model = fit(counts)
     shared = spark.sparkContext.broadcast(model)
-    judged = sample.withColumn("j", T.column_udf(lambda: _judge(shared.value, 0.0, firm), _KIND, RESULT)("t")).where(F.col("j.n") >= firm)
-    limits = {r.l: r.top for r in judged.where(F.col("j.lang") == F.col("l")).groupBy("l").agg(F.max("j.entropy").alias("top")).collect()}
-    model.limits = np.array([limits.get(x, np.inf) for x in model.langs])
+    judged = sample.where("out").withColumn("j", T.column_udf(lambda: _judge(shared.value, 0.0, firm), _KIND, RESULT)("t")).where((F.col("j.n") >= firm) & (F.col("j.lang") == F.col("l")))
+    held = judged.select("l", "j.n", "j.entropy").toArrow()
+    model.limits = calibrated(model.langs, np.array(held["l"].to_pylist(), object), held["n"].to_numpy(), held["entropy"].to_numpy())
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language", slack: float = 1.5, firm: int = 40) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language", slack: float = 0.75, firm: int = 40) -> DataFrame:
     """``docs`` with a struct ``out``: lang, score (0 to 1), entropy (nats a character), n (characters), rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     judge = T.column_udf(lambda: _judge(shared.value, slack, firm), _KIND, RESULT)
