@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, pii as op7, chat as op10, near_dedup as op1, token_output as op9
+from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, pii as op7, chat as op10, near_dedup as op1, token_output as op9, hard_negatives as op11, whitening as op13
 from .stage import new_path, stage
 
 try:
@@ -105,3 +105,17 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = op10.conversations(read(spark, sf_dir, "conversations"))
     return op10.preference_pairs(convs, op10.neighbours(convs))
+
+
+@query("op11_hard_negatives", op11.SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op11.hard_negatives(op11.integer_rows(read(spark, sf_dir, "embeddings"), labels=moved))
+
+
+@query("op13_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op13.integer_rows(read(spark, sf_dir, "embeddings"))
+    model, distinct = op13.fit(rows)
+    error = op13.identity_error(distinct, model, 16) if model else 0.0
+    return op13.apply(rows, model, 16).select(F.col("id").alias("vec_id"), "component", F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened", "explained", F.lit(error).alias("identity_error"))
