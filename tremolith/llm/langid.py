@@ -38,7 +38,7 @@ RESULT = "struct<lang:string,score:double,entropy:double,n:bigint,rejected:boole
 
 def unique_words(words: T.Words) -> tuple[list[bytes], np.ndarray]:
     """The distinct words of a slice, and for each word which of them it is."""
-    _, sample, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    _, sample, which = np.unique(words.keys(), return_index=True, return_inverse=True)
     return [words.get(i) for i in sample.tolist()], which
 
 

@@ -51,7 +51,7 @@ def threshold(similarity: float, miss: float = 1e-6) -> int:
 def shingles(texts: T.Texts, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
     words = T.words(texts)
-    hashes, n = words.hashes(), len(words)
+    hashes, n = words.keys(), len(words)
     weight = T.seeds(k, 31)
     runs = np.zeros(max(0, n - k + 1), np.uint64)
     for j in range(k):

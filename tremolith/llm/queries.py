@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, pii as op7, chat as op10, near_dedup as op1, token_output as op9, hard_negatives as op11, whitening as op13
+from . import decontaminate as op8, langid as op3, mixing as op2, fingerprint as op5, lm_score as op6, toxicity as op4, pii as op7, chat as op10, near_dedup as op1, token_output as op9, hard_negatives as op11, packing as op12, whitening as op13
 from .stage import new_path, stage
 
 try:
@@ -113,6 +113,13 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.hard_negatives(op11.integer_rows(read(spark, sf_dir, "embeddings"), labels=moved))
 
 
+@query("op12_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = op12.pack(read(spark, sf_dir, "documents"), BYTE_BPE)
+    pieces = packed.pieces.select("part", "place", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return pieces.join(packed.slots, ["part", "place"]).drop("part", "place")
+
+
 @query("op13_whitening")
 def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op13.integer_rows(read(spark, sf_dir, "embeddings"))

@@ -54,6 +54,19 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+class _Places:
+    """Fixed odd numbers for the places in a word, grown on demand."""
+    known = np.empty(0, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> np.ndarray:
+        if n > SLICE_BYTES:
+            return seeds(n, 12)  # of one huge word, not kept
+        if len(cls.known) < n:
+            cls.known = seeds(min(SLICE_BYTES, 2 * n), 12)
+        return cls.known[:n]
+
+
 @dataclass
 class Texts:
     """A slice of rows: bytes of all texts, where each text starts and ends, which are null."""
@@ -103,6 +116,19 @@ class Words:
         ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         return mix((sums[ends] - sums[self.starts]) * down[self.starts] + (ends - self.starts).astype(np.uint64))
 
+    def keys(self) -> np.ndarray:
+        """64-bit hash of each word with unrelated weights for its places: no pattern of letters (such as that of Thue and
+        Morse, which breaks polynomials modulo 2**64 in every odd base) makes two words equal."""
+        if not len(self):
+            return np.empty(0, np.uint64)
+        place = np.zeros(len(self.data), np.int64)
+        place[self.starts] = self.starts
+        place = np.arange(len(place)) - np.maximum.accumulate(place, out=place)
+        longest = int((self.ends - self.starts).max())
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_OF_BYTE[self.data] * _Places.upto(longest)[np.minimum(place, longest - 1, out=place)], out=sums[1:])
+        return mix(sums[self.ends] - sums[self.starts] + (self.ends - self.starts).astype(np.uint64))
+
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     """Row slices of at most ``most`` bytes of text; a longer text is a slice of its own."""

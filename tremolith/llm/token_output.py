@@ -92,7 +92,7 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         if len(self.known) > _KNOWN or self.used > _POOL:
             self.forget()
-        unique, sample, which = np.unique(cut.hashes(), return_index=True, return_inverse=True)
+        unique, sample, which = np.unique(cut.keys(), return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
         inside = place < len(self.known)
