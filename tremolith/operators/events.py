@@ -66,7 +66,7 @@ def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column |
 
     ``unbroken`` (an expression over ``before``, the previous row as a struct) additionally ends
     a run where it is false, e.g. at an index gap.  Adds ``opened``, ``closed``, ``active`` (after
-    the row), ``trigger``, run columns and, with ``value``, ``run_peak``.
+    the row), ``trigger``, ``seg`` (one number for the rows of an open stretch), run columns and, with ``value``, ``run_peak``.
     """
     typed = df.withColumn("cls", cls)
     carried = F.struct("cls") if unbroken is None else F.struct(*[F.col(c) for c in typed.columns])
@@ -84,22 +84,23 @@ def state_rows(df: DataFrame, keys: list[str], order: list[str], split: Column |
     if split is not None:
         two = cut(two)
     extra = {"run_peak": running_max(F.struct("run_id", F.col(value).alias("v")))} if value else {}
-    three = scan(two, keys, order, split, held=last_set(F.col("trigger"), inclusive=False), **extra)
+    # the last close or fault before a row is the same for all rows of one open stretch
+    three = scan(two, keys, order, split, held=last_set(F.col("trigger"), inclusive=False),
+                 seg=last_set(F.when(F.col("trigger") != "open", F.col("pos")), inclusive=False), **extra)
     was_open = F.coalesce(F.col("held") == "open", F.lit(False))
     out = three.withColumns({
         "opened": F.coalesce((F.col("trigger") == "open"), F.lit(False)) & ~was_open,
         "closed": F.coalesce((F.col("trigger") != "open"), F.lit(False)) & was_open,
-        "was_open": was_open, "active": F.coalesce(F.coalesce("trigger", "held") == "open", F.lit(False))})
+        "seg": F.coalesce("seg", F.lit(0)), "was_open": was_open, "active": F.coalesce(F.coalesce("trigger", "held") == "open", F.lit(False))})
     if value:
         out = out.withColumn("run_peak", F.col("run_peak")["v"])
     return out.drop("held")
 
 
-def segments(rows: DataFrame, keys: list[str], order: list[str], split: Column | None, t_us: str, value: str) -> DataFrame:
+def segments(rows: DataFrame, keys: list[str], order: list[str], t_us: str, value: str) -> DataFrame:
     """One row per open-to-close stretch; partial aggregation keeps hot streams spread."""
     at = F.struct(*order)
-    tagged = scan(rows, keys, order, split, seg=last_set(F.when(F.col("opened"), F.col("pos"))))
-    inside = tagged.filter(F.col("opened") | F.col("was_open"))
+    inside = rows.filter(F.col("opened") | F.col("was_open"))
     later = ~F.col("opened") & F.col(value).isNotNull()
     return inside.groupBy(*keys, "seg").agg(
         F.max(F.when(F.col("opened"), F.col("run_at"))).alias("start_us"),
@@ -123,7 +124,7 @@ def event_lifecycle(df: DataFrame, keys: list[str], order: list[str], t_us: str,
     clean = df.select(*needed, F.when(~F.col("fault"), F.col("score")).alias("score"), "fault")
     rows = state_rows(clean, keys, order, split, classify(F.col("score"), F.col("fault"), cfg), t_us,
                       cfg.n_enter, cfg.n_exit, cfg.sec_enter, cfg.sec_exit, value="score")
-    segs = segments(rows, keys, order, split, t_us, "score")
+    segs = segments(rows, keys, order, t_us, "score")
     # segments start in stream order, so the same time buckets split them
     seg_split = None
     if split is not None:
@@ -184,7 +185,7 @@ def hysteresis(df: DataFrame, keys: list[str], idx: str, sigma: str, valid: Colu
                       n_enter, n_exit, value=sigma)
     states = rows.select(*keys, idx, F.when(F.col("cls") == "N", "INVALID").when(F.col("active"), "ANOMALY")
                          .otherwise("NORMAL").alias("state"), sigma)
-    events = segments(rows, keys, [idx], split, idx, sigma).select(
+    events = segments(rows, keys, [idx], idx, sigma).select(
         *keys, F.col("start_us").alias("start_index"), F.col("exit_at").alias("end_index"),
         F.col("peak").alias("max_sigma"))
     return states, events
@@ -263,7 +264,7 @@ def incidents_3x3(df: DataFrame, keys: list[str], order: list[str], t_us: str, s
     cls = F.when(~F.coalesce(usable, F.lit(False)), "N").when(F.col(verdict), "O").otherwise("U")
     rows = state_rows(df.withColumn("__v", F.col(verdict).cast("int")), keys, order, split, cls, t_us, 3, 3,
                       unbroken=unbroken, value="__v")
-    return segments(rows, keys, order, split, t_us, "__v").select(
+    return segments(rows, keys, order, t_us, "__v").select(
         *keys, "opened_us", "end_us", F.when(F.col("end_us").isNull(), "open").otherwise("closed").alias("status"),
         F.when(F.col("end_us").isNotNull(), "three_normal_windows").alias("end_reason"))
 
@@ -284,7 +285,7 @@ def snapshot_incidents(df: DataFrame, keys: list[str], order: list[str], t_us: s
     """One anomalous eligible observation opens, one normal eligible observation closes."""
     cls = F.when(~F.coalesce(eligible, F.lit(False)), "N").when(F.col(verdict), "O").otherwise("U")
     rows = state_rows(df.withColumn("__v", F.col(verdict).cast("int")), keys, order, split, cls, t_us, 1, 1, value="__v")
-    return segments(rows, keys, order, split, t_us, "__v").select(
+    return segments(rows, keys, order, t_us, "__v").select(
         *keys, F.col("opened_us").alias("occurred_us"), "end_us",
         F.when(F.col("end_us").isNull(), "open").otherwise("closed").alias("status"),
         F.when(F.col("end_us").isNotNull(), "single_normal_snapshot").alias("end_reason"))
