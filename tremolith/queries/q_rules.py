@@ -16,7 +16,7 @@ RULES = f"""rules as (
   select c_custkey, {_T0} + (10 + c_custkey % 7) * {_DAY}, 2, c_custkey % 11 <> 3, cast(25 + c_custkey * 7 % 50 as double),
          greatest(0.0, 25 + c_custkey * 7 % 50 - c_nationkey * 2), (c_custkey + 1) % 3 * {2 * _HOUR}.0, {24 * _HOUR} from customer)"""
 
-LIFECYCLE = sql.POINTS + f""", {RULES}, r0 as (
+OVER_POINTS = f""", {RULES}, r0 as (
   select p.asset, seq, t_us, fault, case when not fault then score end as score, 'm' || (k % 3) as model, r.* exclude (asset)
   from points p asof join rules r on p.asset = r.asset and p.t_us >= r.from_us where active or fault), r1 as (
   select *, case when fault then 'F' when score is null or score not between 0 and 100 then 'N' when score >= score_enter then 'O' when score < score_exit then 'U' else 'M' end as cls from r0), r2 as (
@@ -45,6 +45,7 @@ LIFECYCLE = sql.POINTS + f""", {RULES}, r0 as (
          cast(arg_min(version, seg) as bigint) as rule_version, arg_min(model, seg) as model, arg_min(trigger_seq, seg) as trigger_seq, arg_min(trigger_score, seg) as trigger_score,
          arg_max(touched_us, seg) as touched_us, arg_max(threshold, seg) as threshold
   from (select *, max(seg) over (partition by asset, event_no) as ls from rn) group by asset, event_no)"""
+LIFECYCLE = sql.POINTS + OVER_POINTS
 
 
 def rule_table(spark, sf):

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import micros
 from ..plans.registry import query
 from ..plans.scan import declared_split, numbered
-from ..sources.tables import table
-from ..streaming import streams as st
-from . import sql
+from ..sources.tables import points, table
+from ..streaming import pipeline as pl, streams as st
+from . import q_rules, sql
 
 
 def _stream(spark, sf):
@@ -95,3 +95,168 @@ def g10_keyed(spark, sf):
     w.write.parquet(f"{root}/in")
     s = spark.readStream.schema(w.schema).parquet(f"{root}/in")
     return st.drain(st.stream_incidents(s), root + "/run").groupBy("device", "kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ------------------------------------------------------------------ the whole pipeline
+
+_SPLIT = q_rules._T0 + 10 * q_rules._DAY  # no second rule starts before
+
+
+def _files(df, root, name, cuts):
+    """Rows as files of one stream, one file a micro-batch; ``cuts`` gives each row its file."""
+    for n in sorted(r[0] for r in df.select(cuts.alias("n")).distinct().collect()):
+        df.where(cuts == n).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+    return df.schema
+
+
+def _ruled_points(spark, sf):
+    p = q_rules.model_points(spark, sf)
+    return p.select(F.col("asset").cast("string").alias("asset"), F.lit("live").alias("lane"), F.concat(F.lit("D"), F.col("asset").cast("string")).alias("device"), "seq", "t_us", F.col("seq").alias("arrival"),
+                    "score", "fault", "model", F.lit("accepted").alias("disposition"))
+
+
+_EVENTS = ["asset", "event_no", "start_us", "end_us", "end_reason", "max_score", "max_model", "samples", "merge_count", "last_score", "rule_version", "model", "trigger_seq", "trigger_score"]
+
+
+def _source(spark, root, name, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+
+
+def _of(updates, *more):
+    return pl.current_events(updates).select(F.col("asset").cast("long").alias("asset"), *more, *_EVENTS[1:])
+
+
+@query("t08_stream_rule_change", f"with {q_rules.LIFECYCLE} select {', '.join(_EVENTS)} from ruled")
+def t08(spark, sf):
+    """Second versions of the rules arrive on their own stream between two runs; the first ones are the initial state."""
+    st.use_rocksdb(spark)
+    root = st.scratch(spark, "rule-change")
+    p, rules = _ruled_points(spark, sf), q_rules.rule_table(spark, sf)
+    early = F.col("t_us") < _SPLIT
+    schema = _files(p.where(early), root, "points", (F.col("t_us") > _SPLIT - 5 * q_rules._DAY).cast("int"))
+    rules.limit(0).write.parquet(f"{root}/rules")
+    log = lambda: pl.lifecycle_stream(_source(spark, root, "points", schema), _source(spark, root, "rules", rules.schema), rules.where("version = 1"))
+    write = st.idempotent_sink(f"{root}/tables", pl.log_tables)
+    st.drain_batches(log(), root, write, "append")
+    rules.where("version = 2").coalesce(1).write.mode("append").parquet(f"{root}/rules")
+    _files(p.where(~early), root, "points", (F.col("t_us") > _SPLIT + 10 * q_rules._DAY).cast("int"))
+    st.drain_batches(log(), root, write, "append")
+    return _of(spark.read.parquet(f"{root}/tables/updates"))
+
+
+_NOW_US, _MEAN, _STD = 1_706_700_000_000_000, 20.0, 30.0
+
+# what is left of the lines after normalising: whole seconds, no sign-up rows, sequences from one, scored by range
+_SCORED = f"""points as (
+  select user_id as asset, event_id as seq, epoch_us(ts) // 1000000 * 1000000 as t_us, event_type = 'error' as fault, cast(json_extract_string(props, '$.k') as bigint) as k,
+         cast(round_even(least(100.0, greatest(0.0, abs(value - {_MEAN}) / {_STD} - 1.0) / 1.0 * 100.0), 0) as double) as score
+  from events where event_type <> 'signup' and event_id >= 1)"""
+
+
+def telemetry_lines(spark, sf):
+    """A telemetry line of each event; sign-up rows lack a valid amplitude.  Some are sent again as they were, some with
+    another amplitude, both after all others of their file."""
+    p = q_rules.model_points(spark, sf).withColumn("lane", F.lit("live"))
+    twice = p.where("k % 10 in (3, 4)").withColumns({"value": F.when(F.col("k") % 10 == 4, F.col("value") + 1).otherwise(F.col("value")), "again": F.lit(1)})
+    p = p.withColumn("again", F.lit(0)).unionByName(twice)
+    text = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    stamp = F.date_format(F.timestamp_seconds(F.floor(F.col("t_us") / 1_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    payload = F.concat(F.lit('{"timestamp":'), text(stamp), F.lit(',"sequence":'), F.col("seq").cast("string"), F.lit(',"siteId":"s1","assetId":'), text(F.col("asset")), F.lit(',"deviceId":'),
+                       text(F.concat(F.lit("D"), F.col("asset").cast("string"))), F.lit(',"vibrationRmsRaw":'), F.when(F.col("event_type") == "signup", "-1").otherwise(F.col("value").cast("string")),
+                       F.lit(',"vibrationPeakHz":50,"vibrationRmsMmS":null,"acousticDb":null,"scenarioLabel":null,"isSynthetic":false}'))
+    return p.select((F.col("seq") + F.col("again") * 1_000_000_000).alias("arrival"), payload.alias("payload"), "lane", "fault", "model", "t_us")
+
+
+@query("t01_stream_pipeline", f"""with {_SCORED}{q_rules.OVER_POINTS} select {', '.join(_EVENTS)} from ruled""")
+def t01_pipeline(spark, sf):
+    """Lines to events in one query: four micro-batches, a restart after two, repeated and contradicting lines, new rules."""
+    st.use_rocksdb(spark)
+    root, updates = _pipeline(spark, sf)
+    return _of(updates["updates"])
+
+
+def _pipeline(spark, sf):
+    root = st.scratch(spark, "pipeline")
+    lines, rules = telemetry_lines(spark, sf), q_rules.rule_table(spark, sf)
+    early, keep = F.col("t_us") < _SPLIT, [c for c in lines.columns if c != "t_us"]
+    rules.limit(0).write.parquet(f"{root}/rules")
+    log = lambda: pl.telemetry_stream(_source(spark, root, "lines", lines.select(*keep).schema), F.lit(_NOW_US), _MEAN, _STD, 1.0,
+                                      _source(spark, root, "rules", rules.schema), rules.where("version = 1"), 40)
+    write = st.idempotent_sink(f"{root}/tables", pl.log_tables)
+    for first in (True, False):
+        if not first:
+            rules.where("version = 2").coalesce(1).write.mode("append").parquet(f"{root}/rules")
+        part = lines.where(early == first)
+        middle = F.col("t_us") > _SPLIT + (-5 if first else 10) * q_rules._DAY
+        for late in (False, True):
+            part.where(middle == late).select(*keep).coalesce(1).write.mode("append").parquet(f"{root}/lines")
+        st.drain_batches(log(), root, write, "append")
+    return root, {n: spark.read.parquet(f"{root}/tables/{n}") for n in ("updates", "late", "repeated", "quarantine", "quiet")}
+
+
+@query("t01_stream_pipeline_log", f"""with {sql.POINTS}, l as (
+  select *, 0 as again from points union all select *, 1 from points where k % 10 in (3, 4)), q as (
+  select *, case when event_type = 'signup' then 'vibration_rms' end as broken from l), j as (
+  select case when seq < 1 then 'quarantined' when broken is not null then 'quarantined' when again = 1 and k % 10 = 3 then 'duplicate' when again = 1 then 'conflict' else 'point' end as kind,
+         case when seq < 1 then 'sequence' else broken end as reason from q)
+  select kind, reason, count(*) as rows from j group by kind, reason""")
+def t01_log(spark, sf):
+    """Every line has one log row: broken, repeated, contradicting, or a point."""
+    st.use_rocksdb(spark)
+    _, tables = _pipeline(spark, sf)
+    rows = [t.select(F.when(F.col("kind").isin("quarantined", "duplicate", "conflict"), F.col("kind")).otherwise("point").alias("kind"), F.when(F.col("kind") == "quarantined", F.col("end_reason")).alias("reason"))
+            for t in tables.values()]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    return both.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("t03_stream_conflicts", f"""with {sql.POINTS} select asset, seq, 0 as again, 'accepted' as disposition from points union all
+  select asset, seq, 1, case when k % 10 = 3 then 'duplicate' else 'conflict' end from points where k % 10 in (3, 4) union all select asset, seq, 2, 'duplicate' from points where k % 10 = 4""")
+def t03_conflicts(spark, sf):
+    """Copies and contradictions in later micro-batches; a copy of the accepted content stays a duplicate after a conflict."""
+    st.use_rocksdb(spark)
+    root = st.scratch(spark, "conflicts")
+    p = _ruled_points(spark, sf).join(points(spark, sf).select("seq", "k", F.col("value").alias("v")), "seq").withColumn("value", F.col("v"))
+    again = lambda n, where, value: p.where(where).withColumns({"arrival": F.col("arrival") + n * 1_000_000_000, "value": value})
+    names = [f.split()[0] for f in pl.POINT.split(", ")]
+    for part in (p, again(1, "k % 10 in (3, 4)", F.when(F.col("k") % 10 == 4, F.col("v") + 1).otherwise(F.col("v"))), again(2, "k % 10 = 4", F.col("v"))):
+        part.select(*names).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    s = _source(spark, root, "in", p.select(*names).schema)
+    out = st.drain(pl.dedupe_stream(s, F.sha2(F.col("value").cast("string"), 256)), root + "/run")
+    return out.select(F.col("asset").cast("long").alias("asset"), "seq", F.floor(F.col("arrival") / 1_000_000_000).cast("int").alias("again"), "disposition")
+
+
+@query("t02_stream_late_output", f"""with {sql.POINTS}, f as (select *, case when k % 9 = 0 then 2 when t_us < {_SPLIT} then 0 else 1 end as file from points), m as (
+  select asset, file, max((t_us, seq)) as top from f group by asset, file), b as (
+  select f.*, (select max(top) from m where m.asset = f.asset and m.file < f.file) as before from f)
+  select asset, seq, case when before is not null and (t_us, seq) <= before then 'late' else 'accepted' end as sink from b""")
+def t02_late(spark, sf):
+    """Late points in a table of their own, written in the same micro-batch as the others; together they are all points."""
+    st.use_rocksdb(spark)
+    root = st.scratch(spark, "late")
+    p = _ruled_points(spark, sf).join(points(spark, sf).select("seq", "k"), "seq")
+    for part in (p.where(f"k % 9 <> 0 and t_us < {_SPLIT}"), p.where(f"k % 9 <> 0 and t_us >= {_SPLIT}"), p.where("k % 9 = 0")):
+        part.drop("k").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    log = pl.lifecycle_stream(_source(spark, root, "in", p.drop("k").schema), None, q_rules.rule_table(spark, sf).where("version = 1"))
+    st.drain_batches(log, root, st.idempotent_sink(f"{root}/tables", lambda b: {"late": b.where("kind = 'late'"), "accepted": b.where("kind <> 'late'")}), "append")
+    read = lambda n: spark.read.parquet(f"{root}/tables/{n}").select(F.col("asset").cast("long").alias("asset"), "seq", F.lit(n).alias("sink"))
+    return read("late").unionByName(read("accepted"))
+
+
+def _lane_sql(lane, where):
+    return f"select '{lane}' as lane, * from (with {sql.POINTS.replace('from events)', f'from events where {where})')}{q_rules.OVER_POINTS} select {', '.join(_EVENTS)} from ruled)"
+
+
+@query("t09_stream_lanes", _lane_sql("live", "true") + " union all " + _lane_sql("history", f"epoch_us(ts) < {_SPLIT}"))
+def t09(spark, sf):
+    """A back-fill of the first days on the history lane, sent after newer live points, neither moves nor meets live state."""
+    st.use_rocksdb(spark)
+    root = st.scratch(spark, "lanes")
+    p = _ruled_points(spark, sf)
+    for part in (p, p.where(F.col("t_us") < _SPLIT).withColumn("lane", F.lit("history"))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    log = pl.lifecycle_stream(_source(spark, root, "in", p.schema), None, q_rules.rule_table(spark, sf), ("live", "history"))
+    st.drain_batches(log, root, st.idempotent_sink(f"{root}/tables", pl.log_tables), "append")
+    return _of(spark.read.parquet(f"{root}/tables/updates"), "lane")
