@@ -1,5 +1,7 @@
 """Cases that used to give wrong answers or never ended."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,27 @@ def test_no_cooldown_keeps_all(spark, bucket_us):
     assert got == {(1, i) for i in range(8)} | {(2, i) for i in (0, 2, 4, 6)}
 
 
+def test_cooldown_by_row_with_sent_deliveries(spark):
+    """Against a walk: waits that differ by row, none among them, ties, null keys, repeated rows, deliveries sent before."""
+    r = random.Random(3)
+    rows = [(r.choice([None, "p"]), r.choice(["a", "a", "a", "b"]), r.randrange(0, 900) * 1_000_000, i // 2 if i % 40 < 2 else i, r.choice([0, 20, 20, 45, 90])) for i in range(400)]
+    sent = [(r.choice([None, "p"]), "a", r.randrange(0, 900) * 1_000_000, 10_000 + i) for i in range(12)] + [(rows[7][0], rows[7][1], rows[7][2], rows[7][3])]
+    df = spark.createDataFrame(rows, "policy string, asset string, t long, id long, cd int").repartition(4)
+    gone = spark.createDataFrame(sent, "policy string, asset string, t long, id long")
+    for out, bucket_us in ((None, 50_000_000), (gone, 50_000_000), (gone, None)):
+        got = sorted((x.policy or "", x.asset, x.t, x.id, x.cd, x.kept) for x in al.apply_cooldown(df, ["policy", "asset"], "t", "id", "cd", bucket_us, out).collect())
+        want, before = [], set(sent) if out is not None else set()
+        for key in {x[:2] for x in rows}:
+            own = [(t, i, 1, cd) for p, a, t, i, cd in rows if (p, a) == key] + [(t, i, 0, 0) for p, a, t, i in before if (p, a) == key]
+            done, last = {i for p, a, _, i in before if (p, a) == key}, None
+            for t, i, real, cd in sorted(own, key=lambda x: (x[0], x[1])):
+                keep = not real or i in done or last is None or t - last >= cd * 1_000_000
+                last = t if keep else last
+                if real:
+                    want.append((key[0] or "", key[1], t, i, cd, keep))
+        assert [(*g[:4], g[5]) for g in got] == [(*w[:4], w[5]) for w in sorted(want)], out is not None
+
+
 def test_targets_are_nearest_with_one_at_least():
     assert ds.split_targets(10, {"train": 0.7, "validation": 0.15, "test": 0.15}) == {"train": 7, "validation": 2, "test": 1}
     assert ds.split_targets(3, {"train": 0.98, "validation": 0.01, "test": 0.01}) == {"train": 1, "validation": 1, "test": 1}

@@ -58,9 +58,10 @@ def test_rule_change_resets_entry_and_keeps_event(spark):
     scores = [(9, 60.0), (10, 80.0), (11, 90.0), (12, 65.0), (13, 55.0), (14, 55.0)]  # the first one counted for version 1 only
     points = [(1, t * SEC, t, v, False, None) for t, v in scores]
     frame = spark.createDataFrame(points, "asset long, t_us long, seq long, score double, fault boolean, model string")
-    (e,) = ru.event_lifecycle_rules(frame, ru.rule_rows(spark.createDataFrame(rules, RULES), ["asset"]), ["asset"], ["t_us", "seq"], "t_us").collect()
+    events = ru.event_lifecycle_rules(frame, ru.rule_rows(spark.createDataFrame(rules, RULES), ["asset"]), ["asset"], ["t_us", "seq"], "t_us")
+    (e,) = events.collect()
     assert (e.start_us, e.end_us, e.rule_version, e.samples, e.model, e.trigger.seq) == (10 * SEC, 14 * SEC, 2, 5, "unknown", 11)
-    (r,) = ru.rule_event_records(spark.createDataFrame([e]), ["asset"]).collect()
+    (r,) = ru.rule_event_records(events, ["asset"]).collect()
     assert (r.severity, r.duration_sec, r.status, r.threshold_version) == ("critical", 4, "closed", 2)
 
 

@@ -6,7 +6,7 @@ from ..functions.numeric import bucket, micros
 from ..operators import alerts as al, datasets as ds, joins as jn, search as se
 from ..plans.registry import query
 from ..plans.scan import declared_split
-from ..sources.tables import DAY_US, points, table, windows
+from ..sources.tables import DAY_US, HOUR_US, points, table, windows
 from . import sql
 from .q_aggregates import evaluation, _EVAL_SQL
 from .q_events import _NOW, first_windows
@@ -485,6 +485,25 @@ def n03(spark, sf):
     return al.apply_cooldown(p, ["policy", "target"], "t_us", "seq", "cd").select("policy", "target", "seq", "kept")
 
 
+_SENT = f"""{sql.POINTS}, e as (
+  select asset % 5 as policy, asset // 5 as target, t_us // 3600000000 * 3600000000 as t_us, seq, (k % 4) * 21600 as cd from points where value > 20 and k % 6 <> 0), s as (
+  select asset % 5 as policy, asset // 5 as target, t_us // 3600000000 * 3600000000 as t_us, seq from points where value > 20 and k % 12 = 0), c as (
+  select *, row_number() over (partition by policy, target order by t_us, seq) as n from (select *, false as gone from e union all select policy, target, t_us, seq, 0, true from s))"""
+
+
+@query("n03_cooldown_sent", f"""with recursive {_SENT}, w as (
+  select policy, target, n, seq, gone, t_us as last, true as kept from c where n = 1 union all
+  select w.policy, w.target, c.n, c.seq, c.gone, case when c.gone or c.t_us - w.last >= c.cd * 1000000 then c.t_us else w.last end, c.gone or c.t_us - w.last >= c.cd * 1000000
+  from w join c on c.policy = w.policy and c.target = w.target and c.n = w.n + 1)
+  select policy, target, seq, kept from w where not gone""")
+def n03_sent(spark, sf):
+    """Cool-downs of none to eighteen hours by row, times on the hour (ties), and deliveries that went out before."""
+    p = points(spark, sf).where("value > 20").select((F.col("asset") % 5).alias("policy"), F.floor(F.col("asset") / 5).alias("target"), (F.floor(F.col("t_us") / HOUR_US) * HOUR_US).alias("t_us"), "seq",
+                                                     (F.col("k") % 4 * 21_600).alias("cd"), "k")
+    kept = al.apply_cooldown(p.where("k % 6 <> 0"), ["policy", "target"], "t_us", "seq", "cd", sent=p.where("k % 12 = 0").select("policy", "target", "t_us", "seq"))
+    return kept.select("policy", "target", "seq", "kept")
+
+
 @query("n04_next_attempt", f"""with {sql.POINTS}, a as (select seq, k % 3 as a0, event_type = 'click' as ok, event_type <> 'error' as retryable from points)
   select seq, a0 + 1 as attempts, case when ok then 'sent' when retryable and a0 + 1 < 3 then 'pending' else 'failed' end as status, case when not ok and retryable and a0 + 1 < 3 then {_NOW} + cast(least(60, pow(2, a0 + 1)) * 1000000 as bigint) end as due_us from a""")
 def n04(spark, sf):
