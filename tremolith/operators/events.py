@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import first_failure
-from ..plans.scan import following, history, last_set, prev, running_max, running_sum, runs, scan, declared_split
+from ..plans.reach import reach
+from ..plans.scan import following, history, last_set, next_set, prev, running_max, running_sum, runs, scan, declared_split
 from ..session import cut
 
 
@@ -269,6 +270,44 @@ def incidents_3x3(df: DataFrame, keys: list[str], order: list[str], t_us: str, s
         F.when(F.col("end_us").isNotNull(), "three_normal_windows").alias("end_reason"))
 
 
+def incidents_exact(df: DataFrame, keys: list[str], order: list[str], t_us: str, idx: str, uptime: str, target: str, ok: Column, hit: Column,
+                    bucket_width: int | None = None) -> DataFrame:
+    """Incidents of streams whose target may change while one is open, as the log of the keyed stream form.
+
+    Three linked hits of a target open an incident if none is open, three linked clears of the same target close it; other
+    targets' hits meanwhile do nothing.  Triggers do not depend on the state, so an open trigger links to the first open
+    trigger after the close of its own target, and the incidents are what is reached from the first trigger of a stream.
+    Rows between that cannot be judged, or belong to another target, make the observation unknown.
+    """
+    split = declared_split(order[0], bucket_width)
+    cls = F.when(~F.coalesce(ok, F.lit(False)), "N").when(hit, "O").otherwise("U")
+    base = df.select(*keys, *dict.fromkeys([*order, t_us, idx, uptime, target]), cls.alias("cls"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    one = scan(base, keys, order, split, b=prev(F.struct("cls", target, idx, uptime)), pos=running_sum(F.lit(1).cast("long")))
+    linked = ((F.col("b.cls") == F.col("cls")) & F.col(f"b.{target}").eqNullSafe(F.col(target)) & (F.col(f"b.{idx}") == F.col(idx) - 1)
+              & (F.col(uptime) - F.col(f"b.{uptime}")).between(630_000, 670_000))
+    two = runs(one, keys, order, split, ~F.coalesce(linked, F.lit(False)), F.col(t_us))
+    trigger = F.when(F.col("run_n") >= 3, F.when(F.col("cls") == "O", "open").when(F.col("cls") == "U", "clear"))
+    rows = cut(two.select(*keys, *dict.fromkeys([*order, t_us, target]), "ok", "pos", trigger.alias("trigger"), F.monotonically_increasing_id().alias("a")))
+    by_pos = declared_split("pos", bucket_width)
+    cleared = scan(rows.where("trigger is not null"), [*keys, target], ["pos"], by_pos, shut=next_set(F.when(F.col("trigger") == "clear", F.struct("pos", F.col(t_us).alias("t")))))
+    opens = cleared.where("trigger = 'open'").drop("trigger", "ok")
+    probes = opens.where("shut is not null").select(*keys, F.col("shut.pos").alias("pos"), F.col("a").alias("from"))
+    both = opens.select(*keys, "pos", F.col("a").alias("to")).unionByName(probes, allowMissingColumns=True)
+    links = scan(both, keys, ["pos"], by_pos, b=next_set("to")).where("from is not null and b is not null").select(F.col("from").alias("a"), "b")
+    first = scan(opens.select(*keys, "pos", "a"), keys, ["pos"], by_pos, earlier=prev("a")).where("earlier is null").select("a")
+    incidents = cut(opens.join(reach(first, links), "a"))
+    opened = incidents.select(*keys, target, F.col(t_us).alias("opened_us"), F.lit("opened").alias("kind"), F.col(t_us).alias("at_us"))
+    closed = incidents.where("shut is not null").select(*keys, target, F.col(t_us).alias("opened_us"), F.lit("closed").alias("kind"), F.col("shut.t").alias("at_us"))
+    live = F.struct(F.col("pos").alias("pos"), F.col("shut.pos").alias("shut"), F.col(target).alias("target"), F.col(t_us).alias("t"))
+    marked = rows.drop("trigger").join(incidents.select("a", live.alias("begins")), "a", "left")
+    inside = scan(marked, keys, order, split, live=last_set("begins", inclusive=False)).where("live is not null and (live.shut is null or pos < live.shut)")
+    inside = inside.withColumn("seen", F.when(F.col("ok") & F.col(target).eqNullSafe(F.col("live.target")), "observing").otherwise("unknown"))
+    told = scan(inside, keys, order, split, before=prev(F.struct("live.pos", "seen")))
+    was = F.when(F.col("before.pos") == F.col("live.pos"), F.col("before.seen")).otherwise("observing")
+    seen = told.where(was != F.col("seen")).select(*keys, F.col("live.target").alias(target), F.col("live.t").alias("opened_us"), F.col("seen").alias("kind"), F.col(t_us).alias("at_us"))
+    return opened.unionByName(closed).unionByName(seen)
+
+
 def snapshot_reason(now_us: Column, captured: str, late: str, is_latest: str, quality: str, status: str,
                     score: str, threshold: float, verdict: str, mapped: Column, limit_sec: float) -> Column:
     """Why a snapshot result may not move an incident; null means it may (first failing rule wins)."""

@@ -201,6 +201,15 @@ def g10(spark, sf):
                             F.col("ok"), F.col("idx") >= F.col("before.idx"))
 
 
+@query("g10_incidents_exact", f"with recursive {sql.incidents('(n // 5 % 3)::varchar', 'value > 30', 'n * 650000 + case when k % 29 = 0 then 100000 else 0 end')} select * from incident_log")
+def g10_exact(spark, sf):
+    """Every device's whole window stream; the target changes every five windows, also while an incident is open."""
+    w = numbered(first_windows(spark, sf), ["device"], ["captured_us", "ordinal"], declared_split("captured_us"), "place")
+    late = F.when(F.col("k") % 29 == 0, 100_000).otherwise(0)
+    w = w.select("device", F.col("captured_us").alias("t_us"), "place", (F.col("place") * 650_000 + late).alias("uptime"), F.floor(F.col("place") / 5 % 3).cast("long").cast("string").alias("target"), "quality", "value")
+    return ev.incidents_exact(w, ["device"], ["place"], "t_us", "place", "uptime", "target", F.col("quality") == "valid", F.col("value") > 30)
+
+
 @query("g11_snapshot_incidents", f"""with {_incident_sql(_LINKED, 'device, model', 'captured_us, idx', 'captured_us', 'ok', 'verdict', 'true', 1)}
   select device, model, opened_us as occurred_us, end_us, case when end_us is null then 'open' else 'closed' end as status,
          case when end_us is not null then 'single_normal_snapshot' end as end_reason from inc""")

@@ -82,9 +82,9 @@ def t12(spark, sf):
     return read("good").unionByName(read("quarantine")).groupBy("sink").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"))
 
 
-@query("g10_incidents_keyed_state")
+@query("g10_incidents_keyed_state", f"with recursive {sql.incidents('site::varchar', 'value > 15', 'n * 650000')} select device, kind, count(*) as rows from incident_log group by device, kind")
 def g10_keyed(spark, sf):
-    """Whole window stream per device with changing targets; the walk has no SQL form."""
+    """Whole window stream per device with changing targets."""
     from .q_events import first_windows
     st.use_rocksdb(spark)
     root = st.scratch(spark, "incidents")

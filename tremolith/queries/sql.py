@@ -59,3 +59,23 @@ LIFECYCLE = POINTS + """, c0 as (
          max(peak) as max_score, cast(sum(lead_n + later_n) as bigint) as samples, count(*) - 1 as merge_count,
          arg_max(last_value, seg) as last_score
   from (select *, max(seg) over (partition by asset, event_no) as ls from m2) group by asset, event_no)"""
+
+
+def incidents(target: str, hit: str, uptime: str) -> str:
+    """Recursive walk of every device's numbered windows: three linked hits open, three linked clears of the target close."""
+    return FIRST_WINDOWS + f""", i0 as (
+  select device, captured_us as t_us, ordinal, value, k, site, quality = 'valid' as ok, row_number() over (partition by device order by captured_us, ordinal) as n from fw), i1 as (
+  select *, {target} as target, {uptime} as uptime, case when not ok then 'N' when {hit} then 'O' else 'U' end as cls from i0), i2 as (
+  select *, case when coalesce(lag(cls) over w = cls and lag(target) over w = target and uptime - lag(uptime) over w between 630000 and 670000, false) then null else n end as st
+  from i1 window w as (partition by device order by n)), i3 as (select *, n - max(st) over (partition by device order by n) + 1 as run_n from i2), i4 as (
+  select device, n, t_us, target, ok, case when run_n >= 3 and cls = 'O' then 'open' when run_n >= 3 and cls = 'U' then 'clear' end as trig from i3), walk as (
+  select device, 0::bigint as n, null::varchar as live, null::bigint as since, null::varchar as seen, null::varchar as kind, null::varchar as told, null::bigint as at_us, null::bigint as opened_us from (select distinct device from i4)
+  union all
+  select x.device, x.n, case when live is null then case when trig = 'open' then target end when trig = 'clear' and target = live then null else live end,
+         case when live is null then case when trig = 'open' then t_us end when trig = 'clear' and target = live then null else since end,
+         case when live is null then 'observing' when ok and target = live then 'observing' else 'unknown' end,
+         case when live is null then case when trig = 'open' then 'opened' end when trig = 'clear' and target = live then 'closed'
+              when seen <> case when ok and target = live then 'observing' else 'unknown' end then case when ok and target = live then 'observing' else 'unknown' end end,
+         coalesce(live, target), t_us, coalesce(since, t_us)
+  from walk w join i4 x on x.device = w.device and x.n = w.n + 1), incident_log as (
+  select device, told as target, opened_us, kind, at_us from walk where kind is not null)"""
