@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import struct
+import threading
 import wave
 
 import numpy as np
@@ -116,6 +117,26 @@ def test_archive_roundtrip_and_exports(spark, tmp_path):
     assert {r["t"] for r in spark.read.parquet(str(tmp_path / "d/rows")).collect()} == {"'=x", "y"}
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Both write, one claims; with other content the other one fails, and what is read is whole and the claimed one."""
+    root, out = str(tmp_path), []
+
+    def write(n):
+        try:
+            out.append((n, sk.publish_version(spark.range(n).withColumn("v", F.col("id") * 2), "V", root, ["id", "v"], n)))
+        except ValueError:
+            out.append((n, "conflict"))
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in (100, 200, 300)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(o for _, o in out) == ["conflict", "conflict", "published"]
+    (winner,) = [n for n, o in out if o == "published"]
+    assert sk.read_current(spark, root).count() == winner and len(list((tmp_path / "data").iterdir())) == 1
+
+
 def test_versions_are_immutable(spark, tmp_path):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     root = str(tmp_path / "v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import bucket, col, ratio, reasons
-from ..plans.scan import prev, running_sum, scan
+from ..plans.scan import prev, ranged_sum, running_sum, scan
 from ..session import cut
 
 # counters of a communication report that add up over windows (fixed values)
@@ -199,9 +199,11 @@ def binary_metrics(df: DataFrame, by: list[str], label: Column, hit: Column) ->
 
 
 def roc_auc(df: DataFrame, by: list[str], label: Column, score: str, score_step: float = 1e-3) -> DataFrame:
-    """Rank AUC with averaged ties: rows shrink to one per distinct score before any ordering."""
+    """Rank AUC with averaged ties: rows shrink to one per distinct score before any ordering, and without ``by`` the distinct
+    scores are summed by ranges."""
     g = df.groupBy(*by, score).agg(F.count_if(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    c = scan(g, by, [score], F.floor(F.col(score) / score_step).cast("long"), below=running_sum("n", inclusive=False))
+    c = (scan(g, by, [score], F.floor(F.col(score) / score_step).cast("long"), below=running_sum("n", inclusive=False)) if by
+         else ranged_sum(g, score, "n", "below", inclusive=False))
     rank = F.col("below") + (F.col("n") + 1) / 2
     t = c.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("pos") * rank).alias("r"))
     return t.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0),
@@ -234,7 +236,7 @@ def tristate_metrics(df: DataFrame, by: list[str], label: Column, decision: str)
 def quantile_higher(df: DataFrame, by: list[str], value: str, q: float, step: float) -> DataFrame:
     """The value at index ceil(q * (n - 1)) of the sorted group, from counts per distinct value."""
     g = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    c = scan(g, by, [value], F.floor(F.col(value) / step).cast("long"), upto=running_sum("n"))
+    c = scan(g, by, [value], F.floor(F.col(value) / step).cast("long"), upto=running_sum("n")) if by else ranged_sum(g, value, "n", "upto")
     n = g.groupBy(*by).agg(F.sum("n").alias("total"))
     c = c.join(n, by) if by else c.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one")
     return c.filter(F.col("upto") > F.ceil(q * (F.col("total") - 1))).groupBy(*by).agg(F.min(value).alias("threshold"))

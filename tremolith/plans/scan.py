@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import col
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,25 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None
     return joined.select(*[F.col(n) for n in names if n not in items], *[v.alias(k) for k, v in result.items()])
 
 
+def ranged_sum(df: DataFrame, order: str, value: str, name: str, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` along ``order`` over a whole table without a key, for values of ``order`` that are distinct.
+
+    Rows are dealt to tasks by ranges of ``order`` and written with the number of their range, so the ranges stay what they
+    are; each range is summed by itself, and the sums before it (one number a range) are added.  No task sees more than its
+    range, and the driver one row a range.
+    """
+    spark = df.sparkSession
+    parts = cut(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("__part", F.spark_partition_id()))
+    totals, before, ahead = parts.groupBy("__part").agg(F.sum(value).alias("s")).orderBy("__part").collect(), 0, []
+    for r in totals:
+        ahead.append((r["__part"], before))
+        before += r["s"]
+    carry = spark.createDataFrame(ahead, "__part int, __ahead long")
+    frame = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = parts.withColumn("__here", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    return local.join(F.broadcast(carry), "__part").withColumn(name, F.col("__here") + F.col("__ahead")).drop("__part", "__here", "__ahead")  # one row a range
+
+
 def history(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, value: Column, n: int,
             name: str = "history") -> DataFrame:
     """Add an array of the ``n`` preceding values, oldest first (shorter at stream start)."""

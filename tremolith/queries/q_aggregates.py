@@ -211,6 +211,20 @@ def a12(spark, sf):
     return ag.roc_auc(evaluation(spark, sf), ["split"], F.col("label"), "score").withColumn("auc", F.round("auc", 6))
 
 
+@query("a12_roc_auc_pooled", f"""with {_EVAL_SQL}, r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from ev)
+  select round((sum(rk) filter (label) - count(*) filter (label) * (count(*) filter (label) + 1) / 2.0) / (count(*) filter (label)::double * count(*) filter (not label)), 6) as auc from r""")
+def a12_pooled(spark, sf):
+    return ag.roc_auc(evaluation(spark, sf), [], F.col("label"), "score").withColumn("auc", F.round("auc", 6))
+
+
+@query("a15_quantiles_pooled", f"""with {_EVAL_SQL}, n as (select q, score, row_number() over (partition by q order by score) - 1 as i, count(*) over (partition by q) as n from ev, (select unnest([0.0, 0.5, 0.95, 1.0]) as q))
+  select cast(q as double) as q, score as threshold from n where i = ceil(q * (n - 1))""")
+def a15_pooled(spark, sf):
+    e = evaluation(spark, sf)
+    parts = [ag.quantile_higher(e, [], "score", q, 1e-3).select(F.lit(q).alias("q"), "threshold") for q in (0.0, 0.5, 0.95, 1.0)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("a12_roc_auc_documents", """with d as (select lang, toxic = 1 as label, n_chars / 100000.0 as score from labels join documents using (doc_id)), r as (
   select lang, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 as rk from d)
   select lang, case when count(*) filter (label) > 0 and count(*) filter (not label) > 0 then round((sum(rk) filter (label) - count(*) filter (label) * (count(*) filter (label) + 1) / 2.0) / (count(*) filter (label)::double * count(*) filter (not label)), 6) end as auc from r group by lang""")

@@ -10,6 +10,7 @@ from ..plans.registry import query
 from ..plans.scan import declared_split
 from ..sources import readers as rd, sinks as sk
 from ..sources.tables import DAY_US, points, snapshots, table, vectors, windows
+from ..streaming.streams import scratch
 from . import sql
 from .q_aggregates import _COMM_SQL, comm
 from .q_events import _NOW, first_windows
@@ -494,3 +495,28 @@ def u04(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
     e = table(spark, sf, "events").select(F.col("user_id").alias("id"))
     return s.subtract(e).withColumn("side", F.lit("only_supplier")).unionByName(s.intersect(e).withColumn("side", F.lit("shared")))
+
+
+@query("s13_export_dataset", f"""with {sql.POINTS}, r as (select seq, event_type, score, ['train', 'validation', 'test'][asset % 3 + 1] as dataset_split from points), m as (select dataset_split, count(*) as n from r group by dataset_split)
+  select r.*, m.n as manifest_rows from r join m using (dataset_split)""")
+def s13(spark, sf):
+    """Rows by split and their manifest, written and read back."""
+    path = scratch(spark, "export")
+    split = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("asset") % 3 + 1).cast("int"))
+    rows = points(spark, sf).select("seq", "event_type", "score", split.alias("dataset_split"))
+    sk.export_dataset(rows, rows.groupBy("dataset_split").agg(F.count(F.lit(1)).alias("manifest_rows")), path)
+    return spark.read.parquet(f"{path}/rows").join(spark.read.parquet(f"{path}/manifest"), "dataset_split")
+
+
+@query("s14_publish_version", """select c_custkey, c_name, c_acctbal, 'published reused conflict published reused' as outcomes from customer where c_nationkey < 20""")
+def s14(spark, sf):
+    """A version, the same again in another order, other content under its id, a second version, and the first as it was."""
+    root = scratch(spark, "publish")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    a, b, outcomes = c.where("c_nationkey < 20"), c.where("c_nationkey >= 20"), []
+    for version, rows in (("A", a), ("A", a.repartition(3)), ("A", b), ("B", b), ("A", a)):
+        try:
+            outcomes.append(sk.publish_version(rows, version, root, c.columns, len(outcomes)))
+        except ValueError:
+            outcomes.append("conflict")
+    return sk.read_current(spark, root).select("c_custkey", "c_name", "c_acctbal", F.lit(" ".join(outcomes)).alias("outcomes"))

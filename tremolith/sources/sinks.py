@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.dedupe import set_digest
@@ -42,34 +46,62 @@ def export_dataset(rows: DataFrame, manifest: DataFrame, path: str, split: str =
     manifest.write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` with ``text`` unless it exists, in one step: a finished file is renamed without overwriting.
+
+    The rename decides between writers on file systems whose rename is atomic; a store without one needs its own commit.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    ready = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    out = fs.create(ready, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(ready, target, none)
+    except Py4JJavaError as error:
+        fs.delete(ready, False)
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True
 
 
 def publish_version(df: DataFrame, version: str, root: str, content: list[str], published_us: int) -> str:
-    """Write an immutable version; the same id with the same content is reused, with other content it conflicts."""
+    """Write an immutable version; the same id with the same content is reused, with other content it conflicts.
+
+    Rows go to a folder of their own first.  Then the version is claimed by creating one file that names the folder, which
+    only one writer can do; another one compares its content with the claim, gives up its folder and either reuses the
+    version or fails.  A writer that dies before its claim leaves the version free.
+    """
     spark = df.sparkSession
-    target = f"{root}/versions/version={version}"
-    mine = set_digest(df, content).first()
-    if _exists(spark, f"{target}/_SUCCESS"):
-        other = set_digest(spark.read.parquet(target), content).first()
-        if tuple(other) != tuple(mine):
+    folder = uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{root}/data/{folder}")
+    mine = set_digest(spark.read.parquet(f"{root}/data/{folder}"), content).first()
+    outcome = "published"
+    if not _claim(spark, f"{root}/claims/{version}.json", json.dumps({"version": version, "folder": folder, **mine.asDict()})):
+        spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/{folder}"), True)
+        claim = _claims(spark, root).where(F.col("version") == version).first()
+        if any(claim[c] != mine[c] for c in ("rows", "digest_a", "digest_b")):
             raise ValueError(f"version {version} already exists with different content")
         outcome = "reused"
-    else:
-        df.write.mode("overwrite").parquet(target)
-        outcome = "published"
     pointer = spark.createDataFrame([(version, published_us, mine["rows"], mine["digest_a"], mine["digest_b"])],
                                     "version string, published_us long, rows long, digest_a long, digest_b long")
     pointer.write.mode("append").parquet(f"{root}/pointer")
     return outcome
 
 
+def _claims(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version string, folder string, rows long, digest_a long, digest_b long").json(f"{root}/claims")
+
+
 def current_version(spark: SparkSession, root: str) -> str:
     log = spark.read.parquet(f"{root}/pointer")
     return log.agg(F.max_by("version", F.struct("published_us", "version")).alias("v")).first()["v"]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/versions/version={current_version(spark, root)}")
+    claim = _claims(spark, root).where(F.col("version") == current_version(spark, root)).first()
+    return spark.read.parquet(f"{root}/data/{claim['folder']}")

@@ -306,6 +306,29 @@ def stream_sessions(df: DataFrame, keys: list[str], ts: str, gap: str, lateness:
     return g.withColumn("start_us", F.unix_micros("__s.start")).drop("__s")
 
 
+def with_end_mark(df: DataFrame, root: str) -> DataFrame:
+    """The stream and, beside it, the folder that :func:`send_end_mark` writes to."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{root}/end")
+    return df.unionByName(spark.readStream.schema(df.schema).parquet(f"{root}/end"))
+
+
+def send_end_mark(df: DataFrame, root: str, ts: str) -> None:
+    """Say that the input has ended: a row without a key, later than all others, lets the watermark pass every open bucket and
+    session of the others.  Its own stays open, so no result holds it."""
+    spark = df.sparkSession
+    row = spark.createDataFrame([(0,)], "x int").select(*[(F.lit("9999-01-01").cast("timestamp") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    row.write.mode("append").parquet(f"{root}/end")
+
+
+def drain_to_end(df: DataFrame, make: Callable[[DataFrame], DataFrame], root: str, ts: str) -> DataFrame:
+    """Run ``make`` over all that is available, end the input, and run it on until everything open is written."""
+    marked = with_end_mark(df, root)
+    drain(make(marked), root)
+    send_end_mark(df, root, ts)
+    return drain(make(marked), root)
+
+
 def replay(df: DataFrame, root: str, write: Callable[[DataFrame, int], None], interval: str):
     """Paced replay: one admitted file per interval (set ``files_per_trigger=1`` on the source)."""
     return df.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(processingTime=interval).start()
