@@ -198,10 +198,10 @@ def e15(spark, sf):
     return d.select("stream", "pos", r6("x").alias("x"))
 
 
-@query("e16_measured_vibration", f"""with {_XYZ_SQL}, m as (select win, sqrt(sum(list_avg(list_transform(v, lambda x: x * x)))) as r from xyz group by win having count(*) = 3), p as (select a.win, unnest(list_transform(range(1, 65), lambda i: abs(a.v[i]) + abs(b.v[i]) + abs(c.v[i]))) as p, unnest(range(1, 65)) as i from xyz a join xyz b on b.win = a.win and b.ax = 1 join xyz c on c.win = a.win and c.ax = 2 where a.ax = 0)
-  select win, round(any_value(r), 6) as vibration_rms_g, arg_max(i, (round(p, 12), -i)) * 1.5625::double as dominant_hz from p join m using (win) group by win""")
+@query("e16_measured_vibration", f"""with {_XYZ_SQL}, m as (select win, sqrt(sum(list_avg(list_transform(v, lambda x: x * x)))) as r, count(*) as axes from xyz group by win), p as (select a.win, unnest(list_transform(range(1, 65), lambda i: abs(a.v[i]) + abs(b.v[i]) + abs(c.v[i]))) as p, unnest(range(1, 65)) as i from xyz a join xyz b on b.win = a.win and b.ax = 1 join xyz c on c.win = a.win and c.ax = 2 where a.ax = 0)
+  select win, round(any_value(case when axes = 3 then r end), 6) as vibration_rms_g, arg_max(i, (round(p, 12), -i)) * 1.5625::double as dominant_hz from m left join p using (win) group by win""")
 def e16(spark, sf):
-    w = xyz(spark, sf).filter("x is not null and y is not null and z is not null")
+    w = xyz(spark, sf)
     rms = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c))
     w = w.select("win", *[rms(c).alias(f"r{c}") for c in "xyz"], *[F.transform(c, lambda v: F.abs(v)).alias(f"s{c}") for c in "xyz"])
     m = fe.measured_vibration(w, ["rx", "ry", "rz"], ["sx", "sy", "sz"])
@@ -209,9 +209,9 @@ def e16(spark, sf):
 
 
 @query("e17_moments9", f"""with {_XYZ_SQL}, m as (select win, ax, list_max(list_transform(v, lambda x: abs(x))) / sqrt(list_avg(list_transform(v, lambda x: x * x))) as cf, list_var_pop(v) as va, list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 3))) as m3, list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 4))) as m4 from xyz)
-  select win, {', '.join(f"round(max(cf) filter (ax = {i - 1}), 6) as cf_a_{i}, round(max(m3 / pow(va, 1.5)) filter (ax = {i - 1} and va > 0), 4) + 0.0 as sk_a_{i}, round(max(m4 / pow(va, 2)) filter (ax = {i - 1} and va > 0), 4) as ku_a_{i}" for i in (1, 2, 3))} from m group by win having count(*) = 3""")
+  select win, {', '.join(f"round(max(cf) filter (ax = {i - 1}), 6) as cf_a_{i}, round(max(m3 / pow(va, 1.5)) filter (ax = {i - 1} and va > 0), 4) + 0.0 as sk_a_{i}, round(max(m4 / pow(va, 2)) filter (ax = {i - 1} and va > 0), 4) as ku_a_{i}" for i in (1, 2, 3))} from m group by win""")
 def e17(spark, sf):
-    m = fe.moments9(xyz(spark, sf).filter("x is not null and y is not null and z is not null"), "x", "y", "z")
+    m = fe.moments9(xyz(spark, sf), "x", "y", "z")
     return m.select("win", *[F.round(f"cf_a_{i}", 6).alias(f"cf_a_{i}") for i in (1, 2, 3)], *[(F.round(f"sk_a_{i}", 4) + 0.0).alias(f"sk_a_{i}") for i in (1, 2, 3)],
                     *[F.round(f"ku_a_{i}", 4).alias(f"ku_a_{i}") for i in (1, 2, 3)])
 
@@ -400,14 +400,14 @@ def x12(spark, sf):
     return sc.apply_threshold(s, "score", "thr", "op", "r").select("seq", "status", "verdict", "why")
 
 
-@query("x13_result_status", f"""with {sql.WINDOWS}, m as (select s_suppkey as device, 'p' || (s_nationkey % 2) as profile, s_acctbal > 2000 as ok from supplier where s_suppkey < 8), j as (
+@query("x13_result_status", f"""with {sql.WINDOWS}, m as (select s_suppkey as device, 'p' || (s_nationkey % 2) as profile, s_acctbal > 2000 as ok from supplier), j as (
   select ordinal, quality, captured_us, k % 3 = 0 as inferred, m.ok, m.device is not null as has from windows w left join m on m.device = w.device and m.profile = 'p' || (w.k % 2))
   select ordinal, case when quality <> 'valid' or captured_us < 1705000000000000 then 'unavailable' when not has then 'waiting_model' when not ok then 'unavailable' when inferred then 'completed' else 'queued' end as status,
     case when quality <> 'valid' then quality when captured_us < 1705000000000000 then 'MEASUREMENT_EXPIRED' when not has then 'MODEL_NOT_CONFIGURED' when not ok then 'MODEL_INPUT_CONTRACT_MISMATCH' end as status_reason from j""")
 def x13(spark, sf):
     from ..sources.tables import windows
     w = windows(spark, sf).select("ordinal", "device", "quality", "captured_us", F.concat(F.lit("p"), F.col("k") % 2).alias("profile"), (F.col("k") % 3 == 0).alias("inferred"))
-    m = table(spark, sf, "supplier").filter("s_suppkey < 8").select(F.col("s_suppkey").alias("device"), F.concat(F.lit("p"), F.col("s_nationkey") % 2).alias("profile"),
+    m = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), F.concat(F.lit("p"), F.col("s_nationkey") % 2).alias("profile"),
                                                                     F.lit("m1").alias("model"), (F.col("s_acctbal") > 2000).alias("contract_ok"))
     return sc.result_status(w, m, F.lit(1705000000000000), 0).select("ordinal", "status", "status_reason")
 

@@ -159,7 +159,7 @@ def d10(spark, sf):
 
 
 @query("d11_audit_sessions", f"""with {sql.FIRST_WINDOWS}, d as (select device as session, boot // 2 as boot, idx + 96 * (boot % 2) as idx, uptime_us + 86400000000 * (boot % 2) as uptime_us, captured_us, quality
-    from fw where boot < 19740 or device <> 3), r as (
+    from fw), r as (
   select *, idx - lag(idx) over w as step, abs(uptime_us - lag(uptime_us) over w - (idx - lag(idx) over w) * 640000) as terr,
     abs((captured_us - first_value(captured_us) over w) - (uptime_us - first_value(uptime_us) over w)) as drift,
     lag(idx) over w is not null and (uptime_us <= lag(uptime_us) over w or captured_us < lag(captured_us) over w) as dis
@@ -180,7 +180,7 @@ def d10(spark, sf):
     case when windows < greatest(0, floor((e0 - s0) / 640000) - 1) or f0 is null or f0 - s0 > 1640000 or e0 - (l1 + 640000) > 1640000 or us + 1280000 < e0 - s0 - 1 then 'INCOMPLETE_REQUESTED_INTERVAL' end], lambda x: x is not null) as why from j)
   select session, windows, valid, missing, timing_us, drift_us, disordered, boots, array_to_string(why, ',') as blocking_reasons, len(why) = 0 as passes from k""")
 def d11(spark, sf):
-    w = first_windows(spark, sf).filter("boot < 19740 or device <> 3")
+    w = first_windows(spark, sf)
     half = F.pmod("boot", F.lit(2))
     d = w.select(F.col("device").alias("session"), F.floor(F.col("boot") / 2).alias("boot"), (F.col("idx") + 96 * half).alias("idx"),
                  (F.col("uptime_us") + DAY_US * half).alias("uptime_us"), "captured_us", "quality")

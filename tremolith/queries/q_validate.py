@@ -93,14 +93,14 @@ def f05(spark, sf):
     return va.within_retention(points(spark, sf), "t_us", F.lit(NOW), 10).select("seq")
 
 
-@query("f06_device_mapping", f"""with {sql.POINTS}, t as (select seq, case when k = 1 then 99 else s_nationkey end as site, case when k = 2 then asset + 1 else asset end as asset, asset as device from points join supplier on s_suppkey = asset), a as (select s_suppkey as asset, s_nationkey as site from supplier),
+@query("f06_device_mapping", f"""with {sql.POINTS}, t as (select seq, case when k = 1 then 99 else s_nationkey end as site, case when k = 2 then asset + 1 else asset end as asset, asset as device from points left join supplier on s_suppkey = asset), a as (select s_suppkey as asset, s_nationkey as site from supplier),
   d as (select s_suppkey as device, s_nationkey as dsite, case when s_acctbal > 1000 then 'active' else 'off' end as mp, case when s_suppkey % 9 = 0 then 'revoked' else 'registered' end as cert from supplier)
-  select seq, case when t.site = 99 then 'SITE_NOT_FOUND' when a.asset is null then 'ASSET_NOT_FOUND' when d.dsite <> t.site or t.asset <> t.device or mp <> 'active' then 'DEVICE_MAPPING_MISMATCH' when cert <> 'registered' then 'DEVICE_CERTIFICATE_NOT_ACTIVE' end as error_code
+  select seq, case when t.site = 99 or t.site is null then 'SITE_NOT_FOUND' when a.asset is null then 'ASSET_NOT_FOUND' when d.dsite <> t.site or t.asset <> t.device or mp <> 'active' then 'DEVICE_MAPPING_MISMATCH' when cert <> 'registered' then 'DEVICE_CERTIFICATE_NOT_ACTIVE' end as error_code
   from t left join a on a.asset = t.asset and a.site = t.site left join d using (device)""")
 def f06(spark, sf):
     s = table(spark, sf, "supplier")
     home = s.select(F.col("s_suppkey").alias("__h"), F.col("s_nationkey").alias("home"))
-    t = points(spark, sf).join(home, F.col("asset") == F.col("__h")).select(
+    t = points(spark, sf).join(home, F.col("asset") == F.col("__h"), "left").select(
         "seq", F.when(F.col("k") == 1, 99).otherwise(F.col("home")).alias("site"), F.when(F.col("k") == 2, F.col("asset") + 1).otherwise(F.col("asset")).alias("asset"), F.col("asset").alias("device"))
     d = s.select(F.col("s_suppkey").alias("device"), F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("asset"), F.when(F.col("s_acctbal") > 1000, "active").otherwise("off").alias("mapping"),
                  F.when(F.col("s_suppkey") % 9 == 0, "revoked").otherwise("registered").alias("certificate"))
@@ -185,16 +185,17 @@ def f14(spark, sf):
 
 
 @query("f15_validate_delivery", f"""with {sql.POINTS}, d as (select seq, k, ['edge-state', 'history', 'feature', 'feature-history'][k % 4 + 1] as policy, k // 4 % 4 as e, k % 7 as a from points)
-  select seq, case when k = 50 then 'event_or_state' when policy in ('edge-state', 'history') and k = 52 then 'mode_or_interval' when e = 1 and a <> 3 then 'counters_vs_state' when e = 0 and a >= 3 and not (policy = 'xx') and policy in ('edge-state', 'history', 'feature', 'feature-history') then 'counters_vs_state'
-    when k = 60 then 'quality' when policy in ('feature', 'feature-history') and e = 0 and k % 3 = 0 then 'slot' when policy = 'feature' and e = 2 and k % 3 > 0 then 'slot' when policy = 'history' and (e = 0) <> (k % 5 > 0) then 'history_sequence' when policy = 'history' and e = 1 and k % 2 = 1 then 'raw_evidence' end as error_rule from d where e < 3""")
+  select seq, case when k = 50 or e = 3 then 'event_or_state' when policy in ('edge-state', 'history') and k = 52 then 'mode_or_interval' when e = 1 and a <> 3 then 'counters_vs_state' when e = 0 and a >= 3 and not (policy = 'xx') and policy in ('edge-state', 'history', 'feature', 'feature-history') then 'counters_vs_state'
+    when k = 60 then 'quality' when policy in ('feature', 'feature-history') and e = 0 and k % 3 = 0 then 'slot' when policy = 'feature' and e = 2 and k % 3 > 0 then 'slot' when policy = 'history' and (e = 0) <> (k % 5 > 0) then 'history_sequence' when policy = 'history' and e = 1 and k % 2 = 1 then 'raw_evidence' end as error_rule from d""")
 def f15(spark, sf):
     k = F.col("k")
     e = F.floor(k / 4) % 4
     pol = F.element_at(F.array(*[F.lit(x) for x in ("edge-state", "history", "feature", "feature-history")]), (k % 4 + 1).cast("int"))
-    pick = lambda a, b, c: F.when(e == 0, a).when(e == 1, b).otherwise(c)
+    pick = lambda a, b, c: F.when(e == 0, a).when(e == 1, b).otherwise(c)  # the fourth case has an event of no policy
     event = F.when(pol == "edge-state", pick("normal_periodic", "anomaly_enter", "anomaly_periodic")).when(pol == "history", pick("history_periodic", "anomaly_enter", "anomaly_periodic")).otherwise(pick("periodic", "anomaly_start", "anomaly_active"))
+    event = F.when(e == 3, "unheard").otherwise(event)
     interval = F.when(pol == "edge-state", pick(F.lit(300), F.lit(0), F.lit(10))).otherwise(pick(F.lit(25), F.lit(0), F.lit(10)))
-    p = points(spark, sf).filter(e < 3).select(
+    p = points(spark, sf).select(
         "seq", pol.alias("policy"), event.alias("event"), F.when(k == 50, "ODD").when(e == 0, "NORMAL").otherwise("ANOMALY_ACTIVE").alias("state"), F.when(e == 1, "immediate").otherwise("periodic").alias("mode"),
         F.when(k == 52, 7).otherwise(interval).alias("interval_sec"), (k % 7).alias("anomaly_count"), F.lit(0).cast("long").alias("normal_count"), F.when(k == 60, "clipped").otherwise("valid").alias("quality"),
         F.when(k % 3 > 0, 25).alias("slot"), F.when(k % 5 > 0, 1).alias("history_seq"), (k % 2 == 0).alias("has_raw"))
@@ -305,11 +306,12 @@ def f24(spark, sf):
     return va.validate_connectivity(p, {"rssi_dbm": (-120.0, 0.0), "latency_ms": (0.0, 200.0)}).select("seq", "error_rule")
 
 
-@query("f25_safe_tabular", r"""select doc_id, case when regexp_matches(ltrim(t, E' \t\r\n'), '^[=+@-]') then '''' || t else t end as t from (select doc_id, case doc_id % 6 when 0 then '=' || lang when 1 then '  -' || source when 2 then '@' || lang when 3 then '' when 4 then E'\t+' || lang else text end as t from documents)""")
+@query("f25_safe_tabular", r"""select doc_id, case when regexp_matches(ltrim(t, E' \t\r\n'), '^[=+@-]') then '''' || t else t end as t from (
+  select doc_id, case doc_id % 6 when 0 then '=' when 1 then '  -' when 2 then '@' when 3 then '' when 4 then E'\t+' else 'x=' end || text as t from documents)""")
 def f25(spark, sf):
     m = F.col("doc_id") % 6
-    t = F.when(m == 0, F.concat(F.lit("="), "lang")).when(m == 1, F.concat(F.lit("  -"), "source")).when(m == 2, F.concat(F.lit("@"), "lang")).when(m == 3, "").when(m == 4, F.concat(F.lit("\t+"), "lang")).otherwise(F.col("text"))
-    return va.safe_tabular(table(spark, sf, "documents").select("doc_id", t.alias("t")))
+    lead = F.when(m == 0, "=").when(m == 1, "  -").when(m == 2, "@").when(m == 3, "").when(m == 4, "\t+").otherwise("x=")
+    return va.safe_tabular(table(spark, sf, "documents").select("doc_id", F.concat(lead, "text").alias("t")))
 
 
 @query("f26_exclude_demo", f"with {sql.POINTS} select seq from points where not (k % 2 = 0 and event_type = 'view')")
@@ -317,14 +319,15 @@ def f26(spark, sf):
     return va.exclude_demo(points(spark, sf).withColumn("syn", F.col("k") % 2 == 0), "syn", "event_type", "view").select("seq")
 
 
-@query("f28_validate_session", f"""with {sql.WINDOWS}, s as (select n_nationkey as session, n_nationkey as dev, 1704067200000000 + n_nationkey * 3600000000 as s0, case when n_nationkey % 7 = 1 then 8 else 6 end as h, case when n_nationkey % 7 = 2 then '' else 'ok' end as prov, case when n_nationkey % 7 = 3 then 'odd' else 'pending' end as rev from nation where n_nationkey < 9)
+@query("f28_validate_session", f"""with {sql.WINDOWS}, s as (select n_nationkey + cast(n_nationkey >= 9 as int) as session, n_nationkey as dev, 1704067200000000 + n_nationkey * 3600000000 as s0, case when n_nationkey % 7 = 1 then 8 else 6 end as h, case when n_nationkey % 7 = 2 then '' else 'ok' end as prov, case when n_nationkey % 7 = 3 then 'odd' else 'pending' end as rev from nation)
   select ordinal, case when s.session is null then 'unknown_session' when h > 6 or prov = '' then 'metadata' when rev = 'odd' then 'review' when w.k % 10 = 0 then 'scope' when not (captured_us >= s0 - 1 and captured_us + 640000 <= s0 + h * 3600000000 + 1) then 'outside_interval' end as error_rule from windows w left join s on s.session = w.device""")
 def f28(spark, sf):
     w = windows(spark, sf).select("ordinal", F.col("device").alias("session"), F.when(F.col("k") % 10 == 0, -1).otherwise(F.col("device")).alias("device"), "captured_us")
     n = F.col("n_nationkey").cast("long")
     start = F.lit(1704067200000000) + n * 3_600_000_000
-    s = table(spark, sf, "nation").filter("n_nationkey < 9").select(
-        n.alias("session"), n.alias("s_device"), start.alias("start_us"), (start + F.when(n % 7 == 1, 8).otherwise(6) * F.lit(3_600_000_000)).alias("end_us"), F.when(n % 7 == 2, "").otherwise("ok").alias("provenance"), F.lit(5).alias("max_missing"),
+    own = n + (n >= 9).cast("long")  # device 9 has no session
+    s = table(spark, sf, "nation").select(
+        own.alias("session"), own.alias("s_device"), start.alias("start_us"), (start + F.when(n % 7 == 1, 8).otherwise(6) * F.lit(3_600_000_000)).alias("end_us"), F.when(n % 7 == 2, "").otherwise("ok").alias("provenance"), F.lit(5).alias("max_missing"),
         F.lit(5).alias("max_invalid"), F.lit(10.0).alias("min_valid_sec"), F.when(n % 7 == 3, "odd").otherwise("pending").alias("review"), F.lit("").alias("reviewer"))
     return va.validate_session(w, s).select("ordinal", "error_rule")
 
