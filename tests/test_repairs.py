@@ -87,3 +87,11 @@ def test_too_few_groups_is_an_error_unless_asked(spark):
     with pytest.raises(ValueError):
         ds.interleaved_split(g, "g", "s", ratios)
     assert ds.interleaved_split(g, "g", "s", ratios, "hash").count() == 2
+
+
+def test_bulk_items_tied_in_order(spark):
+    rows = [(1, "b1", 5, "x"), (1, "b1", 5, "y"), (1, "b2", 5, "x"), (2, "b1", 1, None), (2, "b1", 1, None)]
+    items, totals = dd.bulk_ingest(spark.createDataFrame(rows, "k int, b string, o int, d string"), "b", ["k"], ["o"], "d", F.lit(True))
+    got = sorted((r.k, str(r.d), r.item_status) for r in items.collect())
+    assert got == [(1, "x", "accepted"), (1, "x", "duplicate"), (1, "y", "rejected"), (2, "None", "accepted"), (2, "None", "duplicate")]
+    assert sum(r.accepted for r in totals.collect()) == 2

@@ -125,13 +125,14 @@ def duplicate_recordings(df: DataFrame, content: str, run: str, label: str) -> D
 
 def bulk_ingest(df: DataFrame, batch: str, keys: list[str], order: list[str], digest: str, valid: Column) -> tuple[DataFrame, DataFrame]:
     """Replay batches in (device, sequence, index) order: per-item status and per-batch totals."""
-    d = df.withColumn("__ok", F.coalesce(valid, F.lit(False)))
+    d = df.withColumns({"__ok": F.coalesce(valid, F.lit(False)), "__i": F.monotonically_increasing_id()})
     good = d.filter("__ok")
-    at = F.struct(*order)
-    first = good.groupBy(*keys).agg(F.min(F.struct(at.alias("o"), F.col(digest).alias("d"))).alias("__f"))
+    # of items tied in order one is accepted: the least digest, and of identical ones any single one
+    place = F.struct(F.struct(*order).alias("o"), F.col(digest).alias("d"), F.col("__i").alias("i"))
+    first = good.groupBy(*keys).agg(F.min(place).alias("__f"))
     first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__f")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    status = (F.when(at == F.col("__f.o"), "accepted").when(F.col(digest) == F.col("__f.d"), "duplicate").otherwise("rejected"))
+    status = (F.when(place.eqNullSafe(F.col("__f")), "accepted").when(F.col(digest).eqNullSafe(F.col("__f.d")), "duplicate").otherwise("rejected"))
     items = (good.join(first, same).select(*df.columns, status.alias("item_status"))
              .unionByName(d.filter(~F.col("__ok")).select(*df.columns, F.lit("rejected").alias("item_status"))))
     totals = items.groupBy(batch).agg(*[F.count_if(F.col("item_status") == s).alias(n) for s, n in

@@ -90,6 +90,62 @@ def run_policy_experiment(oof: DataFrame, label: str, policies: list[str], basel
     return summary, choose_policy(summary, "policy", baseline, mean_fpr, worst_fpr, recall_loss)
 
 
+def cost_weight_experiment(df: DataFrame, features: str, label: str, run: str, condition: str, folds: list[tuple], spec: tuple[str, int], costs: tuple[float, ...] = (1, 2, 4),
+                           mean_fpr: float = 0.03, worst_fpr: float = 0.10, recall_loss: float = 0.05, **size) -> DataFrame:
+    """Refit with normal rows weighted by each cost; judged out of fold at the highest condition's q99 threshold.
+
+    The recall floor is the mean recall of cost 1 at the first condition's threshold less ``recall_loss``, so a weaker
+    candidate never lowers it.  Of those inside all gates the one with the highest mean recall, lowest mean FPR and first
+    name is ``selected``; none may be.
+    """
+    if 1 not in costs:
+        raise ValueError("cost 1 is the matched control")
+    scored = None
+    for cost in costs:
+        one = oof_scores(df, features, label, run, condition, folds, {f"normal_cost{cost}": spec}, float(cost), **size)
+        scored = one if scored is None else scored.unionByName(one)
+    at = lambda d, t: binary_metrics(d, ["candidate", "held"], F.col(label), F.col("score") > F.col(t))
+    folds_of = at(scored, "t_max_condition")
+    floor = fold_summary(at(scored.where("candidate = 'normal_cost1'"), "t_single"), ["candidate"]).first()["mean_recall"] - recall_loss
+    counts = folds_of.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum(F.col("tp") + F.col("fn")).alias("positives"), F.count(F.lit(1)).alias("folds"))
+    inside = (F.col("mean_fpr") <= mean_fpr) & (F.col("worst_fpr") <= worst_fpr) & (F.col("mean_recall") >= floor)
+    out = cut(fold_summary(folds_of, ["candidate"]).withColumns({"recall_floor": F.lit(floor), "eligible": inside}).join(counts, "candidate"))
+    best = out.where("eligible").orderBy(F.col("mean_recall").desc(), "mean_fpr", "candidate").limit(1).select("candidate", F.lit(True).alias("selected"))
+    return out.join(best, "candidate", "left").fillna(False, ["selected"])
+
+
+def resolution_experiment(df: DataFrame, clean: str, degraded: str, label: str, run: str, condition: str, index: str, folds: list[tuple], kind: str = "random_forest",
+                          mean_fpr: float = 0.03, worst_fpr: float = 0.10, recall_loss: float = 0.05, **size) -> DataFrame:
+    """Features of full and of lower resolution fed to two fits: on clean rows, and with even ``index`` rows degraded.
+
+    Thresholds come from clean normal rows of the calibration condition for both.  The half-degraded fit ``replaces`` the
+    clean one only if both domains stay inside the gates and, on degraded rows, its FPR falls without a loss of recall.
+    One row a fit and domain.
+    """
+    base, out = cut(_prepare(df, clean, label).withColumnRenamed("__x", "__clean").withColumn("__degraded", array_to_vector(degraded))), None
+    for policy in ("clean_fit", "half_degraded_fit"):
+        own = F.col("__clean") if policy == "clean_fit" else F.when(F.col(index) % 2 == 0, F.col("__degraded")).otherwise(F.col("__clean"))
+        for held, calibration in folds:
+            fit = base.filter(~F.col(condition).isin([held, *calibration])).withColumn("__x", own)
+            model = _fit(fit, kind, label, run, **size)
+            cal = _score(model, base.filter(F.col(condition).isin(calibration) & ~F.col(label)).withColumn("__x", F.col("__clean")))
+            t = quantile_higher(cal, [], "score", 0.99, 1e-3).first()["threshold"]
+            test = base.filter(F.col(condition) == held)
+            for domain in ("clean", "degraded"):
+                one = _score(model, test.withColumn("__x", F.col(f"__{domain}"))).select(F.col(label).alias("label"), (F.col("score") > t).alias("hit"),
+                                                                                         F.lit(policy).alias("fit"), F.lit(domain).alias("domain"), F.lit(held).alias("held"))
+                out = one if out is None else out.unionByName(one)
+    folds_of = cut(binary_metrics(out, ["fit", "domain", "held"], F.col("label"), F.col("hit")))
+    counts = folds_of.groupBy("fit", "domain").agg(F.sum("n").alias("n"), F.sum(F.col("tp") + F.col("fn")).alias("positives"))
+    rows = cut(fold_summary(folds_of, ["fit", "domain"]).join(counts, ["fit", "domain"]))
+    m = {(r["fit"], r["domain"]): r for r in rows.collect()}  # four rows
+    floor = m["clean_fit", "clean"]["mean_recall"] - recall_loss
+    new, old = m["half_degraded_fit", "degraded"], m["clean_fit", "degraded"]
+    inside = all(m["half_degraded_fit", d]["mean_fpr"] <= mean_fpr and m["half_degraded_fit", d]["worst_fpr"] <= worst_fpr and m["half_degraded_fit", d]["mean_recall"] >= floor for d in ("clean", "degraded"))
+    better = inside and new["mean_fpr"] < old["mean_fpr"] and new["mean_recall"] >= old["mean_recall"]
+    return rows.withColumn("replaces", (F.col("fit") == "half_degraded_fit") & F.lit(better))
+
+
 def select_candidate(oof: DataFrame, label: str, widths: dict[str, int]) -> DataFrame:
     """Best candidate: mean balanced accuracy, lower worst FPR, fewer features, name."""
     m = binary_metrics(oof, ["candidate", "held"], F.col(label), F.col("score") > F.col("t_single"))

@@ -79,15 +79,24 @@ def feature_deviations(df: DataFrame, key: str, features: str, baseline: DataFra
     """Per feature the distance from its baseline in sigmas and whether it is an outlier.
 
     Without ``tolerance`` the range is recomputed as mean +/- sigma * std and zero variance is skipped; with it
-    the stored range decides and a zero-variance feature has no sigma but keeps its absolute tolerance.
+    the stored range decides and a zero-variance feature has no sigma but keeps its absolute tolerance.  A stored range that
+    is not finite, is reversed, or for zero variance is not mean +/- tolerance judges nothing; ``baseline_issue`` names it.
     """
+    if tolerance is not None and not 0 <= tolerance < float("inf"):
+        raise ValueError("tolerance must be a finite number, not below zero")
     e = df.select(key, F.explode(features).alias("feature", "value")).filter(finite("value"))
     b = baseline.select(F.col("feature").alias("__f"), "mean", "std", *(["low", "high"] if tolerance is not None else []))
     j = e.join(b, F.col("feature") == F.col("__f")).drop("__f")
     if tolerance is None:
         j = j.filter(F.col("std") > 1e-12).withColumns({"low": F.col("mean") - sigma * F.col("std"), "high": F.col("mean") + sigma * F.col("std")})
-    return j.select(key, "feature", "value", F.when(F.col("std") != 0, F.abs(F.col("value") - F.col("mean")) / F.col("std")).alias("deviation_sigma"),
-                    ((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outlier"))
+        issue = F.lit(None).cast("string")
+    else:
+        numbers = [F.coalesce(finite(c), F.lit(False)) for c in ("mean", "std", "low", "high")]
+        sound = numbers[0] & numbers[1] & numbers[2] & numbers[3] & (F.col("std") >= 0) & (F.col("low") <= F.col("high"))
+        agrees = (F.col("std") != 0) | ((F.col("low") == F.col("mean") - tolerance) & (F.col("high") == F.col("mean") + tolerance))
+        issue = F.when(~F.coalesce(sound, F.lit(False)), "INVALID_STORED_RANGE").when(~agrees, "RANGE_DISAGREES_WITH_TOLERANCE")
+    return j.select(key, "feature", "value", F.when(issue.isNull() & (F.col("std") != 0), F.abs(F.col("value") - F.col("mean")) / F.col("std")).alias("deviation_sigma"),
+                    F.when(issue.isNull(), (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outlier"), *([issue.alias("baseline_issue")] if tolerance is not None else []))
 
 
 # ------------------------------------------------------------------ history models

@@ -291,6 +291,22 @@ def x04(spark, sf):
     return sc.feature_deviations(m, "vec_id", "m", b, 2.0).select("vec_id", "feature", F.round("deviation_sigma", 6).alias("deviation_sigma"), "outlier")
 
 
+@query("x04_stored_ranges", f"""with {sql.SNAPSHOTS}, e as (select vec_id, stream, unnest(x) as v, unnest(range(0, 9)) as f from snapshots), b as (
+  select f, avg(v) as mean, case when f in (6, 7) then 0.0 else stddev_pop(v) end as std, case f when 5 then 9.0 when 6 then avg(v) - 0.25 when 8 then null else avg(v) - 0.5 end as low, case when f = 6 then avg(v) + 0.25 else avg(v) + 0.5 end as high
+  from e where stream < 5 group by f), c as (select *, case when f in (5, 8) then 'INVALID_STORED_RANGE' when f = 7 then 'RANGE_DISAGREES_WITH_TOLERANCE' end as issue from b)
+  select vec_id, 'f' || f as feature, case when issue is null and std <> 0 then round(abs(v - mean) / std, 6) end as deviation_sigma, case when issue is null then v < low or v > high end as outlier, issue as baseline_issue from e join c using (f)""")
+def x04_stored(spark, sf):
+    """Stored ranges: sound ones, a reversed one, one without a limit, and two of zero variance with and without the tolerance."""
+    s = snapshots(spark, sf)
+    m = s.withColumn("m", F.map_from_entries(F.transform("x", lambda v, i: F.struct(F.concat(F.lit("f"), i).alias("k"), v.alias("v")))))
+    b = s.filter("stream < 5").select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
+    f, half = F.col("f"), F.when(F.col("f") == 6, 0.25).otherwise(0.5)
+    b = b.select(F.concat(F.lit("f"), "f").alias("feature"), "mean", F.when(f.isin(6, 7), 0.0).otherwise(F.col("dev")).alias("std"),
+                 F.when(f == 5, 9.0).when(f == 8, None).otherwise(F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+    r = sc.feature_deviations(m, "vec_id", "m", b, None, 0.25)
+    return r.select("vec_id", "feature", F.round("deviation_sigma", 6).alias("deviation_sigma"), "outlier", "baseline_issue")
+
+
 _ACTIVE = [i for i in range(45) if i % 11 != 5]
 _N = len(_ACTIVE)
 MODEL = {"center": [0.01 * (i % 5) for i in range(45)], "scale": [0.2 + 0.05 * (i % 4) for i in range(45)], "active": _ACTIVE, "pca_mean": [0.02 * (i % 3) for i in range(_N)],

@@ -1,6 +1,6 @@
 """Model-fitting queries on the nine-feature vectors (results depend on the fitted trees, so no SQL oracle)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import modeling as mo
 from ..plans.registry import query
@@ -50,6 +50,26 @@ def m04(spark, sf):
         "policy", "chosen", F.round("mean_recall", 3).alias("mean_recall"), F.round("mean_fpr", 3).alias("mean_fpr"))
 
 
+_ROWS = "(select *, cast(label >= 5 as int) as fault, vec_id % 4 as condition from embeddings)"
+
+
+@query("m04_cost_weights", f"""select 'normal_cost' || c as candidate, n, positives, 4::bigint as folds, true as one_at_most, true as floor_holds from (select unnest([1, 2, 4]) as c), (select count(*) as n, cast(sum(fault) as bigint) as positives from {_ROWS})""")
+def m04_costs(spark, sf):
+    """Every row is judged once for each cost; the choice obeys its gates."""
+    e = mo.cost_weight_experiment(labelled(spark, sf), "features", "label", "run", "condition", mo.leave_one_out([0, 1, 2, 3], 2), ("random_forest", 21), mean_fpr=0.3, worst_fpr=0.5, recall_loss=0.3, **SIZE)
+    chosen = F.count_if("selected").over(Window.partitionBy())  # three rows
+    holds = ~F.col("selected") | (F.col("eligible") & (F.col("mean_recall") >= F.col("recall_floor")) & (F.col("mean_fpr") <= 0.3))
+    return e.select("candidate", "n", "positives", "folds", (chosen <= 1).alias("one_at_most"), holds.alias("floor_holds"))
+
+
+@query("m04_resolution", f"""select fit, domain, n, positives, true as consistent from (select unnest(['clean_fit', 'half_degraded_fit']) as fit), (select unnest(['clean', 'degraded']) as domain), (select count(*) as n, cast(sum(fault) as bigint) as positives from {_ROWS})""")
+def m04_resolution(spark, sf):
+    """Features rounded to a coarse step stand for windows of lower resolution; each row is judged once for each fit and domain."""
+    d = labelled(spark, sf).withColumn("coarse", F.transform("features", lambda v: F.rint(v / 0.25) * 0.25))
+    e = mo.resolution_experiment(d, "features", "coarse", "label", "run", "condition", "vec_id", mo.leave_one_out([0, 1, 2, 3], 1), mean_fpr=0.3, worst_fpr=0.5, recall_loss=0.3, **SIZE)
+    return e.select("fit", "domain", "n", "positives", (~F.col("replaces") | ((F.col("fit") == "half_degraded_fit") & (F.col("mean_fpr") <= 0.3))).alias("consistent"))
+
+
 @query("m05_evaluate_selected")
 def m05(spark, sf):
     d = labelled(spark, sf)
