@@ -88,12 +88,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *keep)
     base = base.withColumn("range", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).cast("long"))
-    heads = base.groupBy("range").agg(F.min(F.struct("doc_id")).alias("head"))
+    # the first text of each range by partial aggregation; the order of the ranges is found without their texts
+    heads = base.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))
     order = Window.orderBy("range")
-    heads = heads.select("range", F.col("head.doc_id").alias("head"), F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("back"))
-    firsts = (base.join(heads, (base["range"] == heads["range"]) & base["doc_id"].eqNullSafe(heads["head"]))
-              .groupBy(heads["back"]).agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id")))
-    both = base.select("range", F.lit(0).alias("ghost"), "doc_id", "text", *keep).unionByName(firsts.select(F.col("back").alias("range"), F.lit(1).alias("ghost"), "doc_id", "text"), allowMissingColumns=True)
+    places = base.select("range").distinct().select(F.col("range").alias("at"), F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("back"))
+    firsts = heads.join(places, F.col("range") == F.col("at")).select(F.col("back").alias("range"), F.lit(1).alias("ghost"), "head.doc_id", "head.text")
+    both = base.select("range", F.lit(0).alias("ghost"), "doc_id", "text", *keep).unionByName(firsts, allowMissingColumns=True)
     near = Window.partitionBy("range").orderBy("ghost", F.asc_nulls_first("doc_id"), "text")
     return both.withColumn("next_text", F.lead("text").over(near)).where("ghost = 0").select("doc_id", "text", "next_text", *keep)
 
