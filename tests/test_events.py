@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from tremolith.functions.numeric import bucket
 from tremolith.operators import alerts as al, dedupe as dd, events as ev
 from tremolith.streaming import streams as st
 
@@ -137,7 +138,7 @@ def test_persistence_edges(spark):
     assert got == {(1, 0): (1, -1), (1, 1): (1, -1), (1, 2): (-1, -1), (1, 3): (1, -1), (1, 4): (1, -1), (1, 5): (1, 1), (1, 7): (1, -1), (2, 6): (1, -1)}
 
 
-def test_cooldown_and_overlaps_against_brute_force(spark):
+def test_cooldown_against_brute_force(spark):
     r = random.Random(5)
     rows = [("p", "hot" if r.random() < 0.7 else "cold", r.randrange(0, 4000) * SEC, i, 60) for i in range(250)]
     df = spark.createDataFrame(rows, "policy string, asset string, t long, id long, cd int")
@@ -148,14 +149,40 @@ def test_cooldown_and_overlaps_against_brute_force(spark):
             keep = last is None or t - last >= cd * SEC
             last = t if keep else last
             assert got[i] == keep
-    spans = [("d" if r.random() < 0.7 else "e", s, s + r.randrange(1, 90), i) for i in range(200) for s in [r.randrange(0, 5000)]]
-    o = {x["i"]: x["accepted"] for x in dd.reject_overlaps(spark.createDataFrame(spans, "k string, s long, e long, i long"), ["k"], "s", "e", "i", bucket("s", 300)).collect()}
-    for k in "de":
-        taken = []
-        for _, s, e, i in sorted((x for x in spans if x[0] == k), key=lambda x: x[3]):
-            ok = all(not (s < b and e > a) for a, b in taken)
-            taken += [(s, e)] if ok else []
-            assert o[i] == ok
+
+
+def _served(spans):
+    """Brute force: (key, start, end, order) in arrival order against all accepted before."""
+    taken, out = {}, {}
+    for k, s, e, i in sorted(spans, key=lambda x: (x[3], x[1], x[2])):
+        mine = taken.setdefault(k, [])
+        out[(k, i)] = all(not (s < b and e > a) for a, b in mine)
+        mine += [(s, e)] if out[(k, i)] else []
+    return out
+
+
+@pytest.mark.parametrize("kind, width", [("random", 300), ("along", None), ("against", 300), ("alternating", None), ("nested", 300), ("points", 20)])
+def test_overlaps_against_brute_force(spark, kind, width):
+    r = random.Random(5)
+    n = 60
+    spans = {
+        "random": [("d" if r.random() < 0.7 else None, s, s + r.randrange(1, 90), i) for i in range(n) for s in [r.randrange(0, 1200)]],
+        "along": [("d", 20 * i, 20 * i + 30 + i % 3, i) for i in range(n)],
+        "against": [("d", -20 * i, -20 * i + 30 + i % 3, i) for i in range(n)],
+        "alternating": [("d", 20 * i, 20 * i + 30, (i // 12) * 1000 + (i if i // 12 % 2 else -i)) for i in range(n)],
+        "nested": [("d", i, 2 * n - i, n - i if i % 2 else i) for i in range(n)],
+        "points": [("d", s, s + r.choice([0, 0, 1, 7]), i) for i in range(n) for s in [r.randrange(0, 60)]]}[kind]
+    df = spark.createDataFrame(spans, "k string, s long, e long, i long")
+    got = {(x["k"], x["i"]): x["accepted"] for x in dd.reject_overlaps(df, ["k"], "s", "e", "i", width).collect()}
+    assert got == _served(spans)
+
+
+def test_overlaps_without_bounds_and_empty(spark):
+    schema = "k string, s long, e long, i long"
+    rows = [("a", None, 5, 0), ("a", 1, None, 1), ("a", 9, 2, 2), ("a", 3, 6, 3), ("a", 5, 7, 4), ("a", 5, 7, None)]
+    got = dd.reject_overlaps(spark.createDataFrame(rows, schema), ["k"], "s", "e", "i").filter("accepted").collect()
+    assert [(x["s"], x["e"], x["i"]) for x in got] == [(5, 7, None)]  # a null order comes first
+    assert dd.reject_overlaps(spark.createDataFrame([], schema), ["k"], "s", "e", "i", 10).count() == 0
 
 
 def test_open_incident_ignores_other_targets(spark, tmp_path):

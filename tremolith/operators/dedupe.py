@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import bucket
-from ..plans.scan import running_max, scan
+from ..plans.overlap import first_come
 from ..session import cut
 
 
@@ -74,46 +73,18 @@ def disposition(df: DataFrame, end_us: str, now_us: Column, retention_us: int) -
                          .otherwise(F.col("disposition")))
 
 
-def overlap_groups(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column | None) -> DataFrame:
-    """Cluster intervals whose spans touch; intervals of different clusters can never overlap."""
-    at = [start, order]
-    marked = scan(df, keys, at, split, __top=running_max(F.col(end), inclusive=False))
-    fresh = marked.withColumn("__new", F.col("__top").isNull() | (F.col(start) >= F.col("__top"))).drop("__top")
-    from ..plans.scan import running_sum
-    return scan(fresh if split is None else cut(fresh), keys, at, split, cluster=running_sum(F.col("__new").cast("long"))).drop("__new")
+def reject_overlaps(df: DataFrame, keys: list[str], start: str, end: str, order: str, width: int | None = None) -> DataFrame:
+    """Accept in arrival order unless the span overlaps an already accepted one of its key (``start < e and end > s``).
 
-
-def reject_overlaps(df: DataFrame, keys: list[str], start: str, end: str, order: str, split: Column | None) -> DataFrame:
-    """Accept in arrival order unless the span overlaps an already accepted one (``start < e and end > s``).
-
-    Only intervals of one overlap cluster influence each other, so clusters of one are accepted by
-    a plain filter and the chain is replayed per cluster, a batch at a time.
+    Spans are whole numbers; ``width`` is the bucket of the ordered scans, None where every key fits a task.  Spans tied in
+    ``order`` come by start, then end.  A span without length overlaps those around it only; one that lacks a bound or ends
+    before it starts is never accepted and stands in nobody's way.  Null keys are keys like any other.
     """
-    import bisect
-
-    import pandas as pd
-
-    grouped = overlap_groups(df, keys, start, end, order, split)
-    sizes = grouped.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("__n"))
-    tagged = grouped.join(sizes, [*keys, "cluster"])
-    tagged = tagged if split is None else cut(tagged)
-    alone = tagged.filter("__n = 1").withColumn("accepted", F.lit(True))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema.fields]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        taken: list[tuple[int, int]] = []
-        verdicts = []
-        for s, e in zip(pdf[start].tolist(), pdf[end].tolist()):
-            at = bisect.bisect_left(taken, (s, s))
-            clear = (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e)
-            if clear:
-                bisect.insort(taken, (s, e))
-            verdicts.append(clear)
-        return pdf.assign(accepted=verdicts)
-
-    chained = tagged.filter("__n > 1").groupBy(*keys, "cluster").applyInPandas(replay, ", ".join(fields) + ", accepted boolean")
-    return alone.unionByName(chained).select(*df.columns, "accepted")
+    own = cut(df.withColumn("__i", F.monotonically_increasing_id()))
+    place = F.struct(F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"), F.col("__i").alias("i"))
+    spans = own.filter(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"), place.alias("__p"), "__i")
+    taken = first_come(spans, keys, width).withColumn("accepted", F.lit(True))
+    return own.join(taken, "__i", "left").select(*df.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def duplicate_recordings(df: DataFrame, content: str, run: str, label: str) -> DataFrame:

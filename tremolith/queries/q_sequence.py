@@ -254,7 +254,7 @@ def c02(spark, sf):
   select asset, seq, accepted from walk""")
 def c03(spark, sf):
     p = points(spark, sf).select("asset", "seq", F.col("t_us").alias("s"), (F.col("t_us") + (F.col("value") * 600_000_000).cast("long")).alias("e"))
-    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", declared_split("s", DAY_US)).select("asset", "seq", "accepted")
+    return dd.reject_overlaps(p, ["asset"], "s", "e", "seq", DAY_US).select("asset", "seq", "accepted")
 
 
 @query("c04_disposition", f"""with {_COPIES_SQL}, x as (select arrival, seq, case when arrival = min(arrival) over (partition by asset, seq) then 'accepted'
