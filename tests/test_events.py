@@ -138,6 +138,19 @@ def test_persistence_edges(spark):
     assert got == {(1, 0): (1, -1), (1, 1): (1, -1), (1, 2): (-1, -1), (1, 3): (1, -1), (1, 4): (1, -1), (1, 5): (1, 1), (1, 7): (1, -1), (2, 6): (1, -1)}
 
 
+@pytest.mark.parametrize("index_bucket", [2, 7])
+def test_persistence_against_brute_force(spark, index_bucket):
+    r = random.Random(index_bucket)
+    rows = [(k, i, r.choice([True, True, False, None]), r.random() < 0.9) for k in ("a", None) for i in range(120) if r.random() < 0.93]
+    got = {(x["k"], x["i"]): x.asDict() for x in ev.persistence(spark.createDataFrame(rows, "k string, i long, hit boolean, ok boolean"), ["k"], "i", "hit", "ok", index_bucket=index_bucket).collect()}
+    known = {(k, i): (bool(hit), ok) for k, i, hit, ok in rows}
+    assert len(got) == len(rows)
+    for (k, i), x in got.items():
+        for name, (width, need) in ev.POLICIES.items():
+            last = [known.get((k, i - n), (False, False)) for n in range(width)]
+            assert x[name] == (int(sum(h for h, _ in last) >= need) if all(ok for _, ok in last) else -1), (k, i, name)
+
+
 def test_cooldown_against_brute_force(spark):
     r = random.Random(5)
     rows = [("p", "hot" if r.random() < 0.7 else "cold", r.randrange(0, 4000) * SEC, i, 60) for i in range(250)]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import first_failure
 from ..plans.reach import reach
-from ..plans.scan import following, history, last_set, next_set, prev, running_max, running_sum, runs, scan, declared_split
+from ..plans.scan import following, history, last_set, next_set, prev, running_max, running_sum, runs, scan, declared_split, declared_width
 from ..session import cut
 
 
@@ -212,23 +212,25 @@ POLICIES = {"single": (1, 1), "two_of_three": (3, 2), "three_of_five": (5, 3),
 
 def persistence(df: DataFrame, keys: list[str], idx: str, hit: str, valid: str,
                 policies: dict[str, tuple[int, int]] = POLICIES, index_bucket: int | None = None) -> DataFrame:
-    """Causal N-of-M decisions: -1 pending or invalid, 0 normal, 1 anomaly, one column per policy."""
-    widest = max(w for w, _ in policies.values())
-    split = declared_split(idx, index_bucket)
-    past = history(df, keys, [idx], split, F.struct(F.col(idx).alias("i"), F.col(hit).alias("h"), F.col(valid).alias("ok")),
-                   widest - 1, "__past") if widest > 1 else df.withColumn("__past", F.array().cast("array<struct<i:bigint,h:boolean,ok:boolean>>"))
-    recent = F.reverse("__past")
+    """Causal N-of-M decisions: -1 pending or invalid, 0 normal, 1 anomaly, one column per policy.  A null hit is no hit.
+
+    A decision reads rows of unbroken indices only, so each bucket of indices gets copies of the few rows just before it and
+    is judged by framed sums: one shuffle, and nothing to join back.
+    """
+    widest, size = max(w for w, _ in policies.values()), declared_width(idx, index_bucket)
+    place = lambda c: F.floor(c / F.lit(size)).cast("long")
+    own = place(F.col(idx))
+    spread = df.withColumn("__b", F.explode_outer(F.sequence(own, place(F.col(idx) + (widest - 1)))))
+    w = Window.partitionBy(*keys, "__b").orderBy(idx)
+    ok, hit_ = F.coalesce(F.col(valid), F.lit(False)), F.coalesce(F.col(hit), F.lit(False)).cast("int")
+    linked = spread.withColumns({"__own": F.col("__b").eqNullSafe(own), "__link": F.coalesce(
+        ok & F.lag(valid).over(w) & (F.lag(idx).over(w) == F.col(idx) - 1), F.lit(False)).cast("int")})
 
     def decide(width: int, need: int) -> Column:
-        window = F.slice(recent, 1, width - 1) if width > 1 else F.slice(recent, 1, 0)
-        complete = (F.size(window) == width - 1) & F.forall(
-            F.zip_with(window, F.sequence(F.lit(1), F.lit(max(1, width - 1))),
-                       lambda s, n: F.coalesce(s["ok"] & (s["i"] == F.col(idx) - n), F.lit(False)))
-            if width > 1 else F.array(F.lit(True)), lambda x: x)
-        hits = F.aggregate(window, F.col(hit).cast("int"), lambda a, s: a + s["h"].cast("int"))
-        return F.when(F.col(valid) & complete, (hits >= need).cast("int")).otherwise(-1)
+        complete = F.sum("__link").over(w.rowsBetween(2 - width, 0)) == width - 1 if width > 1 else F.lit(True)
+        return F.when(ok & complete, (F.sum(hit_).over(w.rowsBetween(1 - width, 0)) >= need).cast("int")).otherwise(-1)
 
-    return past.select("*", *[decide(w, n).alias(p) for p, (w, n) in policies.items()]).drop("__past")
+    return linked.select("*", *[decide(n, need).alias(p) for p, (n, need) in policies.items()]).filter("__own").drop("__b", "__own", "__link")
 
 
 def confirm3(df: DataFrame, keys: list[str], order: list[str], split: Column | None, idx: str, uptime: str,
@@ -361,7 +363,6 @@ def device_liveness(intervals: DataFrame, keys: list[str]) -> DataFrame:
 def sensor_faults(devices: DataFrame, telemetry: DataFrame, key: str, order: list[str], now_us: Column,
                   signature: list[str], noise: str, offline_sec: int = 120) -> DataFrame:
     """Derived faults: no signal, reboot loop, power, stuck value, noise floor; one row each."""
-    from pyspark.sql import Window
     newest = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order]))
     last5 = telemetry.withColumn("__rn", newest).filter("__rn <= 5").groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*signature)).alias("kinds"),

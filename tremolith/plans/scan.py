@@ -70,11 +70,15 @@ DAY_US = 86_400_000_000
 POSITIONS = 10_000
 
 
+def declared_width(at: str, width: int | None = None) -> int:
+    """``width``, or a day for a name that ends in ``_us`` or ``__t``, or POSITIONS."""
+    return width or (DAY_US if at.endswith("_us") or at.endswith("__t") else POSITIONS)
+
+
 def declared_split(at: str, width: int | None = None) -> Column:
-    """Bucket over the numeric order column ``at``: ``width`` wide, or a day for a name that ends in ``_us`` or ``__t``,
-    or POSITIONS.  It is fixed by the schema, so plans neither count rows nor differ by size."""
-    width = width or (DAY_US if at.endswith("_us") or at.endswith("__t") else POSITIONS)
-    return F.floor(F.col(at) / F.lit(width)).cast("long")
+    """Bucket over the numeric order column ``at``, of the declared width.  It is fixed by the schema, so plans neither
+    count rows nor differ by size."""
+    return F.floor(F.col(at) / F.lit(declared_width(at, width))).cast("long")
 
 
 def _join_back(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
