@@ -7,10 +7,12 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF, lowered, words
@@ -206,6 +208,63 @@ def test_fingerprint_follows_order_and_repeats(spark):
     assert near["thrice"] <= near["repeat"] + 0.1
 
 
+def brute_tokens(text):
+    out = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        if len(run) <= 24 and not re.search("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]", run):
+            out.append(run)
+            continue
+        now = ""
+        for c in run:
+            now += c
+            if c in "aeiouAEIOU0123.,:;/&=_()" or c > "\x7f" or len(now) == 32:
+                out.append(now)
+                now = ""
+        out += [now] if now else []
+    return out
+
+
+def brute_fingerprint(text, bins=64, k=2, least=2):
+    """Order MinHash by dictionaries, with 64-bit XXH64 hashes chained as Spark chains them."""
+    chain = lambda *xs: reduce(lambda h, x: xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8, "little"), h), xs, 42)
+    top = lambda h: (h >> 32) - (2**32 if h >> 63 else 0)
+    t = [xxhash.xxh64_intdigest(w.encode(), 42) for w in brute_tokens(text)]
+    seen, picked = Counter(), {}
+    for i in range(max(len(t) - k + 1, min(len(t), 1))):
+        gram = top(chain(*t[i:i + k]))
+        n = seen[gram]
+        seen[gram] += 1
+        low = xxhash.xxh64_intdigest((0).to_bytes(4, "little"), chain(gram)) if n == 0 else xxhash.xxh64_intdigest(n.to_bytes(4, "little"), chain(gram))
+        picked.setdefault(((low >> 32) * bins) >> 32, []).append((top(low), i, low >> 32))
+    codes = []
+    for b, grams in picked.items():
+        ordered = sorted(sorted(grams)[:least], key=lambda g: g[1])
+        codes.append(f"{b:02x}" + f"{chain(*[g[2] for g in ordered]):016x}"[:4])
+    return sorted(codes)
+
+
+UNSPACED = {"chinese": (0x4E00, 0x5600), "thai": (0xE01, 0xE2E), "code": (0x21, 0x7E), "letters": (0x61, 0x7B)}
+
+
+def test_fingerprint_by_dictionaries(spark, rows):
+    rng = random.Random(17)
+    texts = [t or "" for _, t in rows[:60]] + ["", "one", "one two", "x" * 100, "ab " * 50] + ["".join(chr(rng.randrange(*r)) for _ in range(n)) for r in UNSPACED.values() for n in (1, 30, 700)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    for r in fingerprint.with_fingerprint(table, "text", "f").collect():
+        assert sorted(re.findall("." * fingerprint.WIDTH, r.f)) == brute_fingerprint(texts[r.i]), texts[r.i]
+
+
+@pytest.mark.parametrize("script", UNSPACED)
+def test_fingerprint_without_blanks(spark, script):
+    rng = random.Random(23)
+    text = "".join(chr(rng.randrange(*UNSPACED[script])) for _ in range(2000))
+    other = "".join(chr(rng.randrange(*UNSPACED[script])) for _ in range(2000))
+    table = spark.createDataFrame([("front", text[7] + text), ("middle", text[:1000] + text[3] + text[1000:]), ("gone", text[1:]), ("other", other)], "name string, text string").withColumn("base", F.lit(text))
+    table = fingerprint.with_fingerprint(fingerprint.with_fingerprint(table, "text", "f"), "base", "g")
+    near = {r.name: r.near for r in table.withColumn("near", fingerprint.likeness(F.col("f"), F.col("g"))).select("name", "near").collect()}
+    assert min(near["front"], near["middle"], near["gone"]) > 0.9 and near["other"] < 0.2, near
+
+
 # --- language-model score
 
 def test_base_score(docs, rows):

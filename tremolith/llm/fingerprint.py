@@ -1,23 +1,31 @@
 """Order MinHash document fingerprints, sensitive to edit distance.  DataFrame functions only.
 
-A text is read as tokens of up to ``TOKEN`` characters that hold no white space, a k-mer is ``k`` tokens in a row (all of
-them if there are fewer).  The n-th occurrence of a k-mer has a hash of its own, so repeats count.  Hashes fall into
+A text is read as tokens without white space, a k-mer is ``k`` tokens in a row (all of them if there are fewer).  A word of
+up to ``WORD`` characters is a token, unless it has characters of a script that puts no blanks between words.  Other runs are
+cut by their content, behind each character of ``ENDS`` (every character beyond ASCII, and a fixed part of ASCII), so that an
+inserted character moves no other cut; stretches of ``RUN`` characters without one are cut there.  The n-th occurrence of a k-mer has a hash of its own, so repeats count.  Hashes fall into
 ``bins`` ranges; of each the ``l`` least are selected, put back into text order, and hashed as a tuple, so two texts agree
 in a bin only where the same k-mers come in the same order.  Everything happens inside the row, on arrays of longs that
 carry a 32-bit hash and a position, so that sorting is primitive.
 
 A fingerprint has six hex digits for each bin that is not empty: its number and its hash.  ``likeness`` is the share of
-equal bins among those that are not empty in both.
+equal bins among those that are not empty in either.
 
 Defined cases: null counts as empty; texts without tokens have an empty fingerprint and are wholly alike.  Texts that
-differ in white space only have equal fingerprints.  Equal texts have equal fingerprints.
+differ in white space only (ASCII) have equal fingerprints where their words stay words.  Equal texts have equal fingerprints.
+Repeated rows are judged alike; an empty table gives none; other columns are kept, names that begin with ``__`` and the
+output's name are the operator's own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-TOKEN = 8
+WORD, RUN = 24, 32
+# fixed values: Thai and Lao, Burmese, Khmer, East Asian symbols to ideographs, compatibility ideographs, further planes
+NO_BLANKS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+ENDS = r"aeiouAEIOU0-3.,:;/&=_()[^\x00-\x7F]"
+TOKENS = rf"(?<!\S)[\S&&[^{NO_BLANKS}]]{{1,{WORD}}}(?!\S)|\S{{0,{RUN - 1}}}?[{ENDS}]|\S{{1,{RUN}}}"
 WIDTH = 6  # hex digits of a bin: two for its number, four for its hash
 BUCKET = 4096
 _LOW = 0x7FFFFFFF
@@ -48,7 +56,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = 64, k: int
     low = lambda x: x.bitwiseAND(F.lit(_LOW))
     longs = F.array().cast("array<bigint>")
     col = F.col
-    df = df.withColumn(h, F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,%d}" % TOKEN), F.lit(0)), lambda t: F.xxhash64(t)))
+    df = df.withColumn(h, F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
     n = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
     df = df.withColumn(s, F.sort_array(F.transform(F.slice(h, F.lit(1), n), lambda x, i: _packed(F.xxhash64(x, *[F.get(col(h), i + j) for j in range(1, k)]), i))))
     # equal hashes lie together, in text order: the n-th of a run is the n-th occurrence
@@ -73,7 +81,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = 64, k: int
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bins among those that are not empty in both; 1 if all are."""
+    """Share of equal bins among those that are not empty in either; 1 if all are empty."""
     parts = lambda x: F.regexp_extract_all(x, F.lit(".{%d}" % WIDTH), F.lit(0))
     bins = lambda x: F.transform(x, lambda c: F.substring(c, 1, 2))
     return _let(F.struct(parts(a).alias("a"), parts(b).alias("b")), lambda p: _let(F.size(F.array_union(bins(p["a"]), bins(p["b"]))), lambda n: F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / n)))
