@@ -140,14 +140,54 @@ def test_language_limits_ignore_outliers():
     assert (limits >= good.max()).all() and (limits < 2.6).all()
 
 
-def test_kneser_ney_sums_to_one(docs):
-    model = langid.train(docs, F.lit(True), per_lang=20)
-    known = np.unique(np.frombuffer("".join(r.text for r in docs.select("text").where("text is not null").collect()).encode("utf-32-le"), np.uint32))
-    letters = [chr(c) for c in known.tolist() if chr(c).isalpha()]
-    for stem in ("", "t", "the", "enero"):
-        logs, _ = model.word_logs([(stem + c).encode() for c in letters] + [stem.encode() or b"\0"])
-        less, _ = model.word_logs([(stem + c + c2).encode() for c in letters[:1] for c2 in letters])
-        assert np.isfinite(logs).all() and np.isfinite(less).all() and (logs < 0).all()
+def brute_kneser_ney(texts):
+    """log p(character | four before it) by dictionaries of strings; words stand alone, between four blanks and one."""
+    tables = {5: Counter(("    " + w + " ")[i:i + 5] for t in texts for w in letters(t) for i in range(len(w) + 1))}
+    for k in (4, 3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    discount = {}
+    for k, own in tables.items():
+        n1, n2 = (sum(n == x for n in own.values()) for x in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 65536
+        after = {g: n for g, n in tables[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total, d = sum(after.values()), discount[k]
+        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * p(gram[1:])
+    return lambda word: sum(math.log(p(("    " + word + " ")[i:i + 5])) for i in range(len(word) + 1))
+
+
+def letters(t):
+    return [w for w in re.split("[^a-z]+", t) if w]
+
+
+def test_kneser_ney_by_dictionaries(spark):
+    rng = random.Random(8)
+    pools = {"en": ["the", "there", "other", "bother", "mother", "a", "an", "land"], "fr": ["le", "les", "mere", "la", "lande", "entre", "autre"]}
+    rows = [(i, " ".join(rng.choices(pools[lang], k=12)), lang) for i, lang in enumerate(["en", "fr"] * 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = langid._sample(docs, F.lit(True), "doc_id", "text", "lang", 2000, 8_000_000).where("not out").collect()
+    assert 10 < len(fitted) < 30
+    model = langid.train(docs, F.lit(True))
+    probe = ["the", "les", "mothers", "zebra", "t", "entreland"]
+    logs, n = model.shared.value.word_logs([w.encode() for w in probe])
+    assert n.tolist() == [len(w) + 1 for w in probe] and model.langs == ["en", "fr"]
+    for j, lang in enumerate(model.langs):
+        brute = brute_kneser_ney([r.t for r in fitted if r.l == lang])
+        assert np.allclose(logs[:, j], [brute(w) for w in probe], atol=1e-4)
+
+
+def test_language_sample_bounds(spark):
+    docs = spark.createDataFrame([(i % 40 if i % 3 else 7, "word " * (1 + i % 5), "en") for i in range(300)] + [(None, "never learnt", "en"), (1, None, "en")], "doc_id long, text string, lang string")
+    own = lambda *bounds: langid._sample(docs, F.lit(True), "doc_id", "text", "lang", *bounds).collect()
+    assert len(own(25, 10**6)) == 25 and len(own(10**6, 10**6)) == 300 and all("never" not in r.t for r in own(10**6, 10**6))
+    few = [len(r.t) for r in own(10**6, 200)]
+    assert 200 <= sum(few) < 200 + 25  # whole texts until the bound is met
 
 
 # --- toxicity

@@ -1,8 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 Training counts 5-character grams of lower-cased words (four boundary marks before a word, one after) of a bounded,
-documented sample of the labelled rows: at most ``per_lang`` documents of each language, those with the least hash of
-their id.  Lower orders count distinct left extensions.  All languages share sorted arrays of gram hashes per order; each
+documented sample of the labelled rows: at most ``per_lang`` documents of each language and about ``most_chars`` characters
+of whole texts, those with the least hash of their id.  Lower orders count distinct left extensions.  All languages share sorted arrays of gram hashes per order; each
 entry holds the interpolated log probability in every language, each context its back-off weight, so scoring a character
 is one binary search where the full gram is known.  A text's cross-entropy is the mean over its characters and word ends;
 the least one names the language.  Each fifth document of the sample, by its id, is kept out of the fit and calibrates: the
@@ -20,16 +20,20 @@ judged alike; other columns are kept, but one named as the output column is repl
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import text as T
+from .stage import stage
 
 ORDER = 5
+PIECE = 1 << 24
 SPREAD, ENOUGH, LENGTHS, NOISE = 8.0, 8, 24, 6.0
 _SEED = T.seeds(ORDER + 1, 41)
 _KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("n", pa.int64()), ("rejected", pa.bool_())])
@@ -77,7 +81,6 @@ class Model:
     ctx: list[np.ndarray]       # per order: sorted context hashes
     backs: list[np.ndarray]     # per order: log back-off weight by language
     floor: float
-    limits: np.ndarray | None = None  # by language and length
 
     def word_logs(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word by language, and its number of characters with the end."""
@@ -99,6 +102,14 @@ class Model:
         return np.add.reduceat(total, starts, axis=0), np.bincount(word, minlength=len(distinct))
 
 
+@dataclass
+class Trained:
+    """A model that was broadcast once, for calibration and for all texts, and its limits."""
+    langs: list[str]
+    shared: Broadcast
+    limits: np.ndarray  # by language and length
+
+
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Model:
     """From each language's distinct 5-grams: hashes, counts, hashes of their suffix grams and of their contexts."""
     langs = sorted(counts)
@@ -183,7 +194,7 @@ def calibrated(langs: list[str], lang: np.ndarray, n: np.ndarray, entropy: np.nd
     return out
 
 
-def _judge(model: Model | None, slack: float, firm: int):
+def _judge(model: Model | None, limits: np.ndarray | None, slack: float, firm: int):
     def kernel(texts: T.Texts) -> pa.Array:
         if model is None or not model.langs:
             n = len(texts)
@@ -194,29 +205,57 @@ def _judge(model: Model | None, slack: float, firm: int):
         least = h[np.arange(len(h)), best]
         # posterior of the language under equal priors; a long text counts as 200 characters
         score = 1 / np.exp((least[:, None] - h) * np.minimum(n, 200)[:, None]).sum(axis=1)
-        rejected = und if model.limits is None else und | (n >= firm) & (least > model.limits[best, length_class(n)] + slack + NOISE / np.sqrt(np.maximum(n, 1)))
+        rejected = und if limits is None else und | (n >= firm) & (least > limits[best, length_class(n)] + slack + NOISE / np.sqrt(np.maximum(n, 1)))
         names = np.array(model.langs, object)[best]
         names[und] = "und"
         return T.struct(lang=pa.array(names.tolist(), pa.string()), score=np.where(und, 0.0, score), entropy=pa.array(least, mask=und | (n == 0)), n=n, rejected=rejected)
     return kernel
 
 
-def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 2000, most_grams: int = 400_000, firm: int = 40) -> Model | None:
-    """Fit on at most ``per_lang`` rows per language for which ``learn`` holds; ``most_grams`` bounds each model."""
-    spark = docs.sparkSession
-    labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-    # the threshold per language comes from ids alone; texts of the sample are read afterwards
-    # first within 64 parts of each language, as one language may hold most rows
-    part = labelled.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_lang)
-    cut = part.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
-    tops = {r.l: r.top for r in cut.collect()}
-    if not tops:
-        return None
+def _sample(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_lang: int, most_chars: int) -> DataFrame:
+    """(l, t, out) of the rows learnt from, written once: per language those with the least hash of their id, until there are
+    ``per_lang`` of them or those before hold ``most_chars`` characters.  ``out`` marks those kept out of the fit."""
     h = F.xxhash64(F.col(doc_id).cast("string"))
-    inside = F.lit(False)
-    for name, top in tops.items():
-        inside = inside | (F.col(lang) == name) & (h <= top)
-    sample = docs.where(learn & inside & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), (F.pmod(F.xxhash64(F.lit("limit"), h), F.lit(5)) == 0).alias("out"))
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("l"), h.alias("h"), F.col(text).alias("t"))
+    # the greatest hash of a language comes from ids alone, first within 64 parts, as one language may hold most rows
+    part = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_lang)
+    tops = part.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_lang).groupBy(F.col("l").alias("tl")).agg(F.max("h").alias("top"))
+    near = Window.partitionBy("l").orderBy("h", F.xxhash64("t"))
+    own = rows.join(F.broadcast(tops), (F.col("l") == F.col("tl")) & (F.col("h") <= F.col("top"))).select("l", "h", "t")  # one row a language
+    own = own.withColumns({"r": F.row_number().over(near), "ahead": F.sum(F.char_length("t").cast("long")).over(near.rowsBetween(Window.unboundedPreceding, -1))})
+    out = F.pmod(F.xxhash64(F.lit("limit"), "h"), F.lit(5)) == 0
+    return stage(own.where((F.col("r") <= per_lang) & (F.coalesce("ahead", F.lit(0)) < most_chars)).select("l", "t", out.alias("out")), "language-sample")
+
+
+def _fitted(names: list[str]):
+    """The model of all grams, in pieces: it is fitted in one task, which holds no more than the sample has characters."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        del got
+        whose = table["l"].combine_chunks().dictionary_encode()
+        counts = {}
+        for code, name in enumerate(whose.dictionary.to_pylist()):
+            own = table.filter(pa.array(whose.indices.to_numpy() == code)).sort_by("g")
+            u = lambda c: own[c].to_numpy().view(np.uint64)
+            zero = np.zeros(own.num_rows, np.uint64)
+            counts[name] = (u("g"), own["n"].to_numpy(), [zero, *(u(f"s{k}") for k in range(1, ORDER))], [zero, *(u(f"c{k}") for k in range(1, ORDER))])
+        del table
+        data = pickle.dumps(fit(counts), pickle.HIGHEST_PROTOCOL)
+        for at in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([data[at:at + PIECE]], pa.binary())], ["at", "piece"])
+    return body
+
+
+def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 2000, most_chars: int = 8_000_000, firm: int = 40) -> Trained | None:
+    """Fit on at most ``per_lang`` rows and about ``most_chars`` characters per language for which ``learn`` holds.
+
+    All grams of the sample count.  They are counted by Spark and fitted in one task; the driver takes the fitted arrays to
+    broadcast them, and the limits.
+    """
+    sample = _sample(docs, learn, doc_id, text, lang, per_lang, most_chars)
     names = [f"s{k}" for k in range(1, ORDER)] + [f"c{k}" for k in range(1, ORDER)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,27 +283,21 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
             T.release()
     parts = sample.where("not out").select("l", "t").mapInArrow(count, "l string, g long, n long, " + ", ".join(f"{x} long" for x in names))
     grams = parts.groupBy("l", "g").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in names])
-    ranked = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= most_grams).drop("r")
-    table = ranked.toArrow()
-    counts = {}
-    whose = np.array(table["l"].to_pylist(), object)
-    for name in sorted(set(whose)):
-        own = table.filter(pa.array(whose == name))
-        u = lambda c: own[c].to_numpy().view(np.uint64)
-        zero = np.zeros(own.num_rows, np.uint64)
-        counts[name] = (u("g"), own["n"].to_numpy(), [zero, *(u(f"s{k}") for k in range(1, ORDER))], [zero, *(u(f"c{k}") for k in range(1, ORDER))])
-    if not counts:
+    pieces = grams.repartition(1).mapInArrow(_fitted(names), "at long, piece binary").collect()
+    if not pieces:
         return None
-    model = fit(counts)
-    shared = spark.sparkContext.broadcast(model)
-    judged = sample.where("out").withColumn("j", T.column_udf(lambda: _judge(shared.value, 0.0, firm), _KIND, RESULT)("t")).where((F.col("j.n") >= firm) & (F.col("j.lang") == F.col("l")))
+    model = pickle.loads(b"".join(bytes(r.piece) for r in sorted(pieces, key=lambda r: r["at"])))
+    del pieces
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs = model.langs
+    del model  # workers hold it from here on
+    judged = sample.where("out").withColumn("j", T.column_udf(lambda: _judge(shared.value, None, 0.0, firm), _KIND, RESULT)("t")).where((F.col("j.n") >= firm) & (F.col("j.lang") == F.col("l")))
     held = judged.select("l", "j.n", "j.entropy").toArrow()
-    model.limits = calibrated(model.langs, np.array(held["l"].to_pylist(), object), held["n"].to_numpy(), held["entropy"].to_numpy())
-    return model
+    return Trained(langs, shared, calibrated(langs, np.array(held["l"].to_pylist(), object), held["n"].to_numpy(), held["entropy"].to_numpy()))
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language", slack: float = 0.75, firm: int = 40) -> DataFrame:
+def identify(docs: DataFrame, model: Trained | None, text: str = "text", out: str = "language", slack: float = 0.75, firm: int = 40) -> DataFrame:
     """``docs`` with a struct ``out``: lang, score (0 to 1), entropy (nats a character), n (characters), rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    judge = T.column_udf(lambda: _judge(shared.value, slack, firm), _KIND, RESULT)
+    shared, limits = (None, None) if model is None else (model.shared, model.limits)
+    judge = T.column_udf(lambda: _judge(None if shared is None else shared.value, limits, slack, firm), _KIND, RESULT)
     return docs.drop(out).withColumn(out, judge(F.col(text)))
