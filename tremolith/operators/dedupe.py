@@ -118,10 +118,14 @@ def cap_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
 
 
 def upsert_latest(target: DataFrame, updates: DataFrame, keys: list[str], revision: str) -> DataFrame:
-    """Highest revision per key over both inputs."""
-    both = target.unionByName(updates)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), revision).alias("r")).select(*keys, "r.*")
+    """Highest revision per key over both inputs.
+
+    Of equal revisions an update replaces the target's row; of those of one side the greatest in its other columns counts.
+    """
+    both = target.withColumn("__update", F.lit(0)).unionByName(updates.withColumn("__update", F.lit(1)))
+    rest = [c for c in target.columns if c not in keys]
+    place = F.struct(revision, "__update", *[c for c in rest if c != revision])
+    return both.groupBy(*keys).agg(F.max(place).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
 
 
 def unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

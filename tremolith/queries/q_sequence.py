@@ -302,12 +302,13 @@ def c08_set(spark, sf):
     return dd.set_digest(table(spark, sf, "customer"), ["c_nationkey", "c_custkey", "c_mktsegment"], ["c_nationkey"])
 
 
-@query("c10_upsert_latest", f"""with {sql.POINTS}, b as (select asset, seq as revision, score from points union all select asset, seq + 500, -1.0 from points where k % 10 = 0)
-  select asset, revision, score from b qualify row_number() over (partition by asset order by revision desc) = 1""")
+@query("c10_upsert_latest", f"""with {sql.POINTS}, b as (select asset, seq as revision, score, 0 as from_update from points union all select asset, seq + 500, -1.0, 1 from points where k % 10 = 0)
+  select asset, revision, score from b qualify row_number() over (partition by asset order by revision desc nulls last, from_update desc, score desc nulls last) = 1""")
 def c10(spark, sf):
+    """Of equal revisions the update counts, then the higher score."""
     p = points(spark, sf)
     return dd.upsert_latest(p.select("asset", F.col("seq").alias("revision"), "score"),
-                            p.filter("k % 10 = 0").select("asset", (F.col("seq") + 500.5).cast("long").alias("revision"), F.lit(-1.0).alias("score")),
+                            p.filter("k % 10 = 0").select("asset", (F.col("seq") + 500).alias("revision"), F.lit(-1.0).alias("score")),
                             ["asset"], "revision")
 
 
