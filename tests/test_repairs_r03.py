@@ -2,8 +2,10 @@
 
 from itertools import permutations
 
-from pyspark.sql import functions as F
+import duckdb
 
+import __spark_entry__ as entry
+from tests.compare import differs
 from tremolith.operators import dedupe as dd
 
 
@@ -15,3 +17,13 @@ def test_upsert_ties_go_to_the_update(spark):
     for rows in list(permutations(target))[::90]:
         got = {r.k: (r.revision, r.score) for r in dd.upsert_latest(spark.createDataFrame(list(rows), schema).coalesce(1), updates, ["k"], "revision").collect()}
         assert got == {1: (7, -1.0), 2: (9, 5.0), 3: (1, 2.0), None: (4, -1.0)}
+
+
+def test_export_holds_late_measurements(spark, tmp_path):
+    """Snapshots captured more than 31 days after the first are exported like all others."""
+    ids = [8, 9, 107_136, 107_137, 5_000_001]
+    spark.createDataFrame([(i, [0.25 * j - i % 3 for j in range(64)], 3) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = entry.queries()["s12_measurement_export"](spark, str(tmp_path))
+    assert differs(got, con, entry.oracle_sql()["s12_measurement_export"]) == (None, len(ids))

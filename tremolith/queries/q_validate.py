@@ -461,10 +461,12 @@ def s11(spark, sf):
 
 @query("s12_measurement_export", f"""with {sql.SNAPSHOTS} select vec_id as device_id, case when vec_id % 8 > 0 then round(x[1], 6) + 0.0 end as cf_a_1, case when vec_id % 8 > 0 then round(x[9], 6) + 0.0 end as ku_a_3 from snapshots where stream = 3""")
 def s12(spark, sf):
+    """All measurements of one asset, from the first to the last one captured."""
     s = snapshots(spark, sf).select(F.lit("S").alias("site_id"), F.col("stream").cast("string").alias("asset_id"), F.col("vec_id").alias("device_id"), F.col("vec_id").alias("ordinal"), (F.col("vec_id") * 25_000_000).alias("captured_us"),
                                     F.when(F.col("vec_id") % 8 > 0, "valid").otherwise("invalid").alias("quality"), *[F.col("x")[i].alias(n) for i, n in enumerate(va.FEATURES9)],
                                     *[F.lit(None).cast("string").alias(c) for c in ("sensor_id", "measured_at", "received_at", "profile_id", "reason", "vibration_rms_g", "dominant_frequency_hz", "rms_status", "frequency_status")])
-    e = sk.export_measurements(s, "S", "3", 0, 31 * DAY_US)
+    ends = s.agg(F.min("captured_us").alias("low"), F.max("captured_us").alias("high")).first()
+    e = sk.export_measurements(s, "S", "3", ends.low or 0, ends.high or 0)
     return e.select("device_id", r6("cf_a_1").alias("cf_a_1"), r6("ku_a_3").alias("ku_a_3"))
 
 
