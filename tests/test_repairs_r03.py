@@ -1,12 +1,14 @@
 """Cases of the third review that used to give wrong answers or grew too fast."""
 
+import random
 from itertools import permutations
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.compare import differs
-from tremolith.operators import dedupe as dd
+from tremolith.operators import alerts as al, dedupe as dd, joins as jn
 
 
 def test_upsert_ties_go_to_the_update(spark):
@@ -27,3 +29,46 @@ def test_export_holds_late_measurements(spark, tmp_path):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     got = entry.queries()["s12_measurement_export"](spark, str(tmp_path))
     assert differs(got, con, entry.oracle_sql()["s12_measurement_export"]) == (None, len(ids))
+
+
+def _scopes(spark, n_policies=40):
+    r = random.Random(5)
+    some = lambda values: r.choice([[], r.sample(values, r.randrange(1, 4))])
+    events = [(i, r.choice(["a", "b", "c", "*", None]), r.choice(["x", "y", "z"]), r.choice(["w", "c"]), r.random() < 0.3, f"{r.randrange(24):02d}:{r.randrange(60):02d}") for i in range(120)]
+    policies = [(i, r.choice("wc"), some(["a", "b", "c", "*"]), some(["x", "y", "z"]), some(["a", "b", "c"]), "06:00" if i % 2 else "22:00", "18:30" if i % 2 else "05:59", r.random() < 0.8,
+                 ["web", "email"], ["u"]) for i in range(n_policies)]
+    e = spark.createDataFrame(events, "event_id long, site string, asset string, severity string, reviewed boolean, minute string")
+    p = spark.createDataFrame(policies, "policy_id long, severity string, site_ids array<string>, asset_ids array<string>, scope_site_ids array<string>, work_start string, work_end string, enabled boolean, "
+                              "channels array<string>, recipients array<string>")
+    want = {}
+    for i, site, asset, severity, reviewed, at in events:
+        for k, s, sites, assets, scope, start, end, enabled, *_ in policies:
+            if s == severity and all(not some or x in some for some, x in ((sites, site), (assets, asset), (scope, site))):
+                inside = start <= at <= end if start <= end else at >= start or at <= end
+                want[k, i] = "disabled" if not enabled else "reviewed" if reviewed else None if inside else "outside_work_hours"
+    return e, p, want
+
+
+def test_policies_in_blocks_meet_every_event(spark, monkeypatch):
+    """Against loops: policies in several broadcast blocks, events over many tasks, any-scopes, a site that is called ``*``."""
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(jn, "TASK_PAIRS", 50, raising=False)
+    e, p, want = _scopes(spark)
+    m = al.match_policies(e, p, F.col("minute"))
+    got = [((r.policy_id, r.event_id), r.suppressed) for r in m.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert m.rdd.getNumPartitions() > 8
+
+
+def test_policy_reasons_list_no_pair(spark):
+    e, p, want = _scopes(spark)
+    for r in al.policy_reason(e, p, F.col("minute")).collect():
+        mine = [v for (k, _), v in want.items() if k == r.policy_id]
+        assert (r.in_scope, r.deliver, r.disabled, r.reviewed, r.outside_work_hours, r.mismatch) == (
+            len(mine), mine.count(None), mine.count("disabled"), mine.count("reviewed"), mine.count("outside_work_hours"), 120 - len(mine))
+
+
+def test_deliveries_are_not_shuffled(spark):
+    df = entry.queries()["n02_plan_deliveries"](spark, "/root/testdata/sf0.001")
+    assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
