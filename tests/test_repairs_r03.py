@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.compare import differs
 from tremolith.operators import alerts as al, dedupe as dd, joins as jn
+from tremolith.streaming import pipeline as pl, streams as st
 
 
 def test_upsert_ties_go_to_the_update(spark):
@@ -72,3 +73,20 @@ def test_deliveries_are_not_shuffled(spark):
     df = entry.queries()["n02_plan_deliveries"](spark, "/root/testdata/sf0.001")
     assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_processors_take_many_keys_at_once(spark, tmp_path):
+    """Assets and devices share calls of the processors, one micro-batch lies in several files, and each key keeps its own state."""
+    st.use_rocksdb(spark)
+    made = []
+    rows = [(f"a{i % 600}", "live", f"D{i % 600}", i, 1_000_000 * i, i, 90.0, False, "m", "accepted") for i in range(2400)]
+    p = spark.createDataFrame(rows, "asset string, lane string, device string, seq long, t_us long, arrival long, score double, fault boolean, model string, disposition string").repartition(4)
+    s = pl.by_shard(p, "asset", "lane")
+    assert s._df.select("shard").distinct().count() <= pl.SHARDS < 600
+    rules = spark.range(600).select(F.concat(F.lit("a"), "id").alias("asset"), F.lit(0).cast("long").alias("from_us"), F.lit(1).cast("long").alias("version"), F.lit(True).alias("active"), F.lit(75.0).alias("score_enter"),
+                                    F.lit(50.0).alias("score_exit"), F.lit(2).alias("n_enter"), F.lit(2).alias("n_exit"), F.lit(0.0).alias("sec_enter"), F.lit(0.0).alias("sec_exit"), F.lit(30).alias("merge_gap_sec"))
+    for part in ("seq < 1200", "seq >= 1200"):
+        p.where(part).write.mode("append").parquet(f"{tmp_path}/in")
+        made.append(st.drain(pl.lifecycle_stream(spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in"), None, rules), f"{tmp_path}/run"))
+    kinds = {(r.kind, r.n) for r in made[-1].groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {("quiet", 600), ("started", 600), ("updated", 1200)}

@@ -102,11 +102,10 @@ def g10_keyed(spark, sf):
 _SPLIT = q_rules._T0 + 10 * q_rules._DAY  # no second rule starts before
 
 
-def _files(df, root, name, cuts):
-    """Rows as files of one stream, one file a micro-batch; ``cuts`` gives each row its file."""
-    for n in sorted(r[0] for r in df.select(cuts.alias("n")).distinct().collect()):
-        df.where(cuts == n).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
-    return df.schema
+def _send(df, root, name, run):
+    """Rows as one micro-batch of a stream, of as many files as they have partitions; ``run`` takes it in and stops."""
+    df.write.mode("append").parquet(f"{root}/{name}")
+    run()
 
 
 def _ruled_points(spark, sf):
@@ -119,7 +118,7 @@ _EVENTS = ["asset", "event_no", "start_us", "end_us", "end_reason", "max_score",
 
 
 def _source(spark, root, name, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+    return spark.readStream.schema(schema).parquet(f"{root}/{name}")
 
 
 def _of(updates, *more):
@@ -128,19 +127,19 @@ def _of(updates, *more):
 
 @query("t08_stream_rule_change", f"with {q_rules.LIFECYCLE} select {', '.join(_EVENTS)} from ruled")
 def t08(spark, sf):
-    """Second versions of the rules arrive on their own stream between two runs; the first ones are the initial state."""
+    """Second versions of the rules arrive on their own stream with the third of four micro-batches; the first ones are the initial state."""
     st.use_rocksdb(spark)
     root = st.scratch(spark, "rule-change")
     p, rules = _ruled_points(spark, sf), q_rules.rule_table(spark, sf)
     early = F.col("t_us") < _SPLIT
-    schema = _files(p.where(early), root, "points", (F.col("t_us") > _SPLIT - 5 * q_rules._DAY).cast("int"))
     rules.limit(0).write.parquet(f"{root}/rules")
-    log = lambda: pl.lifecycle_stream(_source(spark, root, "points", schema), _source(spark, root, "rules", rules.schema), rules.where("version = 1"))
     write = st.idempotent_sink(f"{root}/tables", pl.log_tables)
-    st.drain_batches(log(), root, write, "append")
-    rules.where("version = 2").coalesce(1).write.mode("append").parquet(f"{root}/rules")
-    _files(p.where(~early), root, "points", (F.col("t_us") > _SPLIT + 10 * q_rules._DAY).cast("int"))
-    st.drain_batches(log(), root, write, "append")
+    run = lambda: st.drain_batches(pl.lifecycle_stream(_source(spark, root, "points", p.schema), _source(spark, root, "rules", rules.schema), rules.where("version = 1")), root, write, "append")
+    for part, middle in ((early, _SPLIT - 5 * q_rules._DAY), (~early, _SPLIT + 10 * q_rules._DAY)):
+        if part is not early:
+            rules.where("version = 2").write.mode("append").parquet(f"{root}/rules")
+        for late in (False, True):
+            _send(p.where(part & ((F.col("t_us") > middle) == late)), root, "points", run)
     return _of(spark.read.parquet(f"{root}/tables/updates"))
 
 
@@ -169,7 +168,7 @@ def telemetry_lines(spark, sf):
 
 @query("t01_stream_pipeline", f"""with {_SCORED}{q_rules.OVER_POINTS} select {', '.join(_EVENTS)} from ruled""")
 def t01_pipeline(spark, sf):
-    """Lines to events in one query: four micro-batches, a restart after two, repeated and contradicting lines, new rules."""
+    """Lines to events in one query: four micro-batches, a restart after each, repeated and contradicting lines, new rules."""
     st.use_rocksdb(spark)
     root, updates = _pipeline(spark, sf)
     return _of(updates["updates"])
@@ -185,12 +184,11 @@ def _pipeline(spark, sf):
     write = st.idempotent_sink(f"{root}/tables", pl.log_tables)
     for first in (True, False):
         if not first:
-            rules.where("version = 2").coalesce(1).write.mode("append").parquet(f"{root}/rules")
+            rules.where("version = 2").write.mode("append").parquet(f"{root}/rules")
         part = lines.where(early == first)
         middle = F.col("t_us") > _SPLIT + (-5 if first else 10) * q_rules._DAY
         for late in (False, True):
-            part.where(middle == late).select(*keep).coalesce(1).write.mode("append").parquet(f"{root}/lines")
-        st.drain_batches(log(), root, write, "append")
+            _send(part.where(middle == late).select(*keep), root, "lines", lambda: st.drain_batches(log(), root, write, "append"))
     return root, {n: spark.read.parquet(f"{root}/tables/{n}") for n in ("updates", "late", "repeated", "quarantine", "quiet")}
 
 
@@ -221,10 +219,10 @@ def t03_conflicts(spark, sf):
     p = _ruled_points(spark, sf).join(points(spark, sf).select("seq", "k", F.col("value").alias("v")), "seq").withColumn("value", F.col("v"))
     again = lambda n, where, value: p.where(where).withColumns({"arrival": F.col("arrival") + n * 1_000_000_000, "value": value})
     names = [f.split()[0] for f in pl.POINT.split(", ")]
+    run = lambda: st.drain(pl.dedupe_stream(_source(spark, root, "in", p.select(*names).schema), F.sha2(F.col("value").cast("string"), 256)), root + "/run")
     for part in (p, again(1, "k % 10 in (3, 4)", F.when(F.col("k") % 10 == 4, F.col("v") + 1).otherwise(F.col("v"))), again(2, "k % 10 = 4", F.col("v"))):
-        part.select(*names).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    s = _source(spark, root, "in", p.select(*names).schema)
-    out = st.drain(pl.dedupe_stream(s, F.sha2(F.col("value").cast("string"), 256)), root + "/run")
+        _send(part.select(*names), root, "in", run)
+    out = spark.read.schema(pl.SEEN).parquet(f"{root}/run/out")
     return out.select(F.col("asset").cast("long").alias("asset"), "seq", F.floor(F.col("arrival") / 1_000_000_000).cast("int").alias("again"), "disposition")
 
 
@@ -237,10 +235,10 @@ def t02_late(spark, sf):
     st.use_rocksdb(spark)
     root = st.scratch(spark, "late")
     p = _ruled_points(spark, sf).join(points(spark, sf).select("seq", "k"), "seq")
+    write = st.idempotent_sink(f"{root}/tables", lambda b: {"late": b.where("kind = 'late'"), "accepted": b.where("kind <> 'late'")})
+    log = lambda: pl.lifecycle_stream(_source(spark, root, "in", p.drop("k").schema), None, q_rules.rule_table(spark, sf).where("version = 1"))
     for part in (p.where(f"k % 9 <> 0 and t_us < {_SPLIT}"), p.where(f"k % 9 <> 0 and t_us >= {_SPLIT}"), p.where("k % 9 = 0")):
-        part.drop("k").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    log = pl.lifecycle_stream(_source(spark, root, "in", p.drop("k").schema), None, q_rules.rule_table(spark, sf).where("version = 1"))
-    st.drain_batches(log, root, st.idempotent_sink(f"{root}/tables", lambda b: {"late": b.where("kind = 'late'"), "accepted": b.where("kind <> 'late'")}), "append")
+        _send(part.drop("k"), root, "in", lambda: st.drain_batches(log(), root, write, "append"))
     read = lambda n: spark.read.parquet(f"{root}/tables/{n}").select(F.col("asset").cast("long").alias("asset"), "seq", F.lit(n).alias("sink"))
     return read("late").unionByName(read("accepted"))
 
@@ -255,8 +253,8 @@ def t09(spark, sf):
     st.use_rocksdb(spark)
     root = st.scratch(spark, "lanes")
     p = _ruled_points(spark, sf)
+    write = st.idempotent_sink(f"{root}/tables", pl.log_tables)
+    log = lambda: pl.lifecycle_stream(_source(spark, root, "in", p.schema), None, q_rules.rule_table(spark, sf), ("live", "history"))
     for part in (p, p.where(F.col("t_us") < _SPLIT).withColumn("lane", F.lit("history"))):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    log = pl.lifecycle_stream(_source(spark, root, "in", p.schema), None, q_rules.rule_table(spark, sf), ("live", "history"))
-    st.drain_batches(log, root, st.idempotent_sink(f"{root}/tables", pl.log_tables), "append")
+        _send(part, root, "in", lambda: st.drain_batches(log(), root, write, "append"))
     return _of(spark.read.parquet(f"{root}/tables/updates"), "lane")

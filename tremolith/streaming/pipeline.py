@@ -11,9 +11,11 @@ from __future__ import annotations
 import json
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.rules import RULE
@@ -24,6 +26,8 @@ POINT = "asset string, lane string, device string, seq long, t_us long, value do
 SEEN = POINT + ", disposition string, evicted long"
 LOG = ("asset string, lane string, device string, seq long, t_us long, arrival long, score double, kind string, event_no long, revision long, start_us long, end_us long, end_reason string, "
        "max_score double, max_model string, samples long, merge_count long, last_score double, rule_version long, model string, trigger_seq long, trigger_us long, trigger_score double")
+#: Groups of keys that a stateful processor takes at once; log rows that it hands on at once.
+SHARDS, MOST_OUT = 128, 20_000
 #: Log rows that carry an event as it then stands.
 EVENT_KINDS = ("started", "merged", "updated", "closed")
 
@@ -32,6 +36,12 @@ def _names(ddl: str) -> list[str]:
     return [f.split()[0] for f in ddl.split(", ")]
 
 
+def by_shard(df: DataFrame, *keys: str) -> GroupedData:
+    """Rows grouped for a stateful processor that takes SHARDS groups of keys.  What a call costs beside its rows is paid once a
+    shard; the state of each key is an entry of its own in the shard's map."""
+    return df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int")).groupBy("shard")
+
+
 class ConflictDedupe(StatefulProcessor):
     """First content of each (device, sequence) is accepted, the same again is a duplicate, other content a conflict.
 
@@ -43,35 +53,28 @@ class ConflictDedupe(StatefulProcessor):
         self.bound = bound
 
     def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "seq long", "digest string, used long")
-        self.clock = handle.getValueState("clock", "used long, evicted long")
+        self.memory = handle.getMapState("memory", "device string", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used, evicted = self.clock.get() if self.clock.exists() else (0, 0)
-        stored = {k[0]: v for k, v in self.seen.iterator()}
-        known = OrderedDict(sorted(((s, d) for s, (d, _) in stored.items()), key=lambda e: stored[e[0]][1]))
-        touched, batch = {}, pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["device", "arrival"], kind="stable")
         dispositions, gone = [], []
-        for seq, digest in zip(batch["seq"].tolist(), batch["digest"].tolist()):
-            before = known.get(seq)
-            dispositions.append("accepted" if before is None else "duplicate" if before == digest else "conflict")
-            if before is None or before == digest:
-                used += 1
-                known[seq] = digest
-                known.move_to_end(seq)
-                touched[seq] = used
-                if len(known) > self.bound:
-                    old, _ = known.popitem(last=False)
-                    touched.pop(old, None)
-                    evicted += 1
-            gone.append(evicted)
-        for seq, at in touched.items():
-            self.seen.updateValue((seq,), (known[seq], at))
-        for seq in stored:
-            if seq not in known:
-                self.seen.removeKey((seq,))
-        self.clock.update((used, evicted))
-        yield batch.assign(disposition=dispositions, evicted=gone)[_names(SEEN)]
+        for device, own in groupby(zip(batch["device"].tolist(), batch["seq"].tolist(), batch["digest"].tolist()), key=itemgetter(0)):
+            # the sequences of a device, the one not used for longest first
+            stored, evicted = json.loads(self.memory.getValue((device,))[0]) if self.memory.containsKey((device,)) else ([], 0)
+            known = OrderedDict(stored)
+            for _, seq, digest in own:
+                before = known.get(seq)
+                dispositions.append("accepted" if before is None else "duplicate" if before == digest else "conflict")
+                if before is None or before == digest:
+                    known[seq] = digest
+                    known.move_to_end(seq)
+                    if len(known) > self.bound:
+                        known.popitem(last=False)
+                        evicted += 1
+                gone.append(evicted)
+            self.memory.updateValue((device,), (json.dumps([list(known.items()), evicted]),))
+        batch = batch.assign(disposition=dispositions, evicted=gone)
+        yield batch[_names(SEEN)]
 
     def close(self) -> None:
         pass
@@ -79,11 +82,11 @@ class ConflictDedupe(StatefulProcessor):
 
 def dedupe_stream(points: DataFrame, digest: Column, bound: int = 1024) -> DataFrame:
     """``points`` (see POINT) with ``disposition`` and ``evicted``; state is kept by device."""
-    return points.select(*_names(POINT), digest.alias("digest")).groupBy("device").transformWithStateInPandas(ConflictDedupe(bound), SEEN, "Append", "None")
+    return by_shard(points.select(*_names(POINT), digest.alias("digest")), "device").transformWithStateInPandas(ConflictDedupe(bound), SEEN, "Append", "None")
 
 
 class RuledLifecycle(StatefulProcessor):
-    """Events of one (asset, lane) from points and rules that arrive in the same stream.
+    """Events of each (asset, lane) from points and rules that arrive in the same stream.
 
     Rule rows of a micro-batch are learnt before its points; a point falls under the latest rule that applies at its time.  A
     new rule resets the pending entry and the exit run and keeps an open event.  Points go in (time, sequence) order within a
@@ -91,40 +94,56 @@ class RuledLifecycle(StatefulProcessor):
     """
 
     def init(self, handle) -> None:
-        self.memory = handle.getValueState("memory", "body string")
+        self.memory = handle.getMapState("memory", "asset string, lane string", "body string")
+
+    def _state(self, key: tuple) -> dict:
+        return json.loads(self.memory.getValue(key)[0]) if self.memory.containsKey(key) else {"rules": []}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        s = {"rules": []}
-        self._learn(s, initialState)
-        self.memory.update((json.dumps(s),))
+        for own, rules in self._rules(initialState).items():
+            s = self._state(own)
+            s["rules"] = sorted(s["rules"] + rules)
+            self.memory.updateValue(own, (json.dumps(s),))
 
     @staticmethod
-    def _learn(s: dict, rows: pd.DataFrame) -> None:
-        for r in rows[["from_us", *RULE]].itertuples(index=False):
-            s["rules"].append([int(r.from_us), int(r.version), bool(r.active), float(r.score_enter), float(r.score_exit), int(r.n_enter), int(r.n_exit), float(r.sec_enter), float(r.sec_exit), int(r.merge_gap_sec)])
-        s["rules"].sort()
+    def _rules(rows: pd.DataFrame) -> dict[tuple, list]:
+        """The rules of each (asset, lane)."""
+        found: dict[tuple, list] = {}
+        for r in rows[["asset", "lane", "from_us", *RULE]].itertuples(index=False):
+            found.setdefault((r.asset, r.lane), []).append([int(r.from_us), int(r.version), bool(r.active), float(r.score_enter), float(r.score_exit), int(r.n_enter), int(r.n_exit), float(r.sec_enter), float(r.sec_exit),
+                                                            int(r.merge_gap_sec)])
+        return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.memory.get()[0]) if self.memory.exists() else {"rules": []}
         batch = pd.concat(list(rows))
-        self._learn(s, batch[batch["from_us"].notna()])
-        points = batch[batch["from_us"].isna()].sort_values(["t_us", "seq", "arrival"])
+        learnt = self._rules(batch[batch["from_us"].notna()])
+        points = batch[batch["from_us"].isna()].sort_values(["asset", "lane", "t_us", "seq", "arrival"])
         out = []
-        fields = ["device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition"]
-        for device, seq, t, arrival, score, fault, model, disposition in zip(*[points[f].tolist() for f in fields]):
-            seq, t, arrival = int(seq), int(t), int(arrival)
-            event, kind = None, disposition
-            if disposition == "accepted":
-                if s.get("last") is not None and [t, seq] <= s["last"]:
-                    kind = "late"
-                else:
-                    kind, event = self._point(s, t, seq, score, bool(fault), model)
-            out.append(self._row(key, device, seq, t, arrival, score, kind, event))
-        # rules that no later point can fall under are forgotten
-        if s.get("last"):
-            past = [r for r in s["rules"] if r[0] <= s["last"][0]]
-            s["rules"] = past[-1:] + [r for r in s["rules"] if r[0] > s["last"][0]]
-        self.memory.update((json.dumps(s),))
+        fields = ["asset", "lane", "device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition"]
+        for own, mine in groupby(zip(*[points[f].tolist() for f in fields]), key=itemgetter(0, 1)):
+            s = self._state(own)
+            s["rules"] = sorted(s["rules"] + learnt.pop(own, []))
+            for _, _, device, seq, t, arrival, score, fault, model, disposition in mine:
+                seq, t, arrival = int(seq), int(t), int(arrival)
+                event, kind = None, disposition
+                if disposition == "accepted":
+                    if s.get("last") is not None and [t, seq] <= s["last"]:
+                        kind = "late"
+                    else:
+                        kind, event = self._point(s, t, seq, score, bool(fault), model)
+                out.append(self._row(own, device, seq, t, arrival, score, kind, event))
+                if len(out) == MOST_OUT:
+                    yield pd.DataFrame(out, columns=_names(LOG), dtype=object)
+                    out = []
+            # rules that no later point can fall under are forgotten
+            if s.get("last"):
+                past = [r for r in s["rules"] if r[0] <= s["last"][0]]
+                s["rules"] = past[-1:] + [r for r in s["rules"] if r[0] > s["last"][0]]
+            self.memory.updateValue(own, (json.dumps(s),))
+        for own, rules in learnt.items():
+            s = self._state(own)
+            s["rules"] = sorted(s["rules"] + rules)
+            self.memory.updateValue(own, (json.dumps(s),))
         yield pd.DataFrame(out, columns=_names(LOG), dtype=object)
 
     def _point(self, s: dict, t: int, seq: int, score, fault: bool, model) -> tuple[str, dict | None]:
@@ -209,8 +228,8 @@ def lifecycle_stream(points: DataFrame, rules: DataFrame | None = None, known: D
     both = both.select("*", *[F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds.split(", ")])
     if rules is not None:
         both = both.unionByName(of_lane(rules), allowMissingColumns=True)
-    start = None if known is None else of_lane(known).groupBy("asset", "lane")
-    return both.groupBy("asset", "lane").transformWithStateInPandas(RuledLifecycle(), LOG, "Append", "None", start)
+    start = None if known is None else by_shard(of_lane(known), "asset", "lane")
+    return by_shard(both, "asset", "lane").transformWithStateInPandas(RuledLifecycle(), LOG, "Append", "None", start)
 
 
 def telemetry_stream(lines: DataFrame, now_us: Column, mean: float, std: float, sigma: float, rules: DataFrame | None = None, known: DataFrame | None = None, retention_days: int = 30, bound: int = 1024,
