@@ -38,10 +38,20 @@ def _names(ddl: str) -> list[str]:
 
 def by_shard(df: DataFrame, *keys: str) -> GroupedData:
     """Rows grouped for a stateful processor that takes SHARDS groups of keys.  What a call costs beside its rows is paid once a
-    shard; the state of each key is an entry of its own in the shard's map."""
+    shard; the state of each key is an element of the shard's list, read and written at once."""
     return df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int")).groupBy("shard")
 
 
+def _stored(state) -> dict[tuple, str]:
+    """The body of each key in a list of (key..., body)."""
+    return {tuple(e[:-1]): e[-1] for e in state.get()} if state.exists() else {}
+
+
+def _store(state, bodies: dict[tuple, str]) -> None:
+    if bodies:
+        state.put([(*key, body) for key, body in bodies.items()])
+
+
 class ConflictDedupe(StatefulProcessor):
     """First content of each (device, sequence) is accepted, the same again is a duplicate, other content a conflict.
 
@@ -53,14 +63,14 @@ class ConflictDedupe(StatefulProcessor):
         self.bound = bound
 
     def init(self, handle) -> None:
-        self.memory = handle.getMapState("memory", "device string", "body string")
+        self.memory = handle.getListState("memory", "device string, body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["device", "arrival"], kind="stable")
-        dispositions, gone = [], []
+        bodies, dispositions, gone = _stored(self.memory), [], []
         for device, own in groupby(zip(batch["device"].tolist(), batch["seq"].tolist(), batch["digest"].tolist()), key=itemgetter(0)):
             # the sequences of a device, the one not used for longest first
-            stored, evicted = json.loads(self.memory.getValue((device,))[0]) if self.memory.containsKey((device,)) else ([], 0)
+            stored, evicted = json.loads(bodies[device,]) if (device,) in bodies else ([], 0)
             known = OrderedDict(stored)
             for _, seq, digest in own:
                 before = known.get(seq)
@@ -72,7 +82,8 @@ class ConflictDedupe(StatefulProcessor):
                         known.popitem(last=False)
                         evicted += 1
                 gone.append(evicted)
-            self.memory.updateValue((device,), (json.dumps([list(known.items()), evicted]),))
+            bodies[device,] = json.dumps([list(known.items()), evicted])
+        _store(self.memory, bodies)
         batch = batch.assign(disposition=dispositions, evicted=gone)
         yield batch[_names(SEEN)]
 
@@ -94,16 +105,19 @@ class RuledLifecycle(StatefulProcessor):
     """
 
     def init(self, handle) -> None:
-        self.memory = handle.getMapState("memory", "asset string, lane string", "body string")
+        self.memory = handle.getListState("memory", "asset string, lane string, body string")
 
-    def _state(self, key: tuple) -> dict:
-        return json.loads(self.memory.getValue(key)[0]) if self.memory.containsKey(key) else {"rules": []}
+    @staticmethod
+    def _learn(bodies: dict[tuple, str], own: tuple, rules: list) -> dict:
+        s = json.loads(bodies[own]) if own in bodies else {"rules": []}
+        s["rules"] = sorted(s["rules"] + rules)
+        return s
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        bodies = _stored(self.memory)
         for own, rules in self._rules(initialState).items():
-            s = self._state(own)
-            s["rules"] = sorted(s["rules"] + rules)
-            self.memory.updateValue(own, (json.dumps(s),))
+            bodies[own] = json.dumps(self._learn(bodies, own, rules))
+        _store(self.memory, bodies)
 
     @staticmethod
     def _rules(rows: pd.DataFrame) -> dict[tuple, list]:
@@ -118,11 +132,10 @@ class RuledLifecycle(StatefulProcessor):
         batch = pd.concat(list(rows))
         learnt = self._rules(batch[batch["from_us"].notna()])
         points = batch[batch["from_us"].isna()].sort_values(["asset", "lane", "t_us", "seq", "arrival"])
-        out = []
+        bodies, out = _stored(self.memory), []
         fields = ["asset", "lane", "device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition"]
         for own, mine in groupby(zip(*[points[f].tolist() for f in fields]), key=itemgetter(0, 1)):
-            s = self._state(own)
-            s["rules"] = sorted(s["rules"] + learnt.pop(own, []))
+            s = self._learn(bodies, own, learnt.pop(own, []))
             for _, _, device, seq, t, arrival, score, fault, model, disposition in mine:
                 seq, t, arrival = int(seq), int(t), int(arrival)
                 event, kind = None, disposition
@@ -139,11 +152,10 @@ class RuledLifecycle(StatefulProcessor):
             if s.get("last"):
                 past = [r for r in s["rules"] if r[0] <= s["last"][0]]
                 s["rules"] = past[-1:] + [r for r in s["rules"] if r[0] > s["last"][0]]
-            self.memory.updateValue(own, (json.dumps(s),))
+            bodies[own] = json.dumps(s)
         for own, rules in learnt.items():
-            s = self._state(own)
-            s["rules"] = sorted(s["rules"] + rules)
-            self.memory.updateValue(own, (json.dumps(s),))
+            bodies[own] = json.dumps(self._learn(bodies, own, rules))
+        _store(self.memory, bodies)
         yield pd.DataFrame(out, columns=_names(LOG), dtype=object)
 
     def _point(self, s: dict, t: int, seq: int, score, fault: bool, model) -> tuple[str, dict | None]:
