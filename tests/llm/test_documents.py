@@ -219,6 +219,21 @@ def test_toxicity_odd_rows(docs, empty, spark):
     assert toxicity.classify(docs, one).where("toxicity >= 0.5").count() == 0
 
 
+@pytest.mark.parametrize("shard", [1 << 14, 2000])
+def test_toxicity_learns_from_every_label(spark, shard):
+    """Words that only some labelled documents hold are learnt, however many others there are, in one shard or in several."""
+    rng = random.Random(13)
+    plain = [f"w{i}a" for i in range(300)]
+    last = {r.id for r in spark.range(0, 8000, 2).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).offset(3000).collect()}
+    def text(i):
+        w = [rng.choice(plain) for _ in range(rng.randrange(3, 9))]
+        return " ".join(w if i % 2 else [*w, "grubby" if i in last else "vile", rng.choice(plain)])
+    table = spark.createDataFrame([(i, text(i), 1 - i % 2) for i in range(8000)], "doc_id long, text string, toxic int")
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"), **({} if shard == 1 << 14 else {"shard": shard}))
+    asked = spark.createDataFrame([(1, "w1a w2a grubby w3a"), (2, "w4a vile w5a"), (3, "w1a w2a w9a w3a"), (4, "w7a w8a")], "doc_id long, text string")
+    assert {r.doc_id: r.toxicity >= 0.5 for r in toxicity.classify(asked, model).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 # --- fingerprints
 
 def test_fingerprints(docs, rows):

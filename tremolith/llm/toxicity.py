@@ -1,35 +1,41 @@
-"""Toxicity: a convolutional text classifier, trained in NumPy on a bounded sample of labelled documents.
+"""Toxicity: a convolutional text classifier, trained in NumPy on all labelled documents, shard by shard.
 
 A word is the sum of hashed embeddings of the word itself and of its first four and five bytes, so an inflected stem is
 known by its beginning.  Filters one, two and three words wide slide over the whole text; each keeps its maximum, and a
 logistic layer turns the maxima into a log-odds.  Training is stochastic (fixed order, Adagrad) with the gradient of the
-maximum, from an embedding that starts at the smoothed log-odds of each bucket.
+maximum, from an embedding that starts at the smoothed log-odds of each bucket.  In each epoch every shard of about
+``SHARD`` documents goes on from the common model; the shards' changes are averaged by Spark, those of a bucket over the
+shards that changed it.  One shard alone is plain stochastic descent.
 
-Language groups come from the text alone: spherical k-means over hashed word frequencies.  On documents kept out of
-training each group with enough of both classes gets the threshold with the best accuracy at the labels' own class
-shares; the other groups get the common one.  A score is moved so that its group's threshold is 0.5.
+Language groups come from the text alone: spherical k-means over hashed word frequencies of all labelled documents.  On
+a fifth of them, kept out of training by the id's hash, each group with enough of both classes gets the threshold with the
+best accuracy at the labels' own class shares; the other groups get the common one.  Thresholds are found on log-odds
+counted in steps of 0.001.  A score is moved so that its group's threshold is 0.5.
 
-The sample holds at most ``most`` documents of each class, those with the least hash of the id; a document labelled twice
-is toxic if any label says so.  Null labels, ids and texts aren't learnt from.  Null, empty and wordless texts get the
-score of a text whose filters all rest.  With labels of one class only, or none, every score is that class's share (0.5
-without labels), moved below 0.5 unless all labels are toxic.  Repeated rows score alike.  Other columns are kept; one
-named as the output is replaced.
+A document labelled twice is toxic if any label says so.  Null labels, ids and texts aren't learnt from.  Null, empty and
+wordless texts get the score of a text whose filters all rest.  With labels of one class only, or none, every score is that
+class's share (0.5 without labels), moved below 0.5 unless all labels are toxic.  Repeated rows score alike.  Other columns
+are kept; one named as the output is replaced.
 """
 
 from __future__ import annotations
 
-import pickle
+import copy
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, functions as F
 
 from . import text as T
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 GROUPS, SHAPE = 8, 256
+SHARD, BATCH = 1 << 14, 32  # documents of a shard and of a step
+_PART = 1 << 13             # buckets summed as one value
 _SALT = T.seeds(3, 71)
 _COLUMNS = np.repeat(np.arange(len(WIDTHS)), [w * FILTERS for w in WIDTHS])   # width of each projection
 _OFFSET = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])  # its place in the filter
@@ -111,16 +117,29 @@ def _step(m: Model, sums: dict, rows: np.ndarray, first: np.ndarray, y: np.ndarr
     m.bias -= rate * d.sum() / np.sqrt(sums["bias"] + 1e-10)
 
 
-def _centres(x: np.ndarray, turns: int = 15) -> np.ndarray:
-    """Spherical k-means from mutually far starting points."""
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Mutually far rows."""
     chosen = [0]
     for _ in range(min(GROUPS, len(x)) - 1):
         chosen.append(int((x @ x[chosen].T).max(axis=1).argmin()))
-    c = x[chosen]
+    return x[chosen]
+
+
+def _centres(parts: RDD, turns: int = 15) -> np.ndarray:
+    """Spherical k-means over an RDD of blocks of unit vectors, from mutually far rows among those of each block."""
+    far = np.concatenate(parts.map(lambda x: _apart(x.astype(np.float32))).collect())
+    c = _apart(np.unique(far, axis=0))
     for _ in range(turns):
-        of = (x @ c.T).argmax(axis=1)
-        new = np.stack([x[of == g].sum(axis=0) if (of == g).any() else c[g] for g in range(len(c))])
-        c = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        def near(blocks: Iterator[np.ndarray], c: np.ndarray = c) -> Iterator[tuple[int, np.ndarray]]:
+            for x in blocks:
+                of = (x.astype(np.float32) @ c.T).argmax(axis=1)
+                yield from ((int(g), x[of == g].sum(axis=0, dtype=np.float64)) for g in np.unique(of))
+        found = parts.mapPartitions(near).reduceByKey(np.add, 8).collectAsMap()
+        new = np.stack([found.get(g, c[g]) for g in range(len(c))])
+        new = (new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        if np.allclose(new, c, atol=1e-6):
+            break
+        c = new
     return c
 
 
@@ -136,80 +155,155 @@ def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((edge[i] + edge[i + 1]) / 2)
 
 
-def fit(rows: np.ndarray, first: np.ndarray, y: np.ndarray, share: float, epochs: int = 6, batch: int = 32) -> Model:
-    """``rows`` of all words, ``first`` word of each document, labels ``y``, the class share of toxic documents at large."""
+def _read(rows: Iterator[Row], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word buckets, first words and labels of some documents at a time."""
+    def cut(held: list[Row]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        y, done = np.array([r.y for r in held]), 0
+        for texts in T.slices(pa.array([bytes(r.t) for r in held], pa.large_binary()), most):
+            words = T.words(texts, T.NOT_LETTER)
+            yield buckets(words), words.first, y[done:done + len(texts)]
+            done += len(texts)
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r.t)
+        if size >= most:
+            yield from cut(held)
+            held, size = [], 0
+    if held:
+        yield from cut(held)
+
+
+def _prior(rows: Iterator[Row]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class: documents with each bucket, and documents, of one shard."""
+    n = np.zeros((2, BUCKETS + 1), np.int64)
+    for words, first, y in _read(rows):
+        doc = np.repeat(np.arange(len(y)), np.diff(first))
+        for j in range(3):
+            pairs = np.unique(doc * BUCKETS + words[:, j])
+            for c in (0, 1):
+                n[c, :-1] += np.bincount(pairs[y[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
+        n[:, -1] += np.bincount(y, minlength=2)
+    yield from enumerate(n)
+
+
+def _started(n: np.ndarray, own: np.ndarray) -> tuple[Model, dict]:
+    """The model before training and its sums of squared gradients; ``n`` documents of each class have a bucket, of ``own``."""
     rng = np.random.default_rng(7)
     k = FILTERS * len(WIDTHS)
     m = Model(rng.normal(0, 0.02, (BUCKETS, DIMS)), rng.normal(0, 0.3, (len(_FILTER), DIMS)), np.zeros(k), rng.normal(0.2, 0.05, k), 0.0, np.zeros((1, SHAPE)), np.zeros(1))
-    m.groups = _centres(shapes(rows, first))
-    m.shift = np.zeros(len(m.groups))
-    if y.min() == y.max():
-        m.out[:] = 0
-        m.bias = 1.0 if y[0] > 0 else -1.0
-        return m
-    held = np.arange(len(y)) % 5 == 4
-    own = np.flatnonzero(~held)
     # smoothed log-odds of each bucket by documents, as the first coordinate
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    n = np.zeros((2, BUCKETS))
-    for j in range(3):
-        pairs = np.unique(doc[~held[doc]].astype(np.int64) * BUCKETS + rows[~held[doc], j])
-        for c in (0, 1):
-            n[c] += np.bincount(pairs[y[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
-    odds = np.log((n[1] + 1) / ((y[own] == 1).sum() + 2)) - np.log((n[0] + 1) / ((y[own] == 0).sum() + 2))
+    odds = np.log((n[1] + 1) / (own[1] + 2)) - np.log((n[0] + 1) / (own[0] + 2))
     m.embed[:, 0] = 0.3 * odds * (n.sum(axis=0) / (n.sum(axis=0) + 3))
     m.filters[_OFFSET == 0, 0] = 1.0
     m.rest[:] = -0.5
     m.bias = -1.0
-    sums = {"embed": np.full((BUCKETS, DIMS), 1e-3), "filters": np.full(m.filters.shape, 1e-3), "rest": np.full(k, 1e-3), "out": np.full(k, 1e-3), "bias": 1e-3}
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(own), max(1, len(own) // batch)):
-            counts = np.diff(first)[part]
-            pick = np.repeat(first[part] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            _step(m, sums, rows[pick], np.concatenate([[0], np.cumsum(counts)]), y[part], 0.1 / (1 + epoch))
-    if held.any() and 0 < y[held].mean() < 1:
-        # a few documents at a time: filter outputs are many times as large as the sample
-        cuts = [*range(0, len(y), 50), len(y)]
-        z = np.concatenate([m.log_odds(rows[first[a]:first[b]], first[a:b + 1] - first[a]) for a, b in zip(cuts, cuts[1:])])
-        group = (shapes(rows, first) @ m.groups.T).argmax(axis=1)
-        p = y[held].mean()
-        weight = np.where(y > 0, share / p, (1 - share) / (1 - p))
-        m.shift[:] = _threshold(z[held], y[held], weight[held])
-        for g in range(len(m.groups)):
-            mine = held & (group == g)
-            if min((y[mine] == c).sum() for c in (0, 1)) >= 20:
-                m.shift[g] = _threshold(z[mine], y[mine], weight[mine])
-    m.embed, m.filters, m.rest, m.out = (x.astype(np.float32) for x in (m.embed, m.filters, m.rest, m.out))
-    return m
+    return m, {"embed": np.full((BUCKETS, DIMS), 1e-3), "filters": np.full(m.filters.shape, 1e-3), "rest": np.full(k, 1e-3), "out": np.full(k, 1e-3), "bias": 1e-3}
+
 
+def _flat(m: Model, sums: dict) -> np.ndarray:
+    """All but the embedding as one vector."""
+    return np.concatenate([np.ravel(x) for x in (m.filters, m.rest, m.out, m.bias, sums["filters"], sums["rest"], sums["out"], sums["bias"])])
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000) -> Model | None:
-    """Fit on at most ``most`` documents of each class; the sample is one task's input."""
+
+def _moved(m: Model, sums: dict, by: dict[int, np.ndarray]) -> None:
+    """Add the mean change of all shards; key -1 holds the vector of ``_flat`` and the number of shards."""
+    for part, x in by.items():
+        if part >= 0:
+            own, touched = slice(part * _PART, (part + 1) * _PART), np.maximum(x[:, -1:], 1)
+            m.embed[own] += x[:, :DIMS] / touched
+            sums["embed"][own] += x[:, DIMS:-1] / touched
+    flat, at = _flat(m, sums) + by[-1][:-1] / by[-1][-1], 0
+    for of in (lambda k: getattr(m, k), sums.get):
+        for name in ("filters", "rest", "out"):
+            x = of(name)
+            x[...] = flat[at:at + x.size].reshape(x.shape)
+            at += x.size
+        if at < len(flat) - 1:
+            m.bias = float(flat[at])
+        at += 1
+    sums["bias"] = float(flat[-1])
+
+
+def _epoch(shared, epoch: int):
+    """One pass over a shard from the common model: its changes, by parts of the embedding."""
+    def body(rows: Iterator[Row]) -> Iterator[tuple[int, np.ndarray]]:
+        m, sums = copy.deepcopy(shared.value)
+        rng, steps = np.random.default_rng(epoch), 0
+        for words, first, y in _read(rows):
+            for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+                counts = np.diff(first)[part]
+                pick = np.repeat(first[part] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                _step(m, sums, words[pick], np.concatenate([[0], np.cumsum(counts)]), y[part], 0.1 / (1 + epoch))
+                steps += 1
+        if steps:
+            old, gone = shared.value
+            change = np.concatenate([m.embed - old.embed, sums["embed"] - gone["embed"]], axis=1)
+            change = np.concatenate([change, change.any(axis=1, keepdims=True)], axis=1).astype(np.float32)
+            yield from ((p, change[p * _PART:(p + 1) * _PART]) for p in range(BUCKETS // _PART))
+            yield -1, np.append(_flat(m, sums) - _flat(old, gone), 1.0)
+    return body
+
+
+def _thresholds(model: Model, found: dict[tuple[int, int, int], int], share: float) -> np.ndarray:
+    """Threshold of each group from the numbers of documents by (group, thousandths of log-odds, label)."""
+    shift = np.zeros(len(model.groups))
+    if not found:
+        return shift
+    (group, z, y), n = np.array(list(found)).T, np.array(list(found.values()), float)
+    z, p = z / 1000, n[y > 0].sum() / n.sum()
+    if 0 < p < 1:
+        weight = n * np.where(y > 0, share / p, (1 - share) / (1 - p))
+        shift[:] = _threshold(z, y, weight)
+        for g in range(len(shift)):
+            mine = group == g
+            if min(n[mine & (y == c)].sum() for c in (0, 1)) >= 20:
+                shift[g] = _threshold(z[mine], y[mine], weight[mine])
+    return shift
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", shard: int = SHARD, epochs: int = 6) -> Model | None:
+    """Fit on every labelled document; shards of about ``shard`` of them learn side by side."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = counts.get(1, 0) / sum(counts.values())
-    turn = F.xxhash64(F.col("i").cast("string"), F.lit("sample"))
-    picked = [known.where(F.col("y") == c).orderBy(turn, "i").limit(most) for c in counts]
-    ids = picked[0] if len(picked) == 1 else picked[0].union(picked[1])
-    # 2 * most rows at most
-    sample = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("i")).select("i", "y", F.col(text).alias("t"))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, counts, y = [], [], []
-        for batch in batches:
-            y.append(batch.column(1).to_numpy())
-            for texts in T.slices(batch.column(2)):
-                words = T.words(texts, T.NOT_LETTER)
-                rows.append(buckets(words))
-                counts.append(words.per_row)
-        if y:
-            model = fit(np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(y), share)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
-    made = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.col("i").cast("string")), "i", "t").mapInArrow(learn, "model binary").collect()
-    return pickle.loads(made[0].model) if made else None
+    turn = F.xxhash64(F.col("i").cast("string"))
+    texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).cast("binary").alias("t"))
+    texts = texts.join(known.hint("shuffle_hash"), "i").repartition(-(-sum(counts.values()) // shard), "i", "t")
+    # the shuffle's files serve all passes, as all start from this one RDD
+    rows = texts.sortWithinPartitions(turn, "i", "t").select("y", (F.pmod(turn, F.lit(5)) == 4).alias("held"), "t").rdd
+    own, held = rows.filter(lambda r: not r.held), rows.filter(lambda r: r.held)
+    prior = own.mapPartitions(_prior).reduceByKey(np.add, 2).collectAsMap()
+    n = np.stack([prior.get(c, np.zeros(BUCKETS + 1, np.int64)) for c in (0, 1)])
+    m, sums = _started(n[:, :-1], n[:, -1])
+    if not n[:, -1].all():
+        if rows.isEmpty():
+            return None
+        m.out[:] = 0
+        m.bias = 1.0 if n[1, -1] or not n[0, -1] and share == 1 else -1.0
+        return m
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast((m, sums))
+        _moved(m, sums, own.mapPartitions(_epoch(shared, epoch)).reduceByKey(np.add, 8).collectAsMap())
+        shared.destroy()
+    shaped = rows.mapPartitions(lambda part: (shapes(words, first).astype(np.float16) for words, first, _ in _read(part))).persist(StorageLevel.DISK_ONLY)
+    m.groups = _centres(shaped)
+    shaped.unpersist()
+    m.embed, m.filters, m.rest, m.out = (x.astype(np.float32) for x in (m.embed, m.filters, m.rest, m.out))
+    shared = spark.sparkContext.broadcast(m)
+
+    def judged(part: Iterator[Row]) -> Iterator[tuple[tuple[int, int, int], int]]:
+        found = Counter()
+        for words, first, y in _read(part):
+            z = np.rint(1000 * np.clip(shared.value.log_odds(words, first), -30, 30)).astype(int)
+            group = (shapes(words, first) @ shared.value.groups.T).argmax(axis=1)
+            found.update(zip(group.tolist(), z.tolist(), y.tolist()))
+        yield from found.items()
+    m.shift = _thresholds(m, held.mapPartitions(judged).reduceByKey(lambda a, b: a + b, 8).collectAsMap(), share)
+    return m
 
 
 def classify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "toxicity") -> DataFrame:
