@@ -354,6 +354,41 @@ def test_frequent_words_have_contexts(spark):
         assert other.keys() == got[0].keys() and all(abs(other[d] - got[0][d]) < 1e-6 for d in other)
 
 
+def brute_ppm(learnt, texts):
+    """The score by a dictionary of contexts, one byte after another."""
+    def stream(t):
+        return b" " * lm_score.ORDER + b"".join(w.encode() + b" " for w in words(t)) + b" "
+    seen = {}
+    for t in learnt:
+        s = stream(t)
+        for i in range(lm_score.ORDER, len(s)):
+            for k in range(lm_score.ORDER + 1):
+                seen.setdefault(s[i - k:i], Counter())[s[i]] += 1
+    def log(s, i):
+        out, gone = 0.0, set()
+        for k in range(lm_score.ORDER, -1, -1):
+            after = {b: c for b, c in seen.get(s[i - k:i], {}).items() if b not in gone}
+            full = sum(after.values())
+            if s[i] in after:
+                return out + math.log10((2 * after[s[i]] - 1) / (2 * full))
+            if after:
+                out += math.log10(len(after) / (2 * full))
+            gone |= set(seen.get(s[i - k:i], {}))
+        return out - math.log10(max(257 - len(gone), 1))
+    return [sum(log(s, i) for i in range(lm_score.ORDER, len(s))) for s in map(stream, texts)]
+
+
+@pytest.mark.parametrize("most", [lm_score.MOST_GRAMS, 500, 0])
+def test_every_text_is_spelled_by_contexts(spark, rows, most):
+    """Training texts are scored like all others: byte by byte, wherever the contexts lie."""
+    texts = [t for _, t in rows[:24]] + [None, "", "one", "one two one", "zqx one"]
+    learnt = [t for i, t in enumerate(texts) if i % 4]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(table, F.col("doc_id") % 4 != 0, most=most).collect()}
+    for i, want in enumerate(brute_ppm(learnt, texts)):
+        assert abs(got[i] - want) <= 1e-6 * max(1, abs(want)), (i, got[i], want)
+
+
 def test_score_without_training(docs, empty):
     got = lm_score.score(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and all(r.n_known == 0 and r.base_score == 0 for r in got)
