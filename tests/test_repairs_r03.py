@@ -90,3 +90,31 @@ def test_processors_take_many_keys_at_once(spark, tmp_path):
         made.append(st.drain(pl.lifecycle_stream(spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in"), None, rules), f"{tmp_path}/run"))
     kinds = {(r.kind, r.n) for r in made[-1].groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert kinds == {("quiet", 600), ("started", 600), ("updated", 1200)}
+
+
+def test_components_local_and_distributed(spark, monkeypatch):
+    """Chains, stars and lone loops: one task and distributed rounds reach the same least nodes."""
+    from tremolith.llm import near_dedup as nd
+    r = random.Random(7)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (-7, 1020), (2000, 2000)]
+    label = {x: x for link in links for x in link}
+    while any(label[u] != label[v] for u, v in links):
+        for u, v in links:
+            label[u] = label[v] = min(label[u], label[v])
+    table = spark.createDataFrame(links, "u long, v long")
+    for bound in (nd.LOCAL_LINKS, 10):
+        monkeypatch.setattr(nd, "LOCAL_LINKS", bound)
+        assert {x.node: x.label for x in nd.components(table).collect()} == label
+    assert nd.components(table.where("false")).count() == 0
+
+
+def test_few_jobs_for_few_links(spark):
+    """The driver keeps a record of every job: merging a few links takes a bounded number of them, whatever the chain's length."""
+    from tremolith.llm import near_dedup as nd
+    table = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long").coalesce(1)
+    spark.sparkContext.setJobGroup("few-links", "components")
+    try:
+        assert {x.label for x in nd.components(table).collect()} == {0}
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8

@@ -291,6 +291,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
     del model  # workers hold it from here on
+    T.release()
     judged = sample.where("out").withColumn("j", T.column_udf(lambda: _judge(shared.value, None, 0.0, firm), _KIND, RESULT)("t")).where((F.col("j.n") >= firm) & (F.col("j.lang") == F.col("l")))
     held = judged.select("l", "j.n", "j.entropy").toArrow()
     return Trained(langs, shared, calibrated(langs, np.array(held["l"].to_pylist(), object), held["n"].to_numpy(), held["entropy"].to_numpy()))

@@ -122,9 +122,37 @@ def _alike(k: int, percent: int):
     return F.arrow_udf(body, "boolean")
 
 
+LOCAL_LINKS = 1 << 16
+
+
+def _least_reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    links = pa.Table.from_batches(got)
+    nodes, at = np.unique(np.concatenate([links["u"].to_numpy(), links["v"].to_numpy()]), return_inverse=True)
+    u, v, label = at[:len(links)], at[len(links):], np.arange(len(nodes))
+    while True:
+        low, closer = np.minimum(label[u], label[v]), label.copy()
+        for side in (u, v, label[u], label[v]):
+            np.minimum.at(closer, side, low)
+        closer = closer[closer]
+        if (closer == label).all():
+            break
+        label = closer
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every linked node: the least node it reaches.  ``links`` has columns u, v."""
-    both = stage(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), "links")
+    """(node, label) of every linked node: the least node it reaches.  ``links`` has columns u, v.
+
+    Up to ``LOCAL_LINKS`` distinct links are followed in one task and their labels broadcast to joins; more take distributed rounds.
+    """
+    own = stage(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    if own.count() <= LOCAL_LINKS:
+        kind = own.schema["u"].dataType.simpleString()
+        return F.broadcast(stage(own.coalesce(1).mapInArrow(_least_reached, f"node {kind}, label {kind}"), "labels"))
+    both = own.union(own.select("v", "u"))
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
@@ -177,7 +205,7 @@ def _block_links(percent: int):
                 union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - n
                 i, j = np.nonzero((100 * n >= percent * union) & (ca[:, None] != cb))
                 _, once = np.unique(np.stack([ra[i], cb[j]], axis=1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])[once]), pa.array(np.maximum(ra[i], rb[j])[once])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (ra[i], rb[j], ca[i], cb[j])], ["u", "v", "cu", "cv"])
     return body
 
 
@@ -189,26 +217,25 @@ class _Join:
         self.comp = cands.select("rep", F.col("rep").alias("comp"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) of classes whose sets are alike."""
+        """Pairs (u, v) of classes whose sets are alike, with all their columns."""
         light = self.cands.select("rep", "n", "sig")
         side = lambda df, x: df.select([F.col(c).alias(x if c == "rep" else f"{c}_{x}") for c in df.columns])
         near = pairs.join(side(light, "u"), "u").join(side(light, "v"), "v")
         near = near.where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
-        near = stage(near.withColumn("d", F.arrow_udf(_distance, "int")("sig_u", "sig_v")).where(F.col("d") <= self.d).select("u", "v"), "near")
+        near = stage(near.withColumn("d", F.arrow_udf(_distance, "int")("sig_u", "sig_v")).where(F.col("d") <= self.d).select(pairs.columns), "near")
         texts = self.cands.select("rep", "text")
         whole = near.join(side(texts, "u"), "u").join(side(texts, "v"), "v")
-        return stage(whole.withColumn("same", _alike(self.k, self.percent)("text_u", "text_v")).where("same").select("u", "v"), "confirmed")
+        return stage(whole.withColumn("same", _alike(self.k, self.percent)("text_u", "text_v")).where("same").select(pairs.columns), "confirmed")
 
     def merge(self, links: DataFrame) -> bool:
-        """Join the components that ``links`` touch; False if there is none."""
+        """Join the components that ``links`` (of components cu and cv) touch; False if there is none."""
         if links.isEmpty():
             return False
-        of = self.comp
-        across = links.join(of.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(of.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
-        moved = components(across.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        self.comp = stage(of.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("label", "comp").alias("comp")), "components")
+        moved = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "comp")
+        anew = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).select(df.columns)
+        self.comp = stage(anew(self.comp), "components")
         # buckets with one component have nothing left to find
-        self.buckets = stage(self.mixed(self.buckets.drop("comp").join(self.comp, "rep")), "buckets")
+        self.buckets = stage(self.mixed(anew(self.buckets)), "buckets")
         return True
 
     @staticmethod
@@ -238,7 +265,8 @@ class _Join:
         turn = F.col("rep") if nth == 0 else F.xxhash64("rep", "key", F.lit(nth))
         own = self.buckets
         pivots = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), turn).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.comp").alias("pc"))
-        pairs = own.join(pivots, "key").where("comp <> pc").select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
+        met = own.join(pivots, "key").where("comp <> pc").select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v"), F.least("comp", "pc").alias("cu"), F.greatest("comp", "pc").alias("cv"))
+        pairs = met.distinct()
         links = self.confirmed(pairs)
         return links.count() if self.merge(links) else 0
 
@@ -256,7 +284,7 @@ class _Join:
         whole = stage(whole.select("cluster", "block", "blocks", F.struct("rep", "comp", "s").alias("x"), (F.col("comp") != F.col("main")).alias("out")), "blocks")
         left = whole.where("out").groupBy("cluster", "block", "blocks").agg(F.collect_list("x").alias("left")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         right = whole.groupBy("cluster", F.col("block").alias("other")).agg(F.collect_list("x").alias("right"))
-        self.merge(stage(left.join(right, ["cluster", "other"]).select("left", "right").mapInArrow(_block_links(self.percent), "u long, v long"), "links"))
+        self.merge(stage(left.join(right, ["cluster", "other"]).select("left", "right").mapInArrow(_block_links(self.percent), "u long, v long, cu long, cv long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
