@@ -118,3 +118,33 @@ def test_few_jobs_for_few_links(spark):
     finally:
         spark.sparkContext._jsc.sc().clearJobGroup()
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8
+
+
+def test_folds_share_jobs(spark):
+    """Thresholds of all folds and candidates are ranked together: jobs grow by the fits alone."""
+    from tremolith.operators import modeling as mo
+    r = random.Random(3)
+    rows = [(4 * (i % 6) + i // 6 % 4, i // 6 % 4, i % 6 >= 3, [r.random() + (i % 6 >= 3) for _ in range(6)]) for i in range(960)]
+    table = spark.createDataFrame(rows, "run long, condition long, label boolean, x array<double>").coalesce(2)
+    spark.sparkContext.setJobGroup("folds", "oof")
+    try:
+        got = mo.oof_scores(table, "x", "label", "run", "condition", mo.leave_one_out([0, 1, 2, 3], 2), {"a": ("random_forest", 3), "b": ("random_forest", 6)}, trees=2, depth=2)
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds"))
+    assert jobs <= 200, jobs
+    assert {(x.candidate, x.held): x.n for x in got.groupBy("candidate", "held").agg(F.count("*").alias("n")).collect()} == {(c, h): 240 for c in "ab" for h in range(4)}
+    assert got.where("t_max_condition < t_single or t_max_condition < t_pooled or t_pooled is null").count() == 0
+
+
+def test_fold_thresholds_are_exact(spark):
+    from tremolith.operators import modeling as mo
+    r = random.Random(4)
+    rows = [(c, h, k, k == (h + 1) % 4, r.randrange(50) / 50) for c in "ab" for h in range(4) for k in ((h + 1) % 4, (h + 3) % 4) for _ in range(r.randrange(1, 300))]
+    higher = lambda x: sorted(x)[-(-99 * (len(x) - 1) // 100)] if x else None
+    of = lambda c, h, keep: higher([s for a, b, k, first, s in rows if (a, b) == (c, h) and keep(k, first)])
+    got = mo.fold_thresholds(spark.createDataFrame(rows, "candidate string, held int, condition int, first boolean, score double"), ["candidate", "held"]).collect()
+    assert len(got) == 8
+    for x in got:
+        one, other = of(x.candidate, x.held, lambda k, first: first), of(x.candidate, x.held, lambda k, first: not first)
+        assert (x.t_single, x.t_pooled, x.t_max_condition) == (one, of(x.candidate, x.held, lambda k, first: True), max(one, other))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .aggregates import (binary_metrics, choose_policy, error_cases, fold_summary, grouped_metrics, normal_threshold, quantile_higher,
+from .aggregates import (binary_metrics, choose_policy, error_cases, fold_summary, grouped_metrics, quantile_higher,
                          run_weights, sigma_threshold)
 
 # registry of estimator builders by kind; tree settings kept small enough for repeated folds
@@ -27,8 +27,8 @@ def _prepare(df: DataFrame, features: str, label: str, width: int | None = None)
 
 
 def _fit(train: DataFrame, kind: str, label: str, run: str, cost: float = 1.0, **size):
-    weighted = run_weights(train, label, run, cost)
-    return BUILDERS[kind](**size).fit(weighted)
+    # a fit reads its rows several times; their weights are joined once
+    return BUILDERS[kind](**size).fit(cut(run_weights(train, label, run, cost).select("__x", "__y", "weight")))
 
 
 def _score(model, df: DataFrame) -> DataFrame:
@@ -56,22 +56,33 @@ def oof_scores(df: DataFrame, features: str, label: str, run: str, condition: st
                cost: float = 1.0, calibration_features: str | None = None, **size) -> DataFrame:
     """Out-of-fold scores with a threshold calibrated per fold and candidate.
 
-    ``folds``: (held, calibration list); ``specs``: name -> (kind, leading feature count).  Each fit and
-    transform is a Spark job; only fold names are looped on the driver.
+    ``folds``: (held, calibration list); ``specs``: name -> (kind, leading feature count).  Each fit is a Spark job; only
+    folds and specs are looped on the driver.  Scores, and thresholds, of all of them are one job.
     """
-    out = None
-    base = cut(df)
-    for name, (kind, width) in specs.items():
-        data = _prepare(base, features, label, width)
-        for held, calibration in folds:
-            fit = data.filter(~F.col(condition).isin([held, *calibration]))
-            model = _fit(fit, kind, label, run, cost, **size)
-            cal = cut(_score(model, data.filter(F.col(condition).isin(calibration) & ~F.col(label))).select(condition, label, "score"))
-            t = {r["policy"]: r["threshold"] for r in normal_threshold(cal, "score", condition, F.col(label), single=calibration[0]).collect()}
-            scored = _score(model, data.filter(F.col(condition) == held)).drop("__x", "__y")
-            scored = scored.withColumns({"candidate": F.lit(name), "held": F.lit(held), **{f"t_{p}": F.lit(v) for p, v in t.items()}})
-            out = scored if out is None else out.unionByName(scored)
-    return cut(out)
+    base, calibrated, out = cut(df), None, None
+    for held, calibration in folds:
+        fit = cut(run_weights(base.filter(~F.col(condition).isin([held, *calibration])), label, run, cost).select(features, label, "weight"))
+        for name, (kind, width) in specs.items():
+            model, data = BUILDERS[kind](**size).fit(_prepare(fit, features, label, width)), _prepare(base, features, label, width)
+            own = {"candidate": F.lit(name), "held": F.lit(held)}
+            cal = _score(model, data.filter(F.col(condition).isin(calibration) & ~F.col(label))).withColumns({**own, "first": F.col(condition) == calibration[0]})
+            cal = cal.select("candidate", "held", F.col(condition).alias("condition"), "first", "score")
+            scored = _score(model, data.filter(F.col(condition) == held)).drop("__x", "__y").withColumns(own)
+            calibrated, out = (cal, scored) if out is None else (calibrated.unionByName(cal), out.unionByName(scored))
+    thresholds = fold_thresholds(cut(calibrated), ["candidate", "held"])
+    if thresholds.filter("t_single is not null").count() < len(folds) * len(specs):
+        raise ValueError("a fold holds no normal calibration rows of its first condition")
+    return cut(out.join(F.broadcast(thresholds), ["candidate", "held"]).select(*out.columns, "t_single", "t_pooled", "t_max_condition"))
+
+
+def fold_thresholds(normal: DataFrame, by: list[str], q: float = 0.99, step: float = 1e-3) -> DataFrame:
+    """For each group: t_single, t_pooled and t_max_condition (see ``normal_threshold``) of normal rows with condition, first and score.
+
+    All folds are ranked together, as one job each would cost more than its rows.
+    """
+    each = quantile_higher(normal, [*by, "condition", "first"], "score", q, step)
+    wide = each.groupBy(*by).agg(F.max(F.when(F.col("first"), F.col("threshold"))).alias("t_single"), F.max("threshold").alias("t_max_condition"))
+    return cut(wide.join(quantile_higher(normal, by, "score", q, step).withColumnRenamed("threshold", "t_pooled"), by))
 
 
 def leave_one_out(conditions: list, calibration: int = 1) -> list[tuple]:
@@ -123,18 +134,23 @@ def resolution_experiment(df: DataFrame, clean: str, degraded: str, label: str,
     One row a fit and domain.
     """
     base, out = cut(_prepare(df, clean, label).withColumnRenamed("__x", "__clean").withColumn("__degraded", array_to_vector(degraded))), None
-    for policy in ("clean_fit", "half_degraded_fit"):
-        own = F.col("__clean") if policy == "clean_fit" else F.when(F.col(index) % 2 == 0, F.col("__degraded")).otherwise(F.col("__clean"))
-        for held, calibration in folds:
-            fit = base.filter(~F.col(condition).isin([held, *calibration])).withColumn("__x", own)
-            model = _fit(fit, kind, label, run, **size)
-            cal = _score(model, base.filter(F.col(condition).isin(calibration) & ~F.col(label)).withColumn("__x", F.col("__clean")))
-            t = quantile_higher(cal, [], "score", 0.99, 1e-3).first()["threshold"]
-            test = base.filter(F.col(condition) == held)
+    calibrated = None
+    for held, calibration in folds:
+        fit = cut(run_weights(base.filter(~F.col(condition).isin([held, *calibration])), label, run).select("__y", "weight", "__clean", "__degraded", index))
+        test = base.filter(F.col(condition) == held)
+        for policy in ("clean_fit", "half_degraded_fit"):
+            x = F.col("__clean") if policy == "clean_fit" else F.when(F.col(index) % 2 == 0, F.col("__degraded")).otherwise(F.col("__clean"))
+            model = BUILDERS[kind](**size).fit(fit.withColumn("__x", x))
+            own = [F.lit(policy).alias("fit"), F.lit(held).alias("held")]
+            cal = _score(model, base.filter(F.col(condition).isin(calibration) & ~F.col(label)).withColumn("__x", F.col("__clean"))).select(*own, "score")
+            calibrated = cal if calibrated is None else calibrated.unionByName(cal)
             for domain in ("clean", "degraded"):
-                one = _score(model, test.withColumn("__x", F.col(f"__{domain}"))).select(F.col(label).alias("label"), (F.col("score") > t).alias("hit"),
-                                                                                         F.lit(policy).alias("fit"), F.lit(domain).alias("domain"), F.lit(held).alias("held"))
+                one = _score(model, test.withColumn("__x", F.col(f"__{domain}"))).select(F.col(label).alias("label"), "score", F.lit(domain).alias("domain"), *own)
                 out = one if out is None else out.unionByName(one)
+    thresholds = cut(quantile_higher(cut(calibrated), ["fit", "held"], "score", 0.99, 1e-3))
+    if thresholds.count() < 2 * len(folds):
+        raise ValueError("a fold holds no normal calibration rows")
+    out = out.join(F.broadcast(thresholds), ["fit", "held"]).withColumn("hit", F.col("score") > F.col("threshold"))
     folds_of = cut(binary_metrics(out, ["fit", "domain", "held"], F.col("label"), F.col("hit")))
     counts = folds_of.groupBy("fit", "domain").agg(F.sum("n").alias("n"), F.sum(F.col("tp") + F.col("fn")).alias("positives"))
     rows = cut(fold_summary(folds_of, ["fit", "domain"]).join(counts, ["fit", "domain"]))
