@@ -2,8 +2,9 @@
 
 Lines are normalised by columns, de-duplicated in keyed state with conflict detection, scored by columns and turned into
 asset events by a second keyed state that also takes the rules as input.  Both states are chained in one query, so a
-restart resumes them together.  The query writes one log row for each line, and the sink splits it into tables, each under
-the micro-batch's number, so a repeated batch replaces itself.
+restart resumes them together.  A broken line goes the same way and meets no state: the lines are read and judged once.  The
+query writes one log row for each line, and the sink splits it into tables, each under the micro-batch's number, so a repeated
+batch replaces itself.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from ..operators.scoring import score_rms
 from ..operators.validate import normalize_telemetry
 
 POINT = "asset string, lane string, device string, seq long, t_us long, value double, fault boolean, model string, arrival long"
-SEEN = POINT + ", disposition string, evicted long"
+#: ``broken`` names the rule that a line breaks; such a row is passed on and reaches no state.
+SEEN = POINT + ", broken string, disposition string, evicted long"
 LOG = ("asset string, lane string, device string, seq long, t_us long, arrival long, score double, kind string, event_no long, revision long, start_us long, end_us long, end_reason string, "
        "max_score double, max_model string, samples long, merge_count long, last_score double, rule_version long, model string, trigger_seq long, trigger_us long, trigger_score double")
 #: Groups of keys that a stateful processor takes at once; log rows that it hands on at once.
@@ -38,8 +40,20 @@ def _names(ddl: str) -> list[str]:
 
 def by_shard(df: DataFrame, *keys: str) -> GroupedData:
     """Rows grouped for a stateful processor that takes SHARDS groups of keys.  What a call costs beside its rows is paid once a
-    shard; the state of each key is an element of the shard's list, read and written at once."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int")).groupBy("shard")
+    shard; the state of each key is an element of the shard's list, read and written at once.  Broken rows, whose keys say
+    nothing, are spread over all shards."""
+    own = F.xxhash64(*keys)
+    if "broken" in df.columns:
+        own = F.when(F.col("broken").isNull(), own).otherwise(F.xxhash64("arrival"))
+    return df.withColumn("shard", F.pmod(own, F.lit(SHARDS)).cast("int")).groupBy("shard")
+
+
+def _judged(points: DataFrame) -> DataFrame:
+    """Points with ``broken``, null where nothing judged them.  What a broken row says of itself is zero: a null among whole
+    numbers would make floats of all numbers of its batch."""
+    if "broken" not in points.columns:
+        return points.withColumn("broken", F.lit(None).cast("string"))
+    return points.withColumns({c: F.when(F.col("broken").isNull(), F.col(c)).otherwise(0) for c in ("seq", "t_us")})
 
 
 def _stored(state) -> dict[tuple, str]:
@@ -66,7 +80,14 @@ class ConflictDedupe(StatefulProcessor):
         self.memory = handle.getListState("memory", "device string, body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["device", "arrival"], kind="stable")
+        batch = pd.concat(list(rows))
+        whole = batch["broken"].isna()
+        if not whole.all():
+            yield batch[~whole].assign(disposition="quarantined", evicted=0)[_names(SEEN)]
+            batch = batch[whole]
+            if batch.empty:
+                return
+        batch = batch.sort_values(["device", "arrival"], kind="stable")
         bodies, dispositions, gone = _stored(self.memory), [], []
         for device, own in groupby(zip(batch["device"].tolist(), batch["seq"].tolist(), batch["digest"].tolist()), key=itemgetter(0)):
             # the sequences of a device, the one not used for longest first
@@ -92,8 +113,8 @@ class ConflictDedupe(StatefulProcessor):
 
 
 def dedupe_stream(points: DataFrame, digest: Column, bound: int = 1024) -> DataFrame:
-    """``points`` (see POINT) with ``disposition`` and ``evicted``; state is kept by device."""
-    return by_shard(points.select(*_names(POINT), digest.alias("digest")), "device").transformWithStateInPandas(ConflictDedupe(bound), SEEN, "Append", "None")
+    """``points`` (see POINT, and ``broken``) with ``disposition`` and ``evicted``; state is kept by device."""
+    return by_shard(_judged(points).select(*_names(POINT), "broken", digest.alias("digest")), "device").transformWithStateInPandas(ConflictDedupe(bound), SEEN, "Append", "None")
 
 
 class RuledLifecycle(StatefulProcessor):
@@ -131,7 +152,13 @@ class RuledLifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         learnt = self._rules(batch[batch["from_us"].notna()])
-        points = batch[batch["from_us"].isna()].sort_values(["asset", "lane", "t_us", "seq", "arrival"])
+        points = batch[batch["from_us"].isna()]
+        whole = points["broken"].isna()
+        if not whole.all():
+            bad = points[~whole]
+            yield pd.DataFrame({"lane": bad["lane"], "arrival": bad["arrival"], "kind": bad["disposition"], "end_reason": bad["broken"]}, columns=_names(LOG), dtype=object)
+            points = points[whole]
+        points = points.sort_values(["asset", "lane", "t_us", "seq", "arrival"])
         bodies, out = _stored(self.memory), []
         fields = ["asset", "lane", "device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition"]
         for own, mine in groupby(zip(*[points[f].tolist() for f in fields]), key=itemgetter(0, 1)):
@@ -232,11 +259,11 @@ class RuledLifecycle(StatefulProcessor):
 
 
 def lifecycle_stream(points: DataFrame, rules: DataFrame | None = None, known: DataFrame | None = None, lanes: tuple[str, ...] = ("live",)) -> DataFrame:
-    """Log of ``points`` (asset, lane, device, seq, t_us, arrival, score, fault, model, disposition) under the rules of a second
-    stream, ``known`` being those in force before the first row; rules hold in each of ``lanes``."""
+    """Log of ``points`` (asset, lane, device, seq, t_us, arrival, score, fault, model, disposition, and ``broken``) under the rules
+    of a second stream, ``known`` being those in force before the first row; rules hold in each of ``lanes``."""
     kinds = ", ".join(["from_us long", "version long", "active boolean", "score_enter double", "score_exit double", "n_enter int", "n_exit int", "sec_enter double", "sec_exit double", "merge_gap_sec long"])
-    of_lane = lambda r: r.select(F.col("asset").cast("string").alias("asset"), F.explode(F.array(*[F.lit(x) for x in lanes])).alias("lane"), *["from_us", *RULE])
-    both = points.select("asset", "lane", "device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition")
+    of_lane = lambda r: r.select(F.col("asset").cast("string").alias("asset"), F.explode(F.array(*[F.lit(x) for x in lanes])).alias("lane"), *["from_us", *RULE], *[F.lit(0).cast("long").alias(c) for c in ("seq", "t_us", "arrival")])
+    both = _judged(points).select("asset", "lane", "device", "seq", "t_us", "arrival", "score", "fault", "model", "disposition", "broken")
     both = both.select("*", *[F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds.split(", ")])
     if rules is not None:
         both = both.unionByName(of_lane(rules), allowMissingColumns=True)
@@ -252,17 +279,14 @@ def telemetry_stream(lines: DataFrame, now_us: Column, mean: float, std: float,
     row of kind ``quarantined`` (the rule as its reason) and reaches no state.
     """
     typed = normalize_telemetry(lines, "payload", now_us, retention_days)
-    good = typed.where("error_rule is null").select("asset", "lane", "device", F.col("sequence").alias("seq"), "t_us", F.col("vibration_rms_raw").alias("value"), "fault", "model", "arrival")
+    # no filter on the rule: pushed below the parsed members it would parse a line again for each of them
+    points = typed.select("asset", "lane", "device", F.col("sequence").alias("seq"), "t_us", F.col("vibration_rms_raw").alias("value"), "fault", "model", "arrival", F.col("error_rule").alias("broken"))
     # the lane and the health of the device are not part of what was sent
     digest = F.sha2(F.concat_ws("\x1f", "asset", F.col("t_us").cast("string"), F.col("value").cast("string")), 256)
-    seen = dedupe_stream(good, digest, bound)
+    seen = dedupe_stream(points, digest, bound)
     based = seen.withColumns({"mean": F.lit(float(mean)), "std": F.lit(float(std)), "sigma": F.lit(float(sigma))})
     scored = score_rms(based, "value", "mean", "std", "sigma").withColumn("score", F.col("anomaly_score").cast("double"))
-    log = lifecycle_stream(scored, rules, known, lanes)
-    bad = typed.where("error_rule is not null").select("lane", "arrival", F.lit("quarantined").alias("kind"), F.col("error_rule").alias("end_reason"))
-    kinds = dict(f.split() for f in LOG.split(", "))
-    fill = {c: F.lit(None).cast(k).alias(c) for c, k in kinds.items()}
-    return log.unionByName(bad.select(*[F.col(c) if c in bad.columns else fill[c] for c in kinds]))
+    return lifecycle_stream(scored, rules, known, lanes)
 
 
 def log_tables(batch: DataFrame) -> dict[str, DataFrame]:
