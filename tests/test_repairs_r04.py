@@ -1,9 +1,12 @@
 """Cases of the fourth review that used to fail by time or disk at size."""
 
 import json
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
+from tests.test_repairs_r03 import _scopes
+from tremolith.operators import alerts as al, joins as jn
 from tremolith.streaming import pipeline as pl, streams as st
 
 RULES = "asset string, from_us long, version long, active boolean, score_enter double, score_exit double, n_enter int, n_exit int, sec_enter double, sec_exit double, merge_gap_sec long"
@@ -38,3 +41,28 @@ def test_broken_lines_travel_with_points(spark, monkeypatch):
     assert {k: (r.kind, r.seq) for k, r in got.items() if r.kind != "quarantined"} == {0: ("started", far), 1: ("duplicate", far), 2: ("conflict", far), 7: ("updated", far + 2)}
     assert {k: r.end_reason for k, r in got.items() if r.kind == "quarantined"} == {3: "sequence", 4: "vibration_rms", 5: "unknown_fields", 6: "identifier"}
     assert all(r.lane == "live" and (r.asset, r.device, r.seq, r.t_us, r.score, r.event_no, r.start_us) == (None,) * 7 for r in rows if r.kind == "quarantined")
+
+
+def test_pairs_come_in_runs(spark, monkeypatch):
+    """Each policy meets the events of its key in runs, which a file stores once a policy; no run is longer than the bound."""
+    monkeypatch.setattr(jn, "LIST_RUN", 64, raising=False)
+    e = spark.range(1000).select(F.col("id").alias("event_id"), F.lit("a").alias("site"), F.lit("x").alias("asset"), F.lit("w").alias("severity"))
+    none = F.array().cast("array<string>")
+    p = spark.range(30).select(F.col("id").alias("policy_id"), F.lit("w").alias("severity"), *[none.alias(c) for c in ("site_ids", "asset_ids", "scope_site_ids")])
+    rows = [(r.policy_id, r.event_id) for r in jn.match_scopes(e, p).collect()]
+    assert len(rows) == 30_000 and set(rows) == {(k, i) for k in range(30) for i in range(1000)}
+    runs = [len(list(own)) for _, own in groupby(rows, key=lambda r: r[0])]
+    assert len(runs) == 30 * 16 and max(runs) == 64
+
+
+def test_lists_and_single_events_match_alike(spark, monkeypatch):
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(jn, "TASK_PAIRS", 50)
+    monkeypatch.setattr(jn, "LIST_TASKS", 3)
+    monkeypatch.setattr(jn, "LIST_RUN", 2)
+    e, p, want = _scopes(spark)
+    for listed in (True, False):
+        m = al.match_policies(e, p, F.col("minute"), listed=listed)
+        assert m.columns == [*e.columns, *[c for c in p.columns if c != "severity"], "suppressed"]
+        got = [((r.policy_id, r.event_id), r.suppressed) for r in m.collect()]
+        assert len(got) == len(want) and dict(got) == want
